@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .op10_lm_scoring import score_documents as lm_score_documents
 from .op1_quality import fit, score_documents
 from .op2_url_filters import filter_urls
 from .op3_fingerprints import fingerprint_documents
@@ -55,6 +56,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,5 +72,6 @@ QUERIES = {
         op7_jaccard_join,
         op8_line_dedup,
         op9_token_counts,
+        op10_lm_scoring,
     )
 }
