@@ -60,6 +60,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score_documents(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # at the top of the repository
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,5 +79,6 @@ QUERIES = {
         op8_line_dedup,
         op9_token_counts,
         op10_lm_scoring,
+        pipeline,
     )
 }
