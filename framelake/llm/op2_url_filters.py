@@ -102,11 +102,12 @@ def filter_urls(
     The longest fitting host rule decides; else a blocking pattern rule; else the default.
     Of rules equally long the first in text order wins.
     """
+    # the row travels as one struct, so that no column of pages can clash with the operator's
     host, path = host_and_path(F.col(url_column))
-    judged = pages.drop("host", "path", "rule", "pattern_rule", "verdict").withColumn("host", host).withColumn("path", path)
+    judged = pages.select(F.struct(*pages.columns).alias("_row"), F.col(id_column).alias("id"), F.col(url_column).alias("page_url"), host.alias("host"), path.alias("path"))
     urls = (
         judged.where(F.col("host") != "")
-        .select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), "host", "path")
+        .select(F.col("id").alias("_id"), F.col("page_url").alias("_url"), "host", "path")
         .withColumn("lower", F.lower("_url"))
         .withColumn("tokens", F.array_distinct(F.concat(F.split(F.concat("host", F.lit("/"), F.lower("path")), SEPARATORS), F.split("lower", SEPARATORS), F.array(F.lit("")))))
     )
@@ -121,9 +122,12 @@ def filter_urls(
 
     best = hits.groupBy("_id", "_url").agg(first("host").alias("_host_hit"), first("pattern").alias("_pattern_hit"))
     # host and path rows without a hit keep null; the key is (id, url), so repeated rows are all answered
-    out = judged.join(best, F.col(id_column).eqNullSafe(best["_id"]) & F.col(url_column).eqNullSafe(best["_url"]), "left")
+    out = judged.join(best, F.col("id").eqNullSafe(F.col("_id")) & F.col("page_url").eqNullSafe(F.col("_url")), "left")
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "pattern_rule", "verdict")]
     return out.select(
-        *judged.columns,
+        *[F.col("_row")[c].alias(c) for c in own],
+        "host",
+        "path",
         F.col("_host_hit.rule").alias("rule"),
         F.col("_pattern_hit.rule").alias("pattern_rule"),
         F.coalesce("_host_hit.verdict", "_pattern_hit.verdict", F.lit(default)).alias("verdict"),

@@ -103,11 +103,14 @@ def mix_sources(
 ) -> DataFrame:
     """The rows of docs that the mixture reads, once for each epoch, with `domain`, `tokens` and `epoch`."""
     leaf = ["_domain", "_lang", "_source"]
-    rows = (
-        docs.withColumn("_domain", domain if domain is not None else domain_of(F.col("source")))
-        .withColumn("_lang", F.coalesce("lang", F.lit("")))
-        .withColumn("_source", F.coalesce("source", F.lit("")))
-        .withColumn("_tokens", tokens_of(text_or_empty()))
+    # the row travels as one struct, so that no column of docs can clash with the operator's
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        "doc_id",
+        (domain if domain is not None else domain_of(F.col("source"))).alias("_domain"),
+        F.coalesce("lang", F.lit("")).alias("_lang"),
+        F.coalesce("source", F.lit("")).alias("_source"),
+        tokens_of(text_or_empty()).alias("_tokens"),
     )
     plan = cut(
         leaf_budgets(rows, budget_share, max_epochs, weights)
@@ -130,4 +133,4 @@ def mix_sources(
     read = rows.join(broadcast_if_small(plan), leaf).withColumn("_h", epoch_hash(F.col("full"), seed))
     epochs = F.when(F.col("_h") < F.col("limit"), F.sequence(F.lit(0), F.col("full"))).when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1))
     own = [c for c in docs.columns if c not in ("domain", "tokens", "epoch")]
-    return read.select(*own, F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), F.explode(epochs).alias("epoch"))
+    return read.select(*[F.col("_row")[c].alias(c) for c in own], F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), F.explode(epochs).alias("epoch"))

@@ -273,6 +273,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     best = found.groupBy("group_id").agg(F.min(F.struct(F.col("class_id"), F.col("key"))).alias("best"))
     kept = best.select(F.col("best.class_id").alias("_keep_id"), F.col("best.key").alias("_keep_key"))
-    rows = docs.withColumn("_key", text_key())
-    joined = rows.join(kept, (F.col("_key") == F.col("_keep_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")))
-    return joined.dropDuplicates(["_keep_key", "_keep_id"]).select(*docs.columns)
+    # the row travels as one struct, so that no column of docs can clash with the operator's
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    joined = rows.join(kept, (F.col("_key") == F.col("_keep_key")) & F.col("_id").eqNullSafe(F.col("_keep_id")))
+    return joined.dropDuplicates(["_keep_key", "_keep_id"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
