@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered, text_key, text_or_empty
 
+#: Bytes of the hash that tell the first cells apart.
+FIRST_BYTES = 2
 SHARDS = 24
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 8
@@ -30,7 +32,7 @@ class Cells:
 
     def __init__(self, groups: DataFrame):
         self.groups = groups
-        rows = self._sums(groups, 2)
+        rows = self._sums(groups, FIRST_BYTES)
         self.prefix = [bytes(r.cell) for r in rows]
         self.size = np.array([r.size for r in rows], np.int64)
         self.count = np.array([r.n for r in rows], np.int64)
