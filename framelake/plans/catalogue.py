@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import blocks as K
+from ..operators import metrics as M
 from ..operators import ordered as O
 from ..operators import rules as R
 from .views import blk, hdr, obu, pkt, table, turn, with_views
@@ -739,3 +740,11 @@ def set_ops_roles(spark, sf):
 def cubic_moments(spark, sf):
     q, s = F.col("qty"), F.col("size")
     return obu(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.sum(q).alias("p1"), F.sum(q * q).alias("p2"), F.sum(q * q * q).alias("p3"), F.sum(q * s).alias("xy"), F.sum(q * q * s).alias("xxy"))
+
+
+@query()
+def bd_rate(spark, sf):
+    """Rows only: the fit has no SQL form.  One curve for each kind of unit in a layer, a point for each quality step."""
+    step = F.floor(F.col("qty") / 5)
+    points = obu(spark, sf).groupBy("layer", F.col("kind").alias("curve"), step.alias("step")).agg(F.avg("size").alias("rate"))
+    return M.bd_rate(points.withColumn("quality", 30.0 + F.col("step")), "layer", "AF", "RF").withColumn("bd_rate", F.round("bd_rate", 6))

@@ -34,3 +34,14 @@ def test_rules(spark):
     assert {r.s: r.accepted for r in R.accepted(found, "s", strict=False).collect()} == {1: False, 2: False}
     assert R.set_difference(found, spark.createDataFrame([("v/big",)], "rule_id string")).count() == 0
     assert R.first_findings(found, "s", ["v", "rule_id"], 1).where("s = 2").first().omitted == 1
+
+
+def test_bd_rate_of_known_curves(spark):
+    from framelake.operators import metrics as M
+
+    quality = [30.0, 32.0, 34.0, 36.0, 38.0]
+    rows = [("x", "a", 100 * 1.3 ** (q - 30), q) for q in quality] + [("x", "b", 110 * 1.3 ** (q - 30), q) for q in quality]
+    rows += [("y", "a", 5.0, q) for q in quality] + [("y", "b", 5.0, q + 50) for q in quality]  # no overlap
+    rows += [("z", "a", 5.0, 30.0), ("z", "b", 5.0, 30.0)]
+    got = {r.k: r.bd_rate for r in M.bd_rate(spark.createDataFrame(rows, "k string, curve string, rate double, quality double"), "k", "a", "b").collect()}
+    assert abs(got["x"] - 10) < 1e-6 and got["y"] is None and got["z"] is None
