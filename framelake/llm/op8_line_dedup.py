@@ -30,6 +30,8 @@ from .common import cut, drop_table, numbered, text_key, text_or_empty
 MIN_WORDS = 50
 #: Bits of a position that count the lines of a document.
 LINE_BITS = 26
+#: Rows of a group from which it may count as hot.
+HOT_ROWS = 2000
 
 
 def _lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,15 +60,31 @@ def _doc(p: str = "p"):
     return F.shiftright(p, LINE_BITS)
 
 
-def _named(pairs: DataFrame, *by: str) -> DataFrame:
-    """(p, name): the first position with equal values, for positions that have a partner."""
-    first = pairs.groupBy(*by).agg(F.min("p").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pairs.join(first, list(by))
+def _with_first(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with `first`: the least p among rows equal in `by`, null where there is no other such row or `by` has a null.
+
+    Groups of over a thousandth of the rows (so a thousand at most) are joined by a broadcast, where
+    their rows are; for the shuffle join of the others their rows get keys of their own, so
+    that no task gathers a group.
+    """
+    valid = rows.dropna(subset=by)
+    groups = cut(valid.groupBy(*by).agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = groups.where(F.col("n") > max(HOT_ROWS, total // 1000)).select(*by, F.col("first").alias("_large"))
+    small = groups.where(F.col("n") <= max(HOT_ROWS, total // 1000)).select(*by, F.col("first").alias("_small"))
+    marked = rows.join(F.broadcast(large), by, "left").withColumn("_own", F.when(F.col("_large").isNotNull() | F.col(by[0]).isNull(), -F.col("p") - 2))
+    spread = marked.withColumn("_k", F.coalesce("_own", F.xxhash64(*by)))
+    small = small.withColumn("_k", F.xxhash64(*by)).select("_k", *[F.col(c).alias(f"_{c}") for c in by], "_small")
+    same = F.col("_own").isNull()
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    joined = spread.join(small, (spread["_k"] == small["_k"]) & same, "left").withColumn("first", F.coalesce("_large", "_small"))
+    return joined.select(*rows.columns, "first")
 
 
 def _rounds(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
     """Candidate lines (p, words_before, words_upto) and the names of their runs of 1, 2, 4, ... lines."""
-    active = _named(lines, "h1", "h2").select("p", "words", "name")
+    active = _with_first(lines, ["h1", "h2"]).where("first is not null").select("p", "words", F.col("first").alias("name"))
     # consecutive repeated lines with too few words together can't hold a run
     in_doc = Window.partitionBy(_doc()).orderBy("p")
     island = active.withColumn("island", F.col("p") - F.row_number().over(in_doc)).withColumn("d", _doc())
@@ -78,18 +96,13 @@ def _rounds(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame
     while True:
         last, length = rounds[-1], 1 << (len(rounds) - 1)
         pairs = last.join(last.select((F.col("p") - length).alias("p"), F.col("name").alias("after")), "p")
-        named = cut(_pair_names(pairs))
+        named = cut(_with_first(pairs, ["name", "after"]).where("first is not null").select("p", F.col("first").alias("name")))
         if named.isEmpty():
             drop_table(named)
             return active.drop("name"), rounds
         rounds.append(named)
 
 
-def _pair_names(pairs: DataFrame) -> DataFrame:
-    first = pairs.groupBy("name", "after").agg(F.min("p").alias("new"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pairs.join(first, ["name", "after"]).select("p", F.col("new").alias("name"))
-
-
 def _longest_earlier(active: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """(p, length): lines shared with the longest-matching earlier suffix, where there is one."""
     # own: a suffix that still extends; else a group's first suffix, kept to represent it
@@ -97,8 +110,7 @@ def _longest_earlier(active: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     for k in reversed(range(len(rounds))):
         names = rounds[k].select(F.col("p").alias("at"), F.col("name").alias("next"))
         step = pool.withColumn("at", F.col("p") + F.col("length")).join(names, "at", "left").drop("at")
-        firsts = step.where("next is not null").groupBy("group", "length", "next").agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        step = step.join(firsts, ["group", "length", "next"], "left")
+        step = _with_first(step, ["next", "group", "length"])
 
         def state(length, group, own):
             return F.struct(F.col("p").alias("p"), length.cast("long").alias("length"), group.alias("group"), own.alias("own"))
