@@ -77,24 +77,24 @@ def satd(a: Column, b: Column) -> Column:
     return total(F.transform(hadamard(F.zip_with(a, b, lambda x, y: x - y)), lambda v: F.abs(v)))
 
 
-def matrix(rows: list[list[int]]) -> Column:
-    return F.array(*[F.lit(v) for row in rows for v in row])
+def transposed(x: Column) -> Column:
+    return F.transform(indexes(), lambda i: at(x, (i % N) * N + F.floor(i / N).cast("int")))
 
 
-def multiplied(m: Column, x: Column, rows: bool) -> Column:
-    """m times x (on columns of x), or x times m transposed (on rows)."""
+def row_products(x: Column, m: list[list[int]]) -> Column:
+    """x times m transposed: each row's products with the basis rows, written out term by term."""
 
-    def cell(i: Column) -> Column:
-        r, c = F.floor(i / N).cast("int"), (i % N).cast("int")
-        terms = F.transform(indexes(N), lambda k: at(m, c * N + k) * at(x, r * N + k) if rows else at(m, r * N + k) * at(x, k * N + c))
-        return total(terms)
+    def row(r: Column) -> Column:
+        cells = [at(x, r * N + k) for k in range(N)]
+        return F.array(*[sum((cells[k] * basis[k] for k in range(1, N)), cells[0] * basis[0]) for basis in m])
 
-    return F.transform(indexes(), cell)
+    return F.flatten(F.transform(indexes(N), row))
 
 
-def dct2d(x: Column) -> Column:
-    m = matrix(DCT8)
-    return let(multiplied(m, x, rows=True), lambda y: multiplied(m, y, rows=False))
+def dct2d(x: Column, m: list[list[int]] = DCT8) -> Column:
+    """m x m', as two row passes with a transposition after each."""
+    rows = let(row_products(x, m), transposed)
+    return let(let(rows, lambda y: row_products(y, m)), transposed)
 
 
 def quantizer_step(q: Column) -> Column:

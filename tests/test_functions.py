@@ -83,3 +83,12 @@ def test_paeth_and_constraint(spark):
     got = one(spark, [(10, 20, 10), (10, 20, 20), (10, 30, 21)], "a int, l int, o int", K.paeth(F.col("a"), F.col("l"), F.col("o")))
     assert got == [(20,), (10,), (21,)]
     assert one(spark, [(3,), (-20,), (40,)], "d int", K.constrained(F.col("d"), 16, 5)) == [(3,), (-6,), (0,)]
+
+
+def test_dct_is_the_matrix_product(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 256, (8, 8))
+    m = np.array(K.DCT8)
+    got = one(spark, [(x.ravel().tolist(),)], "x array<int>", K.dct2d(F.col("x")))[0][0]
+    assert (np.array(got).reshape(8, 8) == m @ x @ m.T).all()
