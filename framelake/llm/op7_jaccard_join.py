@@ -18,8 +18,8 @@ are written in between).
 
 Defined results: a null text counts as empty; texts without words are linked to nothing; a
 text of fewer than five words is one shingle; the class id is the smallest doc_id of the
-class (null if all are null); rows that share a doc_id are told apart by their texts; an empty
-table gives no rows; extra columns are kept by `one_of_each_group`, ignored otherwise.
+class (null if all are null); rows that share a doc_id are told apart by their texts, and groups
+by their root, so that neither null nor equal ids merge them; an empty table gives no rows; extra columns are kept by `one_of_each_group`, ignored otherwise.
 """
 
 from __future__ import annotations
@@ -252,10 +252,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key, class_id, class_size, links, group_id for each row of docs.
+    """doc_id, key, class_id, class_size, links, group_id, root for each row of docs.
 
     links counts the other classes (different texts) at similarity 0.8 or more; group_id is the
-    smallest class id of the connected component.
+    smallest class id of the connected component; root, its least key, names the component also
+    where group_id is null or components share it.
     """
     rows, classes = _classes(docs)
     links = _links(docs, classes)
@@ -264,14 +265,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = classes.select("key", "class_id", "class_size").join(count, "key", "left").join(roots, "key", "left")
     known = cut(known.withColumn("root", F.coalesce("root", "key")).withColumn("links", F.coalesce("links", F.lit(0).cast("long"))))
     groups = known.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    known = known.join(groups, "root").drop("root")
-    return rows.join(known, "key").select("doc_id", "key", "class_id", "class_size", "links", "group_id")
+    known = known.join(groups, "root")
+    return rows.join(known, "key").select("doc_id", "key", "class_id", "class_size", "links", "group_id", "root")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id (then of the least text hash)."""
     found = near_duplicates(docs)
-    best = found.groupBy("group_id").agg(F.min(F.struct(F.col("class_id"), F.col("key"))).alias("best"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("class_id"), F.col("key"))).alias("best"))
     kept = best.select(F.col("best.class_id").alias("_keep_id"), F.col("best.key").alias("_keep_key"))
     # the row travels as one struct, so that no column of docs can clash with the operator's
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))

@@ -44,7 +44,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("key")
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumn("group_key", F.lower(F.hex("root"))).drop("key", "root")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

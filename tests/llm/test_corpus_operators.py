@@ -87,6 +87,22 @@ def test_join_of_odd_rows(spark, odd, none, clashing):
     assert J.near_duplicates(none).count() == 0 and J.one_of_each_group(none).count() == 0
 
 
+def test_groups_of_null_and_equal_ids_stay_apart(spark):
+    r = random.Random(8)
+    alone = [words(r, 60) for _ in range(5)]
+    base = words(r, 100)
+    near = base + " more"
+    shared = [words(r, 60) for _ in range(3)]
+    docs = [(None, t) for t in [*alone, alone[0], base, near]] + [(7, t) for t in shared]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = J.one_of_each_group(df).collect()
+    texts = [k.text for k in kept]
+    assert sorted(t for t in texts if t not in (base, near)) == sorted(alone + shared)
+    assert len([t for t in texts if t in (base, near)]) == 1
+    found = J.near_duplicates(df).collect()
+    assert len({bytes(f.root) for f in found}) == 9 and {f.group_id for f in found} == {None, 7}
+
+
 def test_dense_and_single_verification_agree(monkeypatch):
     sets = [J.shingle_set(t) for _, t in near_copies(6, 20)][:40]
     pairs = np.array([(a, b) for a in range(40) for b in range(a + 1, 40)])
