@@ -61,6 +61,20 @@ def leb128_decode(spark, sf):
     return d.select("doc_id", n.alias("n")).select("doc_id", F.when(F.col("n.length") <= 4, F.col("n.value")).alias("value"), F.when(F.col("n.length") <= 4, F.col("n.length")).alias("length"))
 
 
+_LEB_ALL = """with d as (select doc_id, hex(encode(substr(text, 1, 8))) as h from documents),
+  b as (select doc_id, list_transform(range(8), lambda i: ('0x' || nullif(substr(h, (2 * i + 1)::int, 2), ''))::bigint) as b from d),
+  l as (select doc_id, b, nullif(list_position(list_transform(b, lambda x: x < 128), true), 0) as len from b),
+  v as (select doc_id, len, list_sum(list_transform(range(len), lambda i: (b[i + 1] & 127) << (7 * i)))::bigint as v from l)
+select doc_id, case when v < 4294967296 then v end as value, case when v < 4294967296 then len end as length from v"""
+
+
+@query("", _LEB_ALL)
+def leb128_decode_all(spark, sf):
+    """leb128_decode over all texts, however short, and codes of up to 8 bytes; null where there is no code."""
+    n = B.leb128(F.substring(F.col("text").cast("binary"), 1, 8))
+    return table(spark, sf, "documents").select("doc_id", n.alias("n")).select("doc_id", "n.value", "n.length")
+
+
 @query("", """select doc_id, case when z >= 0 then (case when z = 0 then 0 else (v >> (15 - 2 * z)) & ((1 << z) - 1) end) + (1 << z) - 1 end as value, case when z >= 0 then 2 * z + 1 end as length from (
   select doc_id, v, case when v >= 32768 then 0 when v >= 16384 then 1 when v >= 8192 then 2 when v >= 4096 then 3 when v >= 2048 then 4 when v >= 1024 then 5 when v >= 512 then 6 when v >= 256 then 7 else -1 end as z
   from (select doc_id, ('0x' || substr(hex(encode(text)), 1, 4))::bigint as v from documents where strlen(text) >= 2))""")
@@ -377,6 +391,14 @@ def ref_slot_state(spark, sf):
     return at.withColumn("last_n", F.col("n") - 1 - F.pmod(F.col("n") - 1 - F.col("slot"), F.lit(8)))
 
 
+@query("pkt", "select p.stream, p.n, s.slot, max(case when p.n % 8 = s.slot then p.n end) over (partition by p.stream, s.slot order by p.n rows between unbounded preceding and 1 preceding) as last_n from pkt p, (select unnest(range(8)) as slot) s")
+def ref_slot_state_all(spark, sf):
+    """ref_slot_state at every packet; last_n is null where the slot has no writer yet."""
+    at = pkt(spark, sf).select("stream", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("slot"))
+    last = F.col("n") - 1 - F.pmod(F.col("n") - 1 - F.col("slot"), F.lit(8))
+    return at.withColumn("last_n", F.when(last >= 0, last))
+
+
 _Q = list(range(16, 256, 16))
 
 
