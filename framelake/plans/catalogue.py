@@ -6,8 +6,9 @@ that the SQL needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -714,6 +715,45 @@ def cdf_average(spark, sf):
     return tiles.groupBy("lang", "band").agg(F.sum(F.shiftright("n", 2)).alias("mean_quarter"), F.count("*").alias("tiles"))
 
 
+def _byte_counts(docs: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, byte, n) over the whole UTF-8 texts of docs; a text is counted where it is read, so at most 256 rows of it travel."""
+    import pyarrow as pa
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                text = part.column(part.num_columns - 1)
+                counts = [np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in text.to_pylist()]
+                counts = np.array(counts, np.int64).reshape(-1, 256)
+                who, byte = np.nonzero(counts)
+                own = [part.column(i).take(pa.array(who)) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(byte.astype(np.int32)), pa.array(counts[who, byte])], names=[*keys, "byte", "n"])
+
+    rows = docs.where(F.col("text").isNotNull()).select(*keys, F.col("text").cast("binary").alias("text"))
+    types = dict(rows.dtypes)
+    found = rows.mapInArrow(counted, ", ".join(f"{k} {types[k]}" for k in keys) + ", byte int, n long")
+    return found.groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
+
+
+_BYTES = "unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents"
+
+
+@query("", f"with c as (select doc_id, h, count(*) as n from (select doc_id, {_BYTES}) group by all), t as (select doc_id, n, sum(n) over (partition by doc_id) as t from c) select doc_id, round(sum(-n * log2(n::double / t)) / any_value(t), 6) as bits_per_byte, any_value(t)::bigint as n_bytes from t group by 1")
+def symbol_cost_entropy_bytes(spark, sf):
+    """Order-0 entropy of each document's bytes, in bits per byte; a text without bytes has no row."""
+    c = _byte_counts(table(spark, sf, "documents"), "doc_id")
+    c = c.withColumn("t", F.sum("n").over(Window.partitionBy("doc_id")))
+    return c.groupBy("doc_id").agg(F.round(F.sum(-F.col("n") * F.log2(F.col("n") / F.col("t"))) / F.first("t"), 6).alias("bits_per_byte"), F.first("t").alias("n_bytes"))
+
+
+@query("", f"select lang, ('0x' || h)::int as byte, sum(n >> 3)::bigint as mean, sum(n)::bigint as n from (select lang, tile, h, count(*) as n from (select lang, doc_id % 8 as tile, {_BYTES}) group by all) group by all")
+def cdf_average_bytes(spark, sf):
+    """Byte histograms of eight tiles of each language (doc_id mod 8), averaged with each term shifted before the sum."""
+    d = table(spark, sf, "documents").withColumn("tile", F.col("doc_id") % 8)
+    return _byte_counts(d, "lang", "tile").groupBy("lang", "byte").agg(F.sum(F.shiftright("n", 3)).alias("mean"), F.sum("n").alias("n"))
+
+
 @query("obu", "select stream, sum(size)::bigint as bytes, count(*) as n, (min(size) * 100 // max(size))::bigint as spread from obu group by rollup(stream)")
 def perf_rollup(spark, sf):
     return obu(spark, sf).rollup("stream").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.expr("min(size) * 100 div max(size)").alias("spread"))

@@ -1,5 +1,7 @@
 """Catalogue queries that take every row of their input, on small hand-made tables."""
 
+import math
+
 import pytest
 from oracle import connect, duck_rows, spark_rows
 
@@ -37,7 +39,19 @@ def test_leb128_of_short_texts_and_long_codes(spark, documents):
     assert got == {1: (97, 1), 2: none, 3: none, 4: (two + (two << 14) + (1 << 28), 5), 5: (two + (97 << 14), 3), 6: none, 7: none, 8: none}
 
 
-@pytest.mark.parametrize("name", ["ref_slot_state_all", "leb128_decode_all"])
+def test_bytes_of_whole_texts(spark, documents):
+    long = "ab" * 50_000 + "é"  # the last bytes count too
+    d = documents([(1, "aabb", "en"), (2, "", "en"), (3, None, "en"), (4, "aaaa", "de"), (8, long, "en"), (16, "a" * 7, "en")])
+    got = {r.doc_id: (r.bits_per_byte, r.n_bytes) for r in QUERIES["symbol_cost_entropy_bytes"](spark, d).collect()}
+    parts = [50_000, 50_000, 1, 1]
+    assert got.keys() == {1, 4, 8, 16} and got[1] == (1.0, 4) and got[4] == (0.0, 4) and got[8][1] == 100_002
+    assert got[8][0] == round(sum(-n * math.log2(n / 100_002) for n in parts) / 100_002, 6)
+    got = {(r.lang, r.byte): (r.mean, r.n) for r in QUERIES["cdf_average_bytes"](spark, d).collect()}
+    # documents 8 and 16 are one tile
+    assert got == {("en", 97): (50_007 >> 3, 50_009), ("en", 98): (50_000 >> 3, 50_002), ("en", 0xC3): (0, 1), ("en", 0xA9): (0, 1), ("de", 97): (0, 4)}
+
+
+@pytest.mark.parametrize("name", ["ref_slot_state_all", "leb128_decode_all", "symbol_cost_entropy_bytes", "cdf_average_bytes"])
 def test_whole_queries_hold_the_filtered_rows(spark, sf_dir, duck, name):
     names, every = spark_rows(QUERIES[name](spark, sf_dir))
     assert (names, every) == duck_rows(duck, ORACLES[name])
