@@ -14,7 +14,7 @@ Labels are read only from rows whose crc32(doc_id as text) mod 4 is not 2.  Labe
 source and doc_id never enter a score.  Defined results: null and empty texts have no
 features and get the score of the layer's bias alone; several labels of one doc_id count as
 their majority, a tie as 0; null labels are ignored; without labels of both classes every
-score is 0.5; repeated rows are scored each; extra columns are ignored.
+score is 0.5 and `accepted` keeps all rows, as nothing was learnt; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,8 +152,16 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFra
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def fitted(model: tuple[np.ndarray, float]) -> bool:
+    """Whether the model has learnt from labels of both classes; fit returns zeros otherwise."""
+    table, bias = model
+    return bool(bias or table.any())
+
+
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
+    """The rows of docs that the classifier accepts, with all their columns; all rows if no model could be fitted."""
+    if not fitted(model):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
