@@ -13,7 +13,8 @@ without a shuffle, whole, however long.
 
 Defined results: null and empty texts match nothing, nor do items without words; an item of
 fewer than five words is one shingle; repeated rows are judged each; items with equal
-texts are all reported; extra columns are kept by `decontaminated`, ignored by `leaks`.
+texts are all reported; items whose item_id is null are searched like others, and each that is
+found is reported with a null item_id; extra columns are kept by `decontaminated`, ignored by `leaks`.
 """
 
 from __future__ import annotations
@@ -65,13 +66,14 @@ _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 class Benchmark:
     """Items by size, with block tables for the Hamming search."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, near: float = NEAR):
+    def __init__(self, items: list[tuple[int | None, str]], radius: int = RADIUS, near: float = NEAR):
         self.radius, self.near = radius, near
         by_size: dict[int, list] = {}
-        for item_id, text in items:
+        for row, (item_id, text) in enumerate(items):
             w = words_of(text)
             if len(w):
-                by_size.setdefault(len(w), []).append((item_id, shingle_hashes(w)))
+                # items without an id are told apart by their place in the list
+                by_size.setdefault(len(w), []).append(((item_id is None, row if item_id is None else item_id), shingle_hashes(w)))
         self.sizes: dict[int, dict] = {}
         within = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
         known = {min(n, SHINGLE_WORDS): [] for n in by_size}
@@ -87,7 +89,7 @@ class Benchmark:
             f[(v >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.filters[k] = f
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window for each item that the text holds."""
         words = words_of(text)
         found: dict[int, tuple] = {}
@@ -102,7 +104,7 @@ class Benchmark:
             hits = maybe[known[np.minimum(at, len(known) - 1)] == shingles[maybe]]
             if len(hits):
                 self._windows(words, shingles, hits, width, found)
-        return [(i, *found[i]) for i in sorted(found)]
+        return [(None if nameless else i, *found[nameless, i]) for nameless, i in sorted(found)]
 
     def _windows(self, words, shingles, hits, width, found) -> None:
         for size, own in self.sizes.items():
@@ -136,9 +138,9 @@ class Benchmark:
                             found[item_id] = (s, start, min(size, len(words)))
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in lists of bounded size."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", text_or_empty().alias("text"))
+    items = benchmark.select("item_id", text_or_empty().alias("text"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size.n // ITEMS_AT_ONCE), -(-size.chars // CHARS_AT_ONCE))
     for b in range(blocks):

@@ -1,10 +1,23 @@
-"""Stages that must not lose rows on degenerate tables."""
+"""Stages that must not lose rows or items on degenerate tables."""
+
+import random
 
 import pytest
 
 from framelake.llm.op1_quality import accepted, fit, fitted
+from framelake.llm.op4_decontamination import decontaminated, leaks
+
+from .conftest import odd_documents, words
+
 
-from .conftest import odd_documents
+def test_items_without_an_id_are_searched(spark):
+    r = random.Random(12)
+    items = [words(r, 30) for _ in range(3)]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (5, items[2]), (None, None), (None, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{words(r, 20)} {t} {words(r, 20)}") for k, t in enumerate([*items, "", f"{items[0]} {items[1]}"])], "doc_id long, text string")
+    found = leaks(docs, bench).collect()
+    assert sorted(((f.doc_id, f.item_id) for f in found), key=str) == sorted([(0, None), (1, None), (2, 5), (4, None), (4, None)], key=str)
+    assert [d.doc_id for d in decontaminated(docs, bench).collect()] == [3]
 
 
 @pytest.mark.parametrize("labels", [[], [(k, 1, 0) for k in range(20, 40)], [(k, 0, 0) for k in range(20, 40)]])
