@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,12 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is missing (tests on one machine), a folder below /tmp is set.
+    Where the setting is missing, a session on one machine (master local) takes a temporary folder
+    of its own; on a cluster no such folder would be shared, so that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file:///tmp/framelake-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='framelake-')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
