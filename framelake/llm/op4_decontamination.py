@@ -41,6 +41,8 @@ RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
 #: Items and characters of the benchmark in one broadcast.
 ITEMS_AT_ONCE = 5_000
 CHARS_AT_ONCE = 20_000_000
+#: A size of at most so many items is looked through once a window's block values have hit.
+LOOK_THROUGH = 64
 #: Windows whose fingerprints are made at once; their sums stay in a core's cache.
 WINDOWS_AT_ONCE = 8192
 WORD = re.compile(r"\w+")
@@ -67,9 +69,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(1 << BLOCK_BITS)], np.uint8)
 #: All differences of at most NEAR_BITS bits in a block.
-_BALL = np.flatnonzero(_POPCOUNT <= NEAR_BITS).astype(np.uint16)
+_BALL = np.flatnonzero(np.bitwise_count(np.arange(1 << BLOCK_BITS)) <= NEAR_BITS).astype(np.uint16)
+#: Bit b of byte b.
+_BLOCK_BIT = np.frombuffer(bytes(1 << b for b in range(BLOCKS)), np.uint32)[0]
 
 
 class Index:
@@ -79,35 +82,39 @@ class Index:
         self.size, self.keys, self.shingles = size, keys, shingles
         self.width = min(size, SHINGLE_WORDS)
         self.span = size - self.width + 1
-        self.prints = np.concatenate([packed(signed_bits(s).sum(0, dtype=np.int64)[None, :]) for s in shingles]).view(np.uint16)
-        near = self.prints[:, :, None] ^ _BALL  # item, block, value
+        self.prints = np.concatenate([packed(signed_bits(s).sum(0, dtype=np.int64)[None, :]) for s in shingles]).view(np.uint64).ravel()
+        blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
+        near = blocks[:, :, None] ^ _BALL  # item, block, value
         self.occupied = np.zeros(1 << BLOCK_BITS, np.uint8)  # bit b: some item is filed there in block b
         self.values, self.items = [], []
         for b in range(BLOCKS):
             own = near[:, b].ravel()
             self.occupied[own] |= 1 << b
-            order = np.argsort(own, kind="stable")
-            self.values.append(own[order])
-            self.items.append((order // len(_BALL)).astype(np.int32))
+            if len(keys) > LOOK_THROUGH:
+                order = np.argsort(own, kind="stable")
+                self.values.append(own[order])
+                self.items.append((order // len(_BALL)).astype(np.int32))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) for all fingerprints (rows of four block values) and items within RADIUS."""
-        filed = np.take(self.occupied, prints.ravel(), mode="clip").view("<u4") & np.frombuffer(bytes(1 << b for b in range(BLOCKS)), "<u4")[0]
+        """(row, item) for all fingerprints (four block values each) and items within RADIUS."""
+        filed = np.take(self.occupied, prints, mode="clip").view(np.uint32) & _BLOCK_BIT
         rows = np.flatnonzero(filed)
-        if not len(rows):
-            return rows, rows
-        hit, found = filed[rows], []
+        mine = prints.view(np.uint64)[rows]
+        if len(self.keys) <= LOOK_THROUGH:
+            at, item = np.nonzero(np.bitwise_count(mine[:, None] ^ self.prints) <= RADIUS)
+            return rows[at], item
+        found = []
         for b in range(BLOCKS):
-            own = rows[(hit >> np.uint32(9 * b)) & np.uint32(1) > 0]  # bit b of byte b
-            value = prints[own, b]
+            own = np.flatnonzero(filed[rows] >> np.uint32(9 * b) & np.uint32(1))  # bit b of byte b
+            value = prints.reshape(-1, BLOCKS)[rows[own], b]
             first = np.searchsorted(self.values[b], value, "left")
             count = np.searchsorted(self.values[b], value, "right") - first
             at = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             row, item = np.repeat(own, count), self.items[b][at]
-            close = _POPCOUNT[prints[row] ^ self.prints[item]].sum(1, dtype=np.int64) <= RADIUS
+            close = np.bitwise_count(mine[row] ^ self.prints[item]) <= RADIUS
             found.append(row[close] * len(self.keys) + item[close])
         pairs = np.unique(np.concatenate(found))
-        return pairs // len(self.keys), pairs % len(self.keys)
+        return rows[pairs // len(self.keys)], pairs % len(self.keys)
 
 
 class Benchmark:
@@ -155,7 +162,7 @@ class Benchmark:
             n = min(WINDOWS_AT_ONCE, last - a)
             np.subtract(sums[a + own.span : a + own.span + n], sums[a : a + n], out=difference[:n])
             np.greater(difference[:n], 0, out=positive[:n])
-            row, item = own.within(np.packbits(positive[:n]).view(np.uint16).reshape(n, BLOCKS))
+            row, item = own.within(np.packbits(positive[:n]).view(np.uint16))
             inside = room[a + row] >= own.size  # a window over the end of a text is none
             for start, i in zip((a + row[inside]).tolist(), item[inside].tolist(), strict=True):
                 text = int(np.searchsorted(end, start, "right"))
@@ -168,7 +175,7 @@ class Benchmark:
         if not len(texts):
             return
         start = end[texts] - length[texts]
-        row, item = own.within(np.packbits(sums[start + n[texts]] - sums[start] > 0).view(np.uint16).reshape(len(texts), BLOCKS))
+        row, item = own.within(np.packbits(sums[start + n[texts]] - sums[start] > 0).view(np.uint16))
         for r, i in zip(row.tolist(), item.tolist(), strict=True):
             t = texts[r]
             self._verify(own, i, shingles[start[r] : start[r] + n[t]], found[t], 0, int(length[t]))

@@ -204,3 +204,15 @@ def test_counts_of_odd_rows(spark, none, clashing):
     assert len(got) == len(odd_documents())
     assert {r.n_tokens for r in got if r.doc_id in (4, 5)} == {0}
     assert T.count_tokens(none).count() == 0
+
+
+def test_block_search_finds_all_within_the_radius(monkeypatch):
+    rng = np.random.default_rng(3)
+    for look_through in (0, 64):
+        monkeypatch.setattr(D, "LOOK_THROUGH", look_through)
+        index = D.Index(30, list(range(40)), [rng.integers(0, 2**63, 26).astype(np.uint64) for _ in range(40)])
+        flips = [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in range(26) for _ in range(20)]
+        prints = np.array([int(index.prints[n % 40]) ^ f for n, f in enumerate(flips)], np.uint64)
+        row, item = index.within(prints.view(np.uint16))
+        want = {(r, i) for r in range(len(prints)) for i in range(40) if int(prints[r] ^ index.prints[i]).bit_count() <= D.RADIUS}
+        assert set(zip(row.tolist(), item.tolist(), strict=True)) == want and len(row) == len(want) >= 320
