@@ -1,22 +1,27 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling over line-ID sequences.
-
-A line occurrence is a position; positions follow (doc_id, line number).  A line's ID is the
-first position of an equal line.  Prefix doubling names runs of 2, 4, 8, ... lines: the name
-of a run of 2^(k+1) lines is the first position with the same pair of names of 2^k lines.
-Each round is a join and an aggregation over the positions whose run still occurs twice;
-all others are settled.  Equal names are the suffix array's groups (the LCP intervals of
-length 2^k); only the order among groups, which deduplication doesn't need, is left out.
-
-Going down the rounds again, every suffix extends the longest prefix that it shares with an
-earlier suffix by 2^k lines where its group of that length has an earlier member.  The first
-suffix of a group stays and also represents the group in later steps, so lengths are exact:
-they are the longest common prefixes with earlier suffixes.  A run of at least MIN_WORDS words
-that is the copy of an earlier one is deleted; the earliest stays.
+"""Line dedup: repeated runs of lines, by a suffix array over line-ID sequences built by prefix doubling.
+
+A line occurrence is a position; positions follow (doc_id, line number), with one position
+left free behind each document, so that no run crosses a document's end.  A line's ID is 128 bits
+of its MD5 hash.
+
+Suffix array.  In round k a suffix's name is its rank by its first 2^k lines: the pairs
+(rank, rank 2^k lines further on) that occur twice or more are sorted by ranges and numbered,
+which gives the ranks of the next round.  Each round is a join, an aggregation and a sort of the
+distinct pairs; suffixes whose prefix occurs once are settled and leave.  (Their order
+among each other shows no repeat, so it is not made.)
+
+LCP intervals.  Suffixes of equal rank are an interval of the suffix array that shares
+a prefix of 2^k lines.  Going down the rounds, an interval of any length is split by the rank of
+what follows: a suffix moves to the longer interval if that has an earlier member; the first
+suffix of an interval stays and also represents it in later steps.  So each suffix ends in
+the longest interval that holds an earlier suffix, and its length is the longest common
+prefix with an earlier suffix.  A run of at least MIN_WORDS words that is the copy of an earlier
+one is deleted; the earliest stays.
 
 Defined results: a null text counts as empty; runs don't cross documents; overlapping copies
 of a run inside a document are deleted but for the first; rows that repeat in doc_id and
-text are later copies of each other; a document that is all copy keeps an empty text;
-other columns are ignored.
+text are later copies of each other; a document that is all copy keeps an empty text; a text
+may have any number of lines; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,88 +33,90 @@ from .common import cut, drop_table, numbered, text_key, text_or_empty
 
 #: Words in a repeated run from which later copies go.
 MIN_WORDS = 50
-#: Bits of a position that count the lines of a document.
-LINE_BITS = 26
+#: Rows whose lines are counted up in one task, when positions are given out.
+ROWS_AT_ONCE = 65_536
 #: Rows of a group from which it may count as hot.
 HOT_ROWS = 2000
 
 
+def line_id(line):
+    """128 bits that stand for a line."""
+    return F.unhex(F.md5(line.cast("binary")))
+
+
 def _lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(p, h1, h2, words) for each line; (d, doc_id, key, n_lines, n_words) for each row."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("rid", F.monotonically_increasing_id()).withColumn("key", text_key())
-    lines = rows.select("rid", "doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = cut(
-        lines.select(
-            "rid",
-            "pos",
-            F.xxhash64("line").alias("h1"),
-            F.xxhash64("line", F.lit(1)).alias("h2"),
-            F.regexp_count("line", F.lit(r"\S+")).alias("words"),
-            F.when(F.col("pos") == 0, F.struct("doc_id", "key")).alias("row"),
-        )
-    )
-    order = numbered(lines.where("pos = 0").select("rid", "row.doc_id", "row.key"), "doc_id", "rid").withColumnRenamed("row_no", "d")
-    order = cut(order)
-    placed = cut(lines.join(order.select("rid", "d"), "rid").select((F.col("d") * (1 << LINE_BITS) + F.col("pos")).alias("p"), "h1", "h2", "words"))
+    """(p, d, h, words) for each line; (d, doc_id, key, n_lines, n_words) for each row; d is the position of a row's first line."""
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("rid", F.monotonically_increasing_id()).withColumn("key", text_key()).withColumn("split", F.split("text", "\n"))
+    lines = rows.select("rid", F.struct("doc_id", "key", F.size("split").alias("n_lines")).alias("row"), F.posexplode("split").alias("pos", "line"))
+    lines = cut(lines.select("rid", "pos", line_id(F.col("line")).alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("words"), F.when(F.col("pos") == 0, F.col("row")).alias("row")))
+    order = cut(numbered(lines.where("pos = 0").select("rid", "row.*"), "doc_id", "rid").withColumn("part", F.expr(f"row_no div {ROWS_AT_ONCE}")))
+    # positions: the lines of all parts before, then those of rows before in the part
+    parts = order.groupBy("part").agg(F.sum(F.col("n_lines") + 1).alias("n"))  # a row for each ROWS_AT_ONCE rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    order = order.withColumn("above", F.coalesce(F.sum(F.col("n_lines") + 1).over(inside), F.lit(0))).join(parts, F.col("part") == F.col("_part"))
+    order = cut(order.select("rid", (F.col("start") + F.col("above")).alias("d"), "doc_id", "key", "n_lines"))
+    placed = cut(lines.join(order.select("rid", "d"), "rid").select((F.col("d") + F.col("pos")).alias("p"), "d", "h", "words"))
     drop_table(lines)
-    sizes = placed.groupBy(F.shiftright("p", LINE_BITS).alias("d")).agg(F.count("*").alias("n_lines"), F.sum("words").alias("n_words"))
+    sizes = placed.groupBy("d").agg(F.sum("words").alias("n_words"))
     return placed, order.drop("rid").join(sizes, "d")
 
 
-def _doc(p: str = "p"):
-    return F.shiftright(p, LINE_BITS)
-
-
-def _with_first(rows: DataFrame, by: list[str]) -> DataFrame:
+def _with_first(rows: DataFrame, by: list[str], ranked: bool = False) -> DataFrame:
     """rows with `first`: the least p among rows equal in `by`, null where there is no other such row or `by` has a null.
 
-    Groups of over a thousandth of the rows (so a thousand at most) are joined by a broadcast, where
+    With ranked, also `rank`: the place of the row's values among the repeated ones.  Groups of
+    over a thousandth of the rows (so a thousand at most) are joined by a broadcast, where
     their rows are; for the shuffle join of the others their rows get keys of their own, so
     that no task gathers a group.
     """
     valid = rows.dropna(subset=by)
-    groups = cut(valid.groupBy(*by).agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    groups = valid.groupBy(*by).agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = numbered(groups, *by).withColumnRenamed("row_no", "rank") if ranked else groups
+    groups = cut(groups)
+    out = ["first", "rank"] if ranked else ["first"]
+    carried = F.struct(*out)
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = groups.where(F.col("n") > max(HOT_ROWS, total // 1000)).select(*by, F.col("first").alias("_large"))
-    small = groups.where(F.col("n") <= max(HOT_ROWS, total // 1000)).select(*by, F.col("first").alias("_small"))
+    large = groups.where(F.col("n") > max(HOT_ROWS, total // 1000)).select(*by, carried.alias("_large"))
+    small = groups.where(F.col("n") <= max(HOT_ROWS, total // 1000)).select(*by, carried.alias("_small"))
     marked = rows.join(F.broadcast(large), by, "left").withColumn("_own", F.when(F.col("_large").isNotNull() | F.col(by[0]).isNull(), -F.col("p") - 2))
     spread = marked.withColumn("_k", F.coalesce("_own", F.xxhash64(*by)))
     small = small.withColumn("_k", F.xxhash64(*by)).select("_k", *[F.col(c).alias(f"_{c}") for c in by], "_small")
     same = F.col("_own").isNull()
     for c in by:
         same = same & (F.col(c) == F.col(f"_{c}"))
-    joined = spread.join(small, (spread["_k"] == small["_k"]) & same, "left").withColumn("first", F.coalesce("_large", "_small"))
-    return joined.select(*rows.columns, "first")
+    joined = spread.join(small, (spread["_k"] == small["_k"]) & same, "left").withColumn("_found", F.coalesce("_large", "_small"))
+    return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in out])
 
 
 def _rounds(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidate lines (p, words_before, words_upto) and the names of their runs of 1, 2, 4, ... lines."""
-    active = _with_first(lines, ["h1", "h2"]).where("first is not null").select("p", "words", F.col("first").alias("name"))
+    """Candidate lines (p, d, words_before, words_upto) and the ranks (p, rank) of their runs of 1, 2, 4, ... lines."""
+    active = _with_first(lines, ["h"], ranked=True).where("first is not null").select("p", "d", "words", "rank")
     # consecutive repeated lines with too few words together can't hold a run
-    in_doc = Window.partitionBy(_doc()).orderBy("p")
-    island = active.withColumn("island", F.col("p") - F.row_number().over(in_doc)).withColumn("d", _doc())
+    island = active.withColumn("island", F.col("p") - F.row_number().over(Window.partitionBy("d").orderBy("p")))
     upto = Window.partitionBy("d", "island").orderBy("p")
     whole = Window.partitionBy("d", "island")
     island = island.withColumn("words_upto", F.sum("words").over(upto)).withColumn("all", F.sum("words").over(whole)).where(F.col("all") >= min_words)
-    active = cut(island.select("p", "name", (F.col("words_upto") - F.col("words")).alias("words_before"), "words_upto"))
-    rounds = [active.select("p", "name")]
+    active = cut(island.select("p", "d", "rank", (F.col("words_upto") - F.col("words")).alias("words_before"), "words_upto"))
+    rounds = [active.select("p", "rank")]
     while True:
         last, length = rounds[-1], 1 << (len(rounds) - 1)
-        pairs = last.join(last.select((F.col("p") - length).alias("p"), F.col("name").alias("after")), "p")
-        named = cut(_with_first(pairs, ["name", "after"]).where("first is not null").select("p", F.col("first").alias("name")))
-        if named.isEmpty():
-            drop_table(named)
-            return active.drop("name"), rounds
-        rounds.append(named)
+        pairs = last.join(last.select((F.col("p") - length).alias("p"), F.col("rank").alias("after")), "p").select("p", F.col("rank").alias("head"), "after")
+        ranks = cut(_with_first(pairs, ["head", "after"], ranked=True).where("first is not null").select("p", "rank"))
+        if ranks.isEmpty():
+            drop_table(ranks)
+            return active.drop("rank"), rounds
+        rounds.append(ranks)
 
 
 def _longest_earlier(active: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """(p, length): lines shared with the longest-matching earlier suffix, where there is one."""
-    # own: a suffix that still extends; else a group's first suffix, kept to represent it
+    # group: the first suffix of the LCP interval; own: a suffix that still extends, else an interval's first suffix, kept to represent it
     pool = active.select("p", F.lit(0).cast("long").alias("length"), F.lit(-1).cast("long").alias("group"), F.lit(True).alias("own"))
     for k in reversed(range(len(rounds))):
-        names = rounds[k].select(F.col("p").alias("at"), F.col("name").alias("next"))
-        step = pool.withColumn("at", F.col("p") + F.col("length")).join(names, "at", "left").drop("at")
+        ranks = rounds[k].select(F.col("p").alias("at"), F.col("rank").alias("next"))
+        step = pool.withColumn("at", F.col("p") + F.col("length")).join(ranks, "at", "left").drop("at")
         step = _with_first(step, ["next", "group", "length"])
 
         def state(length, group, own):
@@ -129,33 +136,35 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     active, rounds = _rounds(lines, min_words)
     longest = _longest_earlier(active, rounds)
     ends = active.select(F.col("p").alias("end"), F.col("words_upto"))
-    found = longest.withColumn("end", F.col("p") + F.col("length") - 1).join(ends, "end").join(active.select("p", "words_before"), "p")
-    found = found.where(F.col("words_upto") - F.col("words_before") >= min_words).select("p", "end")
+    found = longest.withColumn("end", F.col("p") + F.col("length") - 1).join(ends, "end").join(active.select("p", "d", "words_before"), "p")
+    found = found.where(F.col("words_upto") - F.col("words_before") >= min_words).select("p", "d", "end")
     # lines that some found run covers, joined to maximal runs
-    in_doc = Window.partitionBy(_doc()).orderBy("p")
-    runs = _merged(found, in_doc)
-    runs = runs.groupBy(_doc("first").alias("d")).agg(F.array_sort(F.collect_list(F.struct((F.col("first") % (1 << LINE_BITS)).cast("int").alias("first"), (F.col("last") % (1 << LINE_BITS)).cast("int").alias("last")))).alias("runs"))
+    runs = _merged(found).groupBy("d").agg(F.array_sort(F.collect_list(F.struct((F.col("first") - F.col("d")).cast("int").alias("first"), (F.col("last") - F.col("d")).cast("int").alias("last")))).alias("runs"))
     none = F.array().cast("array<struct<first:int,last:int>>")
     rows = rows.join(runs, "d", "left").withColumn("runs", F.coalesce("runs", none))
     return rows.groupBy("doc_id", "key").agg(F.min_by("runs", "d").alias("runs"), F.min("n_lines").alias("n_lines"), F.min("n_words").alias("n_words"))
 
 
-def _merged(found: DataFrame, in_doc) -> DataFrame:
+def _merged(found: DataFrame) -> DataFrame:
+    in_doc = Window.partitionBy("d").orderBy("p")
     reach = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.coalesce(F.col("p") > reach + 1, F.lit(True)).cast("int"))
-    numbered_runs = marked.withColumn("run", F.sum("new").over(in_doc))
-    return numbered_runs.groupBy(_doc().alias("doc"), "run").agg(F.min("p").alias("first"), F.max("end").alias("last"))
+    return marked.withColumn("run", F.sum("new").over(in_doc)).groupBy("d", "run").agg(F.min("p").alias("first"), F.max("end").alias("last"))
+
+
+def _row_key():
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b":"), F.col("key"))))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, runs, text for each row of docs: its lines less later copies of repeated runs."""
-    found = repeated_runs(docs, min_words).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("key", text_key())
-    joined = rows.join(found, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (rows["key"] == found["key"])).drop(found["key"]).drop("_id")
-    # rows equal in doc_id and text: all but one are later copies as a whole
-    copy = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key")) > 1
+    found = repeated_runs(docs, min_words).select(_row_key().alias("row_key"), "runs", "n_lines", "n_words")
+    # rows equal in doc_id and text travel once, with their number; all but one are later copies as a whole
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("key", text_key()).withColumn("row_key", _row_key())
+    rows = rows.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    joined = rows.join(found, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     all_lines = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_lines") - 1).cast("int").alias("last")))
-    runs = F.when(copy & (F.col("n_words") >= min_words), all_lines).otherwise(F.col("runs"))
+    runs = F.when((F.col("copy") > 1) & (F.col("n_words") >= min_words), all_lines).otherwise(F.col("runs"))
     out = joined.withColumn("runs", runs).withColumn("n_removed", F.aggregate("runs", F.lit(0), lambda n, r: n + r.last - r.first + 1))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("runs", lambda r: (i >= r.first) & (i <= r.last)))
     text = F.when(F.size("runs") == 0, F.col("text")).when(F.col("n_removed") == F.col("n_lines"), "").otherwise(F.array_join(kept, "\n"))

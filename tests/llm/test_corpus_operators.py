@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framelake.llm import op7_jaccard_join as J
@@ -157,6 +158,42 @@ def test_lines_of_odd_rows(spark, none, clashing):
     assert L.without_repeats(none).count() == 0
 
 
+def test_ranks_are_a_suffix_array(spark):
+    r = random.Random(9)
+    docs = [(k, "\n".join(r.choice("abcd") for _ in range(r.randint(1, 9)))) for k in range(40)]
+    lines, rows = L._lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    start = {x.doc_id: x.d for x in rows.collect()}
+    assert [start[k] for k in range(40)] == list(np.cumsum([0, *[len(t.split("\n")) + 1 for _, t in docs]])[:-1])
+    line = {start[k] + n: x for k, t in docs for n, x in enumerate(t.split("\n"))}
+    place = {bytes(x.h): x.p for x in lines.collect()}
+    assert len(place) == 4
+    order = {line[p]: h for h, p in place.items()}  # the order among lines is that of their hashes
+    active, rounds = L._rounds(lines, 0)
+    for k, ranks in enumerate(rounds):
+        got = {x.p: x["rank"] for x in ranks.collect()}
+        run = {p: tuple(order[line[p + i]] for i in range(1 << k)) for p in line if all(p + i in line for i in range(1 << k))}
+        repeated = sorted({v for v in run.values() if sum(w == v for w in run.values()) > 1})
+        assert got == {p: repeated.index(v) for p, v in run.items() if v in repeated}
+    assert len(rounds) >= 2
+
+
+def test_line_ids_have_independent_halves(spark):
+    got = spark.range(5000).select(L.line_id(F.col("id").cast("string")).alias("h")).collect()
+    halves = np.array([np.frombuffer(bytes(x.h), np.uint64) for x in got])
+    assert len(set(halves[:, 0])) == len(set(halves[:, 1])) == 5000
+    # no bit of one half follows a bit of the other
+    bits = np.unpackbits(halves.view(np.uint8), axis=1).astype(float)
+    assert np.abs(np.corrcoef(bits.T)[:64, 64:]).max() < 0.08
+
+
+def test_lines_of_many_rows_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROWS_AT_ONCE", 7)
+    r = random.Random(11)
+    docs = [(k, "\n".join(r.choice(["a b c", "d e", "f"]) for _ in range(r.randint(0, 8)))) for k in range(30)]
+    got = L.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 5)
+    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute_lines(docs, 5)
+
+
 # ---- language model
 
 
