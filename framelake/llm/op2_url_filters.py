@@ -4,16 +4,17 @@ A rule is a host and a path prefix (`example.net/en/`) or a wildcard pattern ove
 URL (`*casino*`: `*` is any run, `^` a separator or the end).  Each rule is reduced to one
 regular expression and filed under the rarest of its literal tokens, as counted over the
 URLs to be judged.  A URL's tokens fetch candidate rules by an equi-join, and regular
-expressions run for those candidates only.  Everything is DataFrame work.
+expressions run for those candidates only, in the order of rules, so that each is compiled about once
+a task.  Rules are a table of any size (or a few `Rule`s); everything is DataFrame work.
 
 Defined results: a null URL or one without `://` has empty host and path, fits no rule and
-gets the default verdict; repeated rows are each judged; other columns are kept as they are,
+gets the default verdict; a URL with `://` and an empty host is judged by the patterns; rules that
+are null or repeat count once; of no rules, the default verdict is given; repeated rows are each judged; other columns are kept as they are,
 also if they are called `host`, `path`, `rule` or `verdict` (the operator's columns replace them).
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -57,47 +58,53 @@ def host_and_path(url):
     return F.when(found, host).otherwise(""), F.when(found, F.regexp_extract(url, whole, 2)).otherwise("")
 
 
-def compiled(rule: Rule) -> tuple[str, list[str]]:
-    """The rule's regular expression over `host`+newline+`path` (host rules) or the lower-cased URL, and its whole tokens.
+def rules_frame(spark, host_rules, pattern_rules) -> DataFrame:
+    """(rule, verdict, kind) of rules given as tuples of Rule or as tables (rule, verdict)."""
+    parts = []
+    for kind, rules in (("host", host_rules), ("pattern", pattern_rules)):
+        if not isinstance(rules, DataFrame):
+            rules = spark.createDataFrame([(r.text, r.verdict) for r in rules], "rule string, verdict string")
+        parts.append(rules.select("rule", "verdict", F.lit(kind).alias("kind")))
+    return parts[0].unionByName(parts[1]).where("rule is not null").groupBy("rule", "kind").agg(F.min("verdict").alias("verdict"))
 
-    Only tokens that a fitting URL must hold as whole tokens count: one at an open end of the
-    rule may go on in the URL, so it is left out.
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """rules with `length`, `regex` and `tokens`.
+
+    A regular expression runs over `host`+newline+`path` (host rules) or the lower-cased URL.  Only
+    tokens that a fitting URL must hold as whole tokens count: one at an open end of the rule or beside
+    `*` may go on in the URL, so it is left out.  A rule without tokens is filed under the empty one.
     """
-    if rule.kind == "host":
-        host, slash, path = rule.text.partition("/")
-        regex = rf"^(.*\.)?{re.escape(host)}\n{re.escape(slash + path)}"
-        tokens = re.split(SEPARATORS, host)
-        tokens += [t for t in re.findall(r"(?<=[^A-Za-z0-9])[a-z0-9]+(?=[^A-Za-z0-9])", slash + path)]
-    else:
-        regex = "".join({"*": ".*", "^": r"([^a-z0-9_.%-]|$)"}.get(c, re.escape(c)) for c in rule.text)
-        tokens = re.findall(r"(?<=[^A-Za-z0-9*])[a-z0-9]+(?=[^A-Za-z0-9*])", rule.text)
-        # a token next to * may be part of a longer one in the URL, so such a token can't be looked up
-    return regex, sorted({t for t in tokens if t})
-
-
-def rule_table(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    host = F.substring_index("rule", "/", 1)
+    path = F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")
+    escaped = lambda c: F.regexp_replace(c, r"([!-/:-@\[-`{-~])", r"\\$1")
+    pattern = F.replace(F.replace(escaped(F.col("rule")), F.lit(r"\*"), F.lit(".*")), F.lit(r"\^"), F.lit(r"(?:[^a-z0-9_.%-]|$)"))
+    whole = lambda c, beside: F.regexp_extract_all(c, F.lit(f"(?<=[^A-Za-z0-9{beside}])[a-z0-9]+(?=[^A-Za-z0-9{beside}])"), F.lit(0))
+    is_host = F.col("kind") == "host"
+    tokens = F.when(is_host, F.concat(F.split(host, SEPARATORS), whole(path, ""))).otherwise(whole(F.col("rule"), "*"))
+    tokens = F.filter(F.array_distinct(tokens), lambda t: t != "")
+    regex = F.when(is_host, F.concat(F.lit(r"(?s)^(?:.*\.)?"), escaped(host), F.lit(r"\n"), escaped(path))).otherwise(F.concat(F.lit("(?s)"), pattern))
+    return rules.select("rule", "verdict", "kind", F.length("rule").alias("length"), regex.alias("regex"), F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(tokens).alias("tokens"))
+
+
+def rule_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """rule, verdict, kind, length, regex, token: the rarest of the rule's tokens among the URLs, or '' if it has none."""
-    spark = urls.sparkSession
-    rows = []
-    for no, r in enumerate(rules):
-        regex, tokens = compiled(r)
-        rows += [(no, r.text, r.verdict, r.kind, len(r.text), regex, t) for t in tokens or [""]]
-    table = spark.createDataFrame(rows, "no int, rule string, verdict string, kind string, length int, regex string, token string")
-    wanted = sorted({r[-1] for r in rows})
-    counts = urls.select(F.explode("tokens").alias("token")).where(F.col("token").isin(wanted)).groupBy("token").agg(F.count("*").alias("urls"))
-    rarest = Window.partitionBy("no").orderBy(F.coalesce("urls", F.lit(0)), F.length("token").desc(), "token")
-    return table.join(counts, "token", "left").withColumn("place", F.row_number().over(rarest)).where("place = 1").drop("place", "urls", "no")
+    table = compiled(rules).withColumn("token", F.explode("tokens")).drop("tokens")
+    counts = urls.select(F.explode("tokens").alias("token")).join(table.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("urls"))
+    rarest = F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), (-F.length("token")).alias("n"), "token")
+    chosen = table.join(counts, "token", "left").groupBy("rule", "verdict", "kind", "length", "regex").agg(F.min(rarest).alias("best"))
+    return chosen.select("rule", "verdict", "kind", "length", "regex", F.col("best.token").alias("token"))
 
 
 def filter_urls(
     pages: DataFrame,
-    host_rules: tuple[Rule, ...] = HOST_RULES,
-    pattern_rules: tuple[Rule, ...] = PATTERN_RULES,
+    host_rules: tuple[Rule, ...] | DataFrame = HOST_RULES,
+    pattern_rules: tuple[Rule, ...] | DataFrame = PATTERN_RULES,
     default: str = "allow",
     id_column: str = "page_id",
     url_column: str = "url",
 ) -> DataFrame:
-    """pages with host, path, rule, pattern_rule, verdict.
+    """pages with host, path, rule, pattern_rule, verdict; rules as tuples or as tables (rule, verdict).
 
     The longest fitting host rule decides; else a blocking pattern rule; else the default.
     Of rules equally long the first in text order wins.
@@ -106,15 +113,15 @@ def filter_urls(
     host, path = host_and_path(F.col(url_column))
     judged = pages.select(F.struct(*pages.columns).alias("_row"), F.col(id_column).alias("id"), F.col(url_column).alias("page_url"), host.alias("host"), path.alias("path"))
     urls = (
-        judged.where(F.col("host") != "")
+        judged.where(F.col("page_url").contains("://"))
         .select(F.col("id").alias("_id"), F.col("page_url").alias("_url"), "host", "path")
         .withColumn("lower", F.lower("_url"))
         .withColumn("tokens", F.array_distinct(F.concat(F.split(F.concat("host", F.lit("/"), F.lower("path")), SEPARATORS), F.split("lower", SEPARATORS), F.array(F.lit("")))))
     )
-    rules = rule_table(urls, host_rules + pattern_rules)
-    candidates = urls.withColumn("token", F.explode("tokens")).drop("tokens").join(rules, "token")
+    rules = rule_table(urls, rules_frame(pages.sparkSession, host_rules, pattern_rules))
+    candidates = urls.withColumn("token", F.explode("tokens")).drop("tokens").join(rules, "token").sortWithinPartitions("rule")
     subject = F.when(F.col("kind") == "host", F.concat("host", F.lit("\n"), "path")).otherwise(F.col("lower"))
-    hits = candidates.where(F.regexp_like(subject, F.concat(F.lit("(?s)"), "regex")))
+    hits = candidates.where(F.regexp_instr(subject, F.col("regex")) > 0)  # keeps the last compiled expression
 
     def first(kind: str):
         # longest rule first, then text order: min over (-length, rule)

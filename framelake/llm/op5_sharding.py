@@ -4,7 +4,8 @@ Groups (rows of equal texts) stand in the order of a 128-bit hash of their text.
 smallest shard capacity is found by binary search; whether a capacity is feasible is checked
 greedily over the ordered group sizes.  The sizes stay distributed: the driver holds sums
 over cells (ranges of the hash, 65,536 at first) and asks for finer cells only where a cut
-falls into a cell of several groups.  Cuts are values of the hash, so each row finds its
+falls into a cell of several groups.  A greedy cut fills shard after shard and starves the last,
+so the cuts taken are those next to equal shares among all of the smallest capacity.  Cuts are values of the hash, so each row finds its
 shard by comparing its own hash with them: there is no join.
 
 Defined results: a null text counts as empty and shares its group; all rows of a group, also
@@ -46,6 +47,34 @@ class Cells:
     def _sum_up(self) -> None:
         self.end = np.cumsum(self.size)
 
+    def level(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """Cuts as near to equal shares as no shard over capacity allows, and the cells of several groups that a bound or share met."""
+        edges, met, n = np.r_[0, self.end], set(), len(self.end)
+
+        def meet(place: float) -> None:
+            at = int(np.searchsorted(self.end, place, side="right"))
+            if at < n and edges[at] < place and self.count[at] > 1:
+                met.add(at)
+
+        # from the end: the first place where a shard may begin so that the rest fits into those that remain
+        first, place = [0] * shards, self.total
+        for s in range(shards - 1, 0, -1):
+            meet(place - capacity)
+            first[s] = int(np.searchsorted(edges, place - capacity, side="left"))
+            place = int(edges[first[s]])
+        cuts, before = [], 0
+        for s in range(1, shards):
+            share, limit = self.total * s / shards, int(edges[before]) + capacity
+            meet(share)
+            meet(limit)
+            last = int(np.searchsorted(edges, limit, side="right")) - 1
+            at = min(int(np.searchsorted(edges, share)), n)
+            if at and share - edges[at - 1] < edges[at] - share:
+                at -= 1
+            before = max(before, min(max(at, first[s]), last))
+            cuts.append(before)
+        return cuts, met
+
     @property
     def total(self) -> int:
         return int(self.end[-1]) if len(self.end) else 0
@@ -88,7 +117,7 @@ class Cells:
 
 
 def shard_cuts(groups: DataFrame, shards: int) -> list[bytes]:
-    """Hash values at which shards 1, 2, ... begin, for the smallest feasible capacity."""
+    """Hash values at which shards 1, 2, ... begin: no shard is over the smallest feasible capacity, and cuts lie next to equal shares."""
     cells = Cells(groups)
     if not cells.total:
         return []
@@ -109,9 +138,9 @@ def shard_cuts(groups: DataFrame, shards: int) -> list[bytes]:
         # near the end of the search capacities differ by less than a group, so cells met are refined once each
         low, high = (low, middle) if feasible(middle) else (middle + 1, high)
     while True:
-        _, cuts, met = cells.greedy(low, shards, whole=True)
+        cuts, met = cells.level(low, shards)
         if not met:
-            return [cells.prefix[c] for c in cuts]
+            return [cells.prefix[c] for c in cuts if c < len(cells.prefix)]
         cells.refine(met)
 
 

@@ -4,7 +4,7 @@ OP2 = r"""
 with u as (
   select page_id, url, coalesce(contains(url, '://'), false) as ok from pages
 ), h as (
-  select page_id, url,
+  select page_id, url, ok,
     case when ok then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
     case when ok then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path
   from u
@@ -14,13 +14,12 @@ with u as (
 ), j as (
   select h.*,
     (select rule from r where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) order by length(rule) desc, rule limit 1) as rule,
-    case when host = '' then null
-         when contains(lower(url), '://') and regexp_matches(lower(url), '(?s)://.*spam-farm\.') then '://*spam-farm.' end as p1,
-    case when host <> '' and regexp_matches(lower(url), '(?s)://.*cheap-pills\.') then '://*cheap-pills.' end as p2,
-    case when host <> '' and regexp_matches(lower(url), '(?s)://.*free-bets\.') then '://*free-bets.' end as p3,
-    case when host <> '' and regexp_matches(lower(url), '(?s)://.*adult-x\.') then '://*adult-x.' end as p4,
-    case when host <> '' and regexp_matches(lower(url), '(?s)://.*\.casino([^a-z0-9_.%-]|$)') then '://*.casino^' end as p5,
-    case when host <> '' and contains(lower(url), '/adserver/') then '/adserver/' end as p6
+    case when ok and regexp_matches(lower(url), '(?s)://.*spam-farm\.') then '://*spam-farm.' end as p1,
+    case when ok and regexp_matches(lower(url), '(?s)://.*cheap-pills\.') then '://*cheap-pills.' end as p2,
+    case when ok and regexp_matches(lower(url), '(?s)://.*free-bets\.') then '://*free-bets.' end as p3,
+    case when ok and regexp_matches(lower(url), '(?s)://.*adult-x\.') then '://*adult-x.' end as p4,
+    case when ok and regexp_matches(lower(url), '(?s)://.*\.casino([^a-z0-9_.%-]|$)') then '://*.casino^' end as p5,
+    case when ok and contains(lower(url), '/adserver/') then '/adserver/' end as p6
   from h
 )
 select page_id, host, path, rule,

@@ -205,49 +205,154 @@ def contract(docs):
     return [(i, h, len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for (i, _), t, h in zip(docs, toks, held, strict=True)]
 
 
-@pytest.mark.parametrize("head", [65_536, 20, 0])
+@pytest.mark.parametrize("head", [(65_536, 10**6), (20, 15), (0, 0)])
 def test_lm_contract_columns(spark, clashing, monkeypatch, head):
-    monkeypatch.setattr(H, "HEAD_WORDS", head)  # few or no words scored without the join
-    got = H.score_documents(clashing).collect()
+    monkeypatch.setattr(H, "HEAD_WORDS", head[0])  # few or no tokens scored without the join
+    monkeypatch.setattr(H, "HEAD_PAIRS", head[1])
+    got = H.score_documents(clashing, 3).collect()
     rows = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got]
     assert sorted(rows, key=str) == sorted(contract([(i, t) for i, t, *_ in odd_documents()]), key=str)
     assert all(r.score <= 0 for r in got)
 
 
+def test_lm_scores_do_not_depend_on_how_rows_are_dealt(spark, odd, monkeypatch):
+    def scored(df, head):
+        monkeypatch.setattr(H, "HEAD_PAIRS", head)
+        return sorted((str(r.doc_id), round(r.score, 9)) for r in H.score_documents(df, 3).collect())
+
+    plain = scored(odd, 10**6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert scored(odd.repartition(7), 30) == plain
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_lm_beats_the_base_on_held_out_rows(spark):
     got = [r for r in H.score_documents(read(spark, "/root/testdata/sf0.001", "documents")).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_lm_predictions_sum_to_one(spark):
-    docs = read(spark, "/root/testdata/sf0.001", "documents").limit(40)
+def sampled(spark, docs, customers):
     rows = H._folded(docs)
-    counts = H.word_counts(rows).collect()
-    contexts = H.Contexts([r.word for r in sorted(counts, key=lambda r: -r.n)[: H.CONTEXT_WORDS]])
-    model, lam, unseen = H.sample_model(H.cut(H.context_counts(rows, contexts)), len(counts))
-    total = np.zeros(H.CONTEXTS)
-    for r in model.collect():
-        total += (lam * np.array([r[f"root{k + 1}"] for k in range(H.SAMPLES)])).mean(1)
-        total[list(r.ctxs)] += r.obs
-    total += (lam * np.array(unseen)).mean(1)  # the one dish for unknown words
-    assert np.allclose(total, 1, atol=1e-6)
+    counts = H.word_counts(rows)
+    contexts = spark.sparkContext.broadcast(H.Contexts.of_counts(counts, customers))
+    pairs = H.cut(H.pair_counts(rows, contexts))
+    model, unseen = H.sample_model(pairs, counts.count())
+    return model, unseen, pairs
+
+
+def test_lm_predictions_sum_to_one(spark):
+    model, unseen, pairs = sampled(spark, read(spark, "/root/testdata/sf0.001", "documents").limit(40), 10)
+    lam = {r.ctx: [r.lam1, r.lam2] for r in model.contexts.collect()}
+    words = {r.word: [r.p1, r.p2] for r in model.words.collect()}
+    assert len(lam) > 30 and abs(sum(p[0] for p in words.values()) + unseen[0] - 1) < 1e-9
+    total = dict.fromkeys(lam, 0.0)
+    of_pair = {r.pair: r.p for r in H.pair_scores(pairs, model).collect()}
+    own = pairs.select("ctx", "word", H.pair_key(F.col("ctx"), F.col("word")).alias("pair")).collect()
+    for c in list(lam)[:30]:
+        seen = {r.word: of_pair[r.pair] for r in own if r.ctx == c}
+        rest = sum(np.mean(np.multiply(lam[c], p)) for w, p in words.items() if w not in seen) + np.mean(np.multiply(lam[c], unseen))
+        total[c] = sum(seen.values()) + rest
+        assert abs(total[c] - 1) < 1e-9
 
 
 def test_lm_of_no_rows(spark, none):
     assert H.score_documents(none).count() == 0
 
 
-def test_seating_follows_the_restaurant_process():
-    rng = np.random.default_rng(0)
-    counts, n = np.full(4000, 30), 4000
-    tables = H.seated(counts, np.zeros(n, np.int64), np.ones(n), 0.5, 1.0, rng)
-    # with a base of 1 every table serves the dish: the mean is that of a plain Chinese restaurant
-    want, t = 0.0, np.zeros(4000)
-    for k in range(30):
-        t += rng.random(4000) < (1.0 + 0.5 * t) / (1.0 + k)
-    want = t.mean()
-    assert abs(tables.mean() - want) < 0.5
-    assert (H.seated(np.array([1, 100_000]), np.zeros(2, np.int64), np.full(2, 1e-6), 0.5, 1.0, rng) >= 1).all()
+def test_table_counts_follow_their_distribution():
+    def stirling(c, d=0.5):  # weights of seating c customers at t tables, by adding one customer after another
+        row = [1.0]
+        for n in range(1, c):
+            row = [(row[t - 1] * (n - d * t) if t <= len(row) else 0.0) + (row[t - 2] if t >= 2 else 0.0) for t in range(1, n + 2)]
+        return np.array(row)
+
+    n = 40_000
+    for c, mass in [(2, 0.3), (3, 5.0), (7, 0.01), (12, 2.0), (12, 300.0), (60, 9.0)]:
+        want = stirling(c) * (mass * 0.5) ** np.arange(1, c + 1)
+        want /= want.sum()
+        t = H.tables_of(np.full(n, c), np.full(n, mass), H.Draws(np.arange(n), np.int64(c)))
+        got = np.bincount(t, minlength=c + 1)[1:] / n
+        assert np.abs(got - want).max() < 5 * np.sqrt(0.25 / n), (c, mass)
+    huge = H.tables_of(np.full(1000, 10**9), np.full(1000, 40.0), H.Draws(np.arange(1000)))
+    assert abs(huge.mean() - 40.5) < 1.5  # far from c, t - 1 is a Poisson number of that mean, near enough
+    g = H.Draws(np.arange(n), np.int64(9)).gamma(np.full(n, 0.5))
+    assert abs(g.mean() - 0.5) < 0.02 and abs(g.var() - 0.5) < 0.05
+
+
+def plain_gibbs(pairs, vocabulary, sweeps, burn_in, seed):
+    """Averaged P(w | u) of seen pairs, with every customer taken away and seated again, one at a time."""
+    rng = np.random.default_rng(seed)
+    d = 0.5
+
+    class Restaurant:
+        def __init__(self, parent):
+            self.parent, self.sizes, self.c, self.t = parent, {}, 0, 0
+
+        def p(self, w):
+            base = self.parent.p(w) if self.parent else 1 / (vocabulary + 1)
+            own = self.sizes.get(w, [])
+            return (sum(own) - d * len(own) + (1.0 + d * self.t) * base) / (1.0 + self.c)
+
+        def add(self, w):
+            own = self.sizes.setdefault(w, [])
+            base = self.parent.p(w) if self.parent else 1 / (vocabulary + 1)
+            weights = np.array([s - d for s in own] + [(1.0 + d * self.t) * base])
+            k = rng.choice(len(weights), p=weights / weights.sum())
+            self.c += 1
+            if k < len(own):
+                own[k] += 1
+            else:
+                own.append(1)
+                self.t += 1
+                if self.parent:
+                    self.parent.add(w)
+
+        def remove(self, w):
+            own = self.sizes[w]
+            k = rng.choice(len(own), p=np.array(own) / sum(own))
+            own[k] -= 1
+            self.c -= 1
+            if not own[k]:
+                own.pop(k)
+                self.t -= 1
+                if self.parent:
+                    self.parent.remove(w)
+
+    root = Restaurant(None)
+    rooms = {u: Restaurant(root) for u, _ in pairs}
+    customers = [k for k, n in pairs.items() for _ in range(n)]
+    for u, w in customers:
+        rooms[u].add(w)
+    total = dict.fromkeys(pairs, 0.0)
+    for sweep in range(sweeps):
+        for u, w in customers:
+            rooms[u].remove(w)
+            rooms[u].add(w)
+        if sweep >= burn_in:
+            for u, w in pairs:
+                total[u, w] += rooms[u].p(w) / (sweeps - burn_in)
+    return total
+
+
+def test_lm_matches_a_plain_sampler(spark, monkeypatch):
+    monkeypatch.setattr(H, "SAMPLES", 12)
+    monkeypatch.setattr(H, "STRENGTHS", np.ones(1))  # as in the plain sampler
+    texts = ["a b a b a b c", "a c a c d", "b a b a d d", "c a b", "a b c a b c a b", "d d d a"]
+    docs = [(i, t) for i, t in enumerate(texts * 2) if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = Counter()
+    for _, t in docs:
+        own = [*t.split(), "\n"]
+        pairs.update(zip(["", *own[:-1]], own, strict=True))
+    want = plain_gibbs(dict(pairs), len({w for _, w in pairs}), 260, 30, 4)
+    got = {r.doc_id: r.score for r in H.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), 1).collect()}
+    for i, t in docs:
+        own = [*t.split(), "\n"]
+        expected = sum(math.log10(want[p]) for p in zip(["", *own[:-1]], own, strict=True))
+        assert abs(got[i] - expected) < 0.06 * len(own) ** 0.5, (i, got[i], expected)
+    assert abs(sum(got.values()) - sum(sum(math.log10(want[p]) for p in zip(["", *[*t.split()]], [*t.split(), "\n"], strict=True)) for _, t in docs)) < 0.5
 
 
 # ---- pipeline

@@ -1,6 +1,7 @@
 """URL filters, sharding, mixing."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -43,6 +44,30 @@ def test_urls_by_plain_rules(spark):
     assert got["http://my.casinos/x"].verdict == "allow"
 
 
+def test_empty_hosts_are_judged_by_patterns(spark):
+    urls = ["file:///adserver/x", "file:///x", "://", "x://?a=/adserver/"]
+    got = {r.url: r for r in U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [(got[u].host, got[u].verdict) for u in urls] == [("", "block"), ("", "allow"), ("", "allow"), ("", "block")]
+
+
+def test_ten_thousand_rules_by_plain_evaluation(spark):
+    r = random.Random(21)
+    names = [f"n{i}" for i in range(400)]
+    hosts = list({f"{r.choice(names)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['', 'a/', 'b.c/'])}": r.choice(["allow", "block"]) for _ in range(6000)}.items())
+    patterns = list({f"{r.choice(['/', '.', '*'])}{r.choice(names)}{r.choice(['^', '/', '*x(', '-ad.'])}": "block" for _ in range(6000)}.items())
+    urls = [f"http://{r.choice(['', 'w.', 'X.'])}{r.choice(names)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['', 'a/', 'b.c/', 'bxc/'])}{r.choice(names)}{r.choice(['', '/', '-ad.', 'yx('])}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frames = [spark.createDataFrame(x, "rule string, verdict string") for x in (hosts, patterns)]
+    assert len(hosts) + len(patterns) > 5000
+    regexes = [(t, re.compile("(?s)" + "".join({"*": ".*", "^": "(?:[^a-z0-9_.%-]|$)"}.get(c, re.escape(c)) for c in t))) for t, _ in patterns]
+    for x in U.filter_urls(pages, *frames).collect():
+        host, path = x.url[7:].partition("/")[0].lower(), "/" + x.url[7:].partition("/")[2]
+        fits = [(t, v) for t, v in hosts if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith(t[t.index("/") :])]
+        rule = min(fits, key=lambda f: (-len(f[0]), f[0]), default=(None, None))
+        hit = min((t for t, p in regexes if p.search(x.url.lower())), key=lambda t: (-len(t), t), default=None)
+        assert (x.rule, x.pattern_rule, x.verdict) == (rule[0], hit, rule[1] or ("block" if hit else "allow")), x.url
+
+
 def test_urls_repeat_clash_and_are_empty(spark):
     rows = [(1, "http://a.net/"), (1, "http://a.net/"), (None, "http://a.net/"), (None, None), (1, "http://b.org/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' as host", "'y' as _row", "'z' as rule", "1 as token", "2 as id", "3 as _url")
@@ -88,6 +113,15 @@ def test_shards_are_minimax(spark, shards):
         assert sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got)))
 
 
+def test_no_shard_is_starved(spark):
+    r = random.Random(2)
+    texts = [f"{i} " + "t" * r.randrange(100) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    load = {x.shard: x["n"] for x in S.shard_documents(docs, 24).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "n").collect()}
+    largest = max(len(t) + 8 for t in texts)
+    assert len(load) == 24 and max(load.values()) - min(load.values()) <= 2 * largest
+
+
 def test_cells_are_refined_to_single_groups(spark, monkeypatch):
     texts = [f"text {i}" * (1 + i % 7) for i in range(3000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
