@@ -234,6 +234,14 @@ def test_lm_beats_the_base_on_held_out_rows(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_pair_keys_are_those_of_spark(spark):
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
+    df = spark.createDataFrame([(a, b) for a in values for b in values], "ctx long, word long")
+    got = df.select("*", H.pair_key(F.col("ctx"), F.col("word")).alias("k")).collect()
+    ctx, word = (np.array([r[i] for r in got]).view(np.uint64) for i in (0, 1))
+    assert H.pair_keys(ctx, word).view(np.int64).tolist() == [r.k for r in got]
+
+
 def sampled(spark, docs, customers):
     rows = H._folded(docs)
     counts = H.word_counts(rows)
