@@ -24,14 +24,15 @@ equally similar the first is reported; extra columns are kept by `decontaminated
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, in_blocks, shingle_hashes, text_or_empty, word_hashes
+from .common import NEAR, SHINGLE_WORDS, in_blocks, mix, shingle_hashes, text_or_empty
 
 BITS = 64
 BLOCKS, BLOCK_BITS = 4, 16
@@ -45,11 +46,34 @@ CHARS_AT_ONCE = 20_000_000
 LOOK_THROUGH = 64
 #: Windows whose fingerprints are made at once; their sums stay in a core's cache.
 WINDOWS_AT_ONCE = 8192
-WORD = re.compile(r"\w+")
+#: Odd factor of the word hash, and its inverse modulo 2^64.
+FACTOR = 0x9E3779B97F4A7C15
+UNFACTOR = pow(FACTOR, -1, 1 << 64)
+
+
+@cache
+def _in_words() -> np.ndarray:
+    """Which code points belong to words: letters, digits and the underline."""
+    return np.array([chr(c).isalnum() or c == ord("_") for c in range(sys.maxunicode + 1)])
+
+
+@cache
+def _powers(base: int, bits: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64."""
+    return np.cumprod(np.r_[np.ones(1, np.uint64), np.full((1 << bits) - 1, base, np.uint64)])
 
 
 def words_of(text: str | None) -> np.ndarray:
-    return word_hashes(WORD.findall(text.lower())) if text else np.zeros(0, np.uint64)
+    """A hash for each lower-cased word: the sum of its mixed characters times powers of an odd factor, mixed again."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.r_[False, _in_words()[codes], False]
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    start, stop = change[::2], change[1::2]
+    bits = max(12, int(len(codes)).bit_length())
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(FACTOR, bits)[: len(codes)])]
+    return mix((total[stop] - total[start]) * _powers(UNFACTOR, bits)[start])
 
 
 def signed_bits(hashes: np.ndarray) -> np.ndarray:
@@ -150,23 +174,29 @@ class Benchmark:
                 part = sums[a : a + WINDOWS_AT_ONCE + 1]
                 np.cumsum(signed_bits(shingles[a : a + WINDOWS_AT_ONCE]), axis=0, dtype=self.sums, out=part[1:])
                 part[1:] += sums[a]
-            for own in (i for i in self.sizes if i.width == width):
-                self._windows(own, sums, shingles, room, end, found)
+            sizes = [i for i in self.sizes if i.width == width]
+            self._windows(sizes, sums, shingles, room, end, found)
+            for own in sizes:
                 self._short_texts(own, sums, shingles, length, end, found)
         return [[(None if nameless else i, *best[nameless, i]) for nameless, i in sorted(best)] for best in found]
 
-    def _windows(self, own: Index, sums, shingles, room, end, found) -> None:
-        last = len(shingles) - own.span + 1
+    def _windows(self, sizes: list[Index], sums, shingles, room, end, found) -> None:
         difference, positive = np.empty((WINDOWS_AT_ONCE, BITS), self.sums), np.empty((WINDOWS_AT_ONCE, BITS), bool)
-        for a in range(0, last, WINDOWS_AT_ONCE):
-            n = min(WINDOWS_AT_ONCE, last - a)
-            np.subtract(sums[a + own.span : a + own.span + n], sums[a : a + n], out=difference[:n])
-            np.greater(difference[:n], 0, out=positive[:n])
-            row, item = own.within(np.packbits(positive[:n]).view(np.uint16))
-            inside = room[a + row] >= own.size  # a window over the end of a text is none
-            for start, i in zip((a + row[inside]).tolist(), item[inside].tolist(), strict=True):
-                text = int(np.searchsorted(end, start, "right"))
-                self._verify(own, i, shingles[start : start + own.span], found[text], start - (int(end[text - 1]) if text else 0), own.size)
+        # all sizes for a stretch of starts, as its sums are in the core's cache then
+        for a in range(0, len(shingles), WINDOWS_AT_ONCE):
+            for own in sizes:
+                n = min(WINDOWS_AT_ONCE, len(shingles) - own.span + 1 - a)
+                if n <= 0:
+                    continue
+                np.subtract(sums[a + own.span : a + own.span + n], sums[a : a + n], out=difference[:n])
+                np.greater(difference[:n], 0, out=positive[:n])
+                row, item = own.within(np.packbits(positive[:n]).view(np.uint16))
+                if not len(row):
+                    continue
+                inside = room[a + row] >= own.size  # a window over the end of a text is none
+                for start, i in zip((a + row[inside]).tolist(), item[inside].tolist(), strict=True):
+                    text = int(np.searchsorted(end, start, "right"))
+                    self._verify(own, i, shingles[start : start + own.span], found[text], start - (int(end[text - 1]) if text else 0), own.size)
 
     def _short_texts(self, own: Index, sums, shingles, length, end, found) -> None:
         # shared weight is at most the text's, and the larger weights sum to the item's at least

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -206,6 +207,18 @@ def test_counts_of_odd_rows(spark, none, clashing):
     assert T.count_tokens(none).count() == 0
 
 
+def test_words_are_told_apart():
+    texts = [t for _, t, *_ in odd_documents() if t] + ["a b a", "é_1 É_1 x-y", "ab ba aab abb", "\U0001d400 z"]
+    seen = {}
+    for t in texts:
+        plain = re.findall(r"\w+", t.lower())
+        hashes = D.words_of(t).tolist()
+        assert len(plain) == len(hashes)
+        for w, h in zip(plain, hashes, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_block_search_finds_all_within_the_radius(monkeypatch):
     rng = np.random.default_rng(3)
     for look_through in (0, 64):
