@@ -45,7 +45,7 @@ CHARS_AT_ONCE = 20_000_000
 #: A size of at most so many items is looked through once a window's block values have hit.
 LOOK_THROUGH = 64
 #: Windows whose fingerprints are made at once; their sums stay in a core's cache.
-WINDOWS_AT_ONCE = 8192
+WINDOWS_AT_ONCE = 16_384
 #: Odd factor of the word hash, and its inverse modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C15
 UNFACTOR = pow(FACTOR, -1, 1 << 64)
@@ -57,6 +57,11 @@ def _in_words() -> np.ndarray:
     return np.array([chr(c).isalnum() or c == ord("_") for c in range(sys.maxunicode + 1)])
 
 
+@cache
+def _mixed_codes() -> np.ndarray:
+    return mix(np.arange(1, sys.maxunicode + 2, dtype=np.uint64))
+
+
 @cache
 def _powers(base: int, bits: int) -> np.ndarray:
     """base^0, base^1, ... modulo 2^64."""
@@ -72,7 +77,7 @@ def words_of(text: str | None) -> np.ndarray:
     change = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = change[::2], change[1::2]
     bits = max(12, int(len(codes)).bit_length())
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(FACTOR, bits)[: len(codes)])]
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(_mixed_codes()[codes] * _powers(FACTOR, bits)[: len(codes)])]
     return mix((total[stop] - total[start]) * _powers(UNFACTOR, bits)[start])
 
 
