@@ -113,3 +113,76 @@ def clip3(low, high, x: Column) -> Column:
 def relative_distance(a: Column, b: Column, restricted: int = -1) -> Column:
     """Order distance in -127..127; the restricted value is farther than any other."""
     return F.when((a == restricted) & (b == restricted), 0).when(a == restricted, 127).when(b == restricted, -127).otherwise(clip3(-127, 127, a - b))
+
+
+#: Unit types by their 5-bit code; further codes are reserved.
+UNIT_TYPES = [
+    "Reserved0", "SequenceHeader", "TemporalDelimiter", "MultiFrameHeader", "ClosedLoopKey", "OpenLoopKey", "LeadingTileGroup", "RegularTileGroup", "MetadataShort",
+    "MetadataGroup", "Switch", "LeadingSef", "RegularSef", "LeadingTip", "RegularTip", "BufferRemovalTiming", "LayerConfigurationRecord", "AtlasSegment",
+    "OperatingPointSet", "BridgeFrame", "Msdo", "RasFrame", "QuantizationMatrix", "FilmGrain", "ContentInterpretation", "Padding",
+]
+#: Classes of unit types.
+UNIT_CLASSES = {
+    "is_tile_group": ["ClosedLoopKey", "OpenLoopKey", "LeadingTileGroup", "RegularTileGroup", "Switch", "RasFrame"],
+    "is_extensible": ["SequenceHeader", "MultiFrameHeader", "LayerConfigurationRecord", "AtlasSegment", "OperatingPointSet", "ContentInterpretation"],
+    "is_tip_frame": ["LeadingTip", "RegularTip"],
+    "is_sef": ["LeadingSef", "RegularSef"],
+    "is_regular_frame": ["OpenLoopKey", "RegularTileGroup", "Switch", "RegularSef", "RegularTip", "BridgeFrame", "RasFrame"],
+    "requires_global_layer": ["TemporalDelimiter", "Msdo"],
+    "permits_global_layer": ["TemporalDelimiter", "MetadataShort", "MetadataGroup", "BufferRemovalTiming", "LayerConfigurationRecord", "AtlasSegment", "OperatingPointSet", "Msdo", "Padding"],
+    "requires_base_layers": ["SequenceHeader", "TemporalDelimiter", "LayerConfigurationRecord", "AtlasSegment", "OperatingPointSet"],
+}
+
+
+def unit_types(spark):
+    """A row for each 5-bit code: its name and classes (a table of 32 rows, to be broadcast)."""
+    rows = []
+    for code in range(32):
+        name = UNIT_TYPES[code] if code < len(UNIT_TYPES) else f"Reserved{code}"
+        rows.append((code, name, name.startswith("Reserved"), *(name in own for own in UNIT_CLASSES.values())))
+    return spark.createDataFrame(rows, "type_code int, type_name string, is_reserved boolean, " + ", ".join(f"{c} boolean" for c in UNIT_CLASSES))
+
+
+def aligned(bits: Column, at: Column | int) -> Column:
+    """Whether the bits from a position up to the next byte are zero."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.locate("1", F.substring(bits, at + 1, F.pmod(-at, F.lit(8)))) == 0
+
+
+def trailing_bits(rest: Column) -> Column:
+    """Verdict on the bits that end a payload: a one, then zeros."""
+    return F.when(F.length(rest) == 0, "empty").when(~F.startswith(rest, F.lit("1")), "missing one bit").when(F.locate("1", F.substring(rest, F.lit(2), F.length(rest))) > 0, "zero bit not zero").otherwise("ok")
+
+
+def payload_tail(rest: Column, extensible: Column, payload_bytes: Column) -> Column:
+    """Verdict on what is left of a payload: an extension flag of zero where the type has one, then trailing bits; an empty payload has none."""
+    after = F.when(extensible, F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+    return F.when(payload_bytes == 0, "ok").when(extensible & F.startswith(rest, F.lit("1")), "extension").otherwise(trailing_bits(after))
+
+
+def padding(payload: Column) -> Column:
+    """(padding_bytes, trailing_bytes, verdict): trailing bits begin with the last byte that isn't zero."""
+    n = F.octet_length(payload)
+    kept = F.regexp_replace(F.hex(payload), "(?:00)+$", "")
+    length = F.floor(F.length(kept) / 2).cast("int")
+    verdict = F.when((n > 0) & (length == 0), "all zero").when((n > 0) & (F.substring(kept, -2, 2) != "80"), "trailing bits").otherwise("ok")
+    ok = verdict == "ok"
+    before = F.greatest(length - 1, F.lit(0))
+    return F.struct(F.when(ok, before).alias("padding_bytes"), F.when(ok, n - before).alias("trailing_bytes"), verdict.alias("verdict"))
+
+
+def log2_q8(x: Column) -> Column:
+    """log2 in 256ths, rounded."""
+    return F.floor(F.log2(x.cast("double")) * 256 + 0.5).cast("int")
+
+
+def lowered_precision(v: Column, precision: int) -> Column:
+    """A vector component (eighths of a sample) rounded to a precision of 0 to 6, halves towards zero."""
+    if precision >= 6:
+        return v
+    n = 6 - precision
+    size = F.abs(v)
+    whole = F.shiftleft(F.shiftright(size - 1 + (1 << n >> 1), n), n)
+    out = F.when(v >= 0, whole).otherwise(-whole)
+    limit = (1 << 16) - (1 << n)
+    return F.when(whole != size, clip3(-limit, limit, out)).otherwise(out)

@@ -326,11 +326,13 @@ def did_you_mean(spark, sf):
 reach(id, needs) as (select n_nationkey, n_nationkey from nation union select r.id, e.needs from reach r join edge e on r.needs = e.id)
 select id, count(*) as n, sum(needs)::bigint as s from reach group by 1""")
 def layer_closure(spark, sf):
-    table(spark, sf, "nation").createOrReplaceTempView("nation_layers")
-    return spark.sql("""with recursive reach(id, needs, depth) as (
-        select n_nationkey, n_nationkey, 0 from nation_layers
+    return spark.sql(
+        """with recursive reach(id, needs, depth) as (
+        select n_nationkey, n_nationkey, 0 from {nation}
         union all select id, cast(floor(needs / 2) as int), depth + 1 from reach where needs > 0)
-      select id, count(*) as n, sum(needs) as s from (select distinct id, needs from reach) group by id""")
+      select id, count(*) as n, sum(needs) as s from (select distinct id, needs from reach) group by id""",
+        nation=table(spark, sf, "nation"),
+    )
 
 
 @query("pkt", "select stream, n, rank, ref_n, distance from (select a.stream, a.n, b.n as ref_n, a.n - b.n as distance, row_number() over (partition by a.stream, a.n order by abs(a.bits - b.bits), b.n desc)::int as rank from pkt a join pkt b on a.stream = b.stream and b.n < a.n and b.n >= a.n - 16) where rank <= 7")

@@ -204,9 +204,13 @@ def y4m_header_line(width: int, height: int, rate_num: int, rate_den: int, chrom
     return f"YUV4MPEG2 W{width} H{height} F{rate_num}:{rate_den} Ip C{chroma}{'p10' if bit_depth > 8 else ''}\n"
 
 
-def frame_digests(rows: DataFrame) -> DataFrame:
-    """SHA-256 of each frame's visible 8-bit samples: planes in order, row by row."""
-    line = F.unhex(F.array_join(F.transform("samples", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+def frame_digests(rows: DataFrame, bit_depth: int = 8) -> DataFrame:
+    """SHA-256 of each frame's visible samples: planes in order, row by row; one byte a sample, above 8 bits two, the low one first."""
+    if bit_depth > 8:
+        value = lambda v: F.concat(F.lpad(F.hex(v.cast("long") % 256), 2, "0"), F.lpad(F.hex(F.shiftright(v.cast("long"), 8)), 2, "0"))
+    else:
+        value = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    line = F.unhex(F.array_join(F.transform("samples", value), ""))
     ordered = F.array_sort(F.collect_list(F.struct("plane", "y", F.hex(line).alias("bytes"))))
     frames = rows.groupBy("path", "frame").agg(F.transform(ordered, lambda r: r["bytes"]).alias("lines"))
     return frames.select("path", "frame", F.sha2(F.unhex(F.array_join("lines", "")), 256).alias("digest"))

@@ -2,6 +2,7 @@ import pytest
 from oracle import connect, duck_rows, spark_rows
 
 import __spark_entry__ as entry
+from framelake.plans import records  # noqa: F401  (adds its queries)
 from framelake.plans.catalogue import ORACLES, QUERIES
 
 
