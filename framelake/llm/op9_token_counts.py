@@ -13,12 +13,18 @@ independent chunks that begin at its space marks; each worker remembers the coun
 it has met, up to a bound.
 
 The vocabulary's pieces and scores come from the model file in the `model_path` parameter; the
-driver reads it, as executors need not have it.  Defined results: null and empty texts have no
-tokens; repeated rows are counted each; extra columns are ignored.
+driver reads it, as executors need not have it.  A file of merge ranks serves as well: a piece's score is
+then its negative rank, and pieces scored -1e9, which stand for "never", are left out.  (The
+tokenizer's own unigram mode counts the same on such a file, as the test shows.)
+
+Defined results: null and empty texts have no tokens; a chunk without any blank may be as long as a
+text, as only the scores of one piece length back are held; repeated rows are counted each; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,6 +37,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
+#: Pieces at or below this score are never taken.
+NEVER = -1e8
 #: Chunks whose counts a worker remembers.
 REMEMBERED = 400_000
 
@@ -41,7 +49,7 @@ def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
-    pieces = [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    pieces = [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) or model.get_score(i) <= NEVER)]
     return pieces, any(model.is_byte(i) for i in ids)
 
 
@@ -55,6 +63,7 @@ class PieceCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         joined = {c for p, _ in pieces if len(p) > 1 for c in p}
         splits = byte_fallback and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
@@ -64,26 +73,30 @@ class PieceCounter:
         self.known: dict[str, int] = {}
 
     def chunk_count(self, chunk: str) -> int:
-        n = len(chunk)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(chunk):
-            ends[end].append(found)
-        score, count, in_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for i in range(n):
+        ring = self.longest + 1  # places whose scores are held, one behind another in a circle
+        score, count, in_unknown = [0.0] * ring, [0] * ring, [False] * ring
+        found = self.automaton.iter(chunk)
+        ahead = next(found, None)
+        for i in range(len(chunk)):
+            ends = []
+            while ahead is not None and ahead[0] == i:
+                ends.append(ahead[1])
+                ahead = next(found, None)
             best, pieces, unknown, single = None, 0, False, False
-            for length, own in sorted(ends[i], reverse=True):  # the earliest start first
+            for length, own in sorted(ends, reverse=True):  # the earliest start first
                 single = single or length == 1
-                total = score[i + 1 - length] + own
+                total = score[(i + 1 - length) % ring] + own
                 if best is None or total > best:
-                    best, pieces = total, count[i + 1 - length] + 1
+                    best, pieces = total, count[(i + 1 - length) % ring] + 1
+            here, after = i % ring, (i + 1) % ring
             if not single:
-                total = score[i] + self.unknown
+                total = score[here] + self.unknown
                 if best is None or total > best:
                     unknown = True
-                    width = len(chunk[i].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not in_unknown[i])
-                    best, pieces = total, count[i] + width
-            score[i + 1], count[i + 1], in_unknown[i + 1] = best, pieces, unknown
-        return count[n]
+                    width = len(chunk[i].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not in_unknown[here])
+                    best, pieces = total, count[here] + width
+            score[after], count[after], in_unknown[after] = best, pieces, unknown
+        return count[len(chunk) % ring]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -108,12 +121,15 @@ def count_tokens(docs: DataFrame, model_path: str = MODEL_PATH, text_column: str
     """doc_id, n_bytes, n_tokens for each row of docs; a narrow scan without a shuffle."""
     import pyarrow as pa
 
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))  # a tokenizer's vocabulary: bounded
+    pieces = load_pieces(model_path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)  # a tokenizer's vocabulary: bounded
+    content = hashlib.sha256(repr(pieces).encode()).hexdigest()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.get(model_path)
+        counter = _counters.get(content)
         if counter is None:
-            counter = _counters[model_path] = PieceCounter(*vocabulary.value)
+            _counters.clear()
+            counter = _counters[content] = PieceCounter(*vocabulary.value)
         for b in in_blocks(batches):
             tokens = pa.array([counter.count(t) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), tokens], names=["doc_id", "n_bytes", "n_tokens"])

@@ -192,6 +192,28 @@ def test_counts_equal_the_tokenizer(spark):
     assert [counter.count(t) for t in texts] == [len(model.encode(T.SPACE + t.replace(" ", T.SPACE)).tokens) for t in texts]
 
 
+def test_counts_equal_sentencepiece_in_unigram_mode(spark):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(T.MODEL_PATH, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for piece in proto.pieces:
+        if piece.type == pb.ModelProto.SentencePiece.NORMAL and piece.score <= T.NEVER:
+            piece.type = pb.ModelProto.SentencePiece.UNUSED
+    model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    counter = T.PieceCounter(*T.load_pieces(T.MODEL_PATH))
+    texts = [r.text for r in read(spark, "/root/testdata/sf0.01", "documents").select("text").limit(150).collect()]
+    assert [counter.count(t) for t in texts] == [len(model.encode(t)) for t in texts]
+
+
+def test_a_chunk_without_blanks_may_be_long():
+    counter = T.PieceCounter([("▁", -1.0), ("a", -1.0), ("aa", -1.5), ("aaa", -1.9)], True)
+    assert counter.count("a" * 300_000) == 1 + 100_000
+
+
 def test_ties_keep_the_longer_last_piece():
     counter = T.PieceCounter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0)], False)
     # ▁|ab, ▁|a|b and ▁a|b all score -3 or -3: the longer last piece wins
