@@ -6,8 +6,9 @@ pair is hashed to one entry of the signature.  The share of equal entries estima
 likeness that falls with edit distance, as moved text changes the order of pairs.
 
 Fingerprints of a row and its neighbour need both texts.  Rows are dealt out once by ranges
-of doc_id; the first row of each range is also sent to the range before it, so no range needs
-another one's text and no window runs over the whole table.
+of (doc_id, text hash); the first row of each range is also sent to the range before it, so no
+range needs another one's text and no window runs over the whole table.  A doc_id that many
+rows share is split by the hash; only rows equal in both id and text stay together.
 
 Defined results: a null text is empty; the fingerprint of a text without words is its own
 value, equal only to that of other such texts; with fewer than three words the whole is one
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, text_or_empty, word_hashes
+from .common import in_blocks, mix, shingle_hashes, text_or_empty, word_hashes
 
 ENTRIES = 64
 KMER_WORDS = 3
@@ -95,17 +96,33 @@ def fingerprint_documents(docs: DataFrame, text_column: str = "text", id_column:
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # bounds between ranges, and the first place of each: as many values as partitions
-    bounds = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("b")).first().b
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    # bounds between ranges: as many values as partitions, and parts of ids that fill several of them
+    size = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("b"), F.count("*").alias("n")).first()
+    hot = rows.groupBy("id").count().where(F.col("count") * parts > size.n).collect()  # fewer ids than partitions
+    least = -(1 << 63)
+    between = {(i, least) for i in size.b or []}
+    for r in hot:
+        split = -(-r["count"] * parts // size.n)
+        between |= {(r.id, least + (k << 64) // split) for k in range(split)}
+    bound_ids, bound_ties = (np.array([b[k] for b in sorted(between)], np.int64) for k in (0, 1))
+
+    def places(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The range of each row: how many bounds are not behind it."""
+        out = np.searchsorted(bound_ids, ids, side="left")
+        last = np.searchsorted(bound_ids, ids, side="right")
+        for i in np.unique(ids[last > out]):
+            mine = ids == i
+            a, z = np.searchsorted(bound_ids, i, side="left"), np.searchsorted(bound_ids, i, side="right")
+            out[mine] = a + np.searchsorted(bound_ties[a:z], ties[mine], side="right")
+        return out
 
     @F.pandas_udf("int")
-    def range_of(ids):
+    def range_of(ids, ties):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"), dtype="int32")
+        return pd.Series(places(ids.to_numpy(), ties.to_numpy()), dtype="int32")
 
-    ranges = rows.select("id", "tie").withColumn("part", range_of("id")).groupBy("part").agg(F.min(F.struct("id", "tie")).alias("first")).orderBy("part").collect()
+    ranges = rows.select("id", "tie").withColumn("part", range_of("id", "tie")).groupBy("part").agg(F.min(F.struct("id", "tie")).alias("first")).orderBy("part").collect()
     # the first row of a range goes to the range before it too; that of the first range to the last
     copies = {(r.first.id, r.first.tie): ranges[i - 1].part for i, r in enumerate(ranges)}
 
@@ -113,20 +130,20 @@ def fingerprint_documents(docs: DataFrame, text_column: str = "text", id_column:
     def targets_of(ids, ties):
         import pandas as pd
 
-        own = np.searchsorted(bounds, ids.to_numpy(), side="right").tolist()
+        own = places(ids.to_numpy(), ties.to_numpy()).tolist()
         before = [copies.get(x) for x in zip(ids.tolist(), ties.tolist(), strict=True)]
         return pd.Series([[a] if b is None else [a, b] for a, b in zip(own, before, strict=True)])
 
     dealt = (
         rows.select("*", F.posexplode(targets_of("id", "tie")).alias("is_copy", "to"))
-        .repartitionById(max(parts, len(bounds) + 1), F.col("to"))
+        .repartitionById(max(parts, len(bound_ids) + 1), F.col("to"))
         .sortWithinPartitions("to", "is_copy", "id", "tie")
         .select("to", "is_copy", "doc_id", "text")
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, ended = None, None  # (range, doc_id, text, signature) of the row that waits for its next
-        for b in batches:
+        for b in in_blocks(batches):
             out = []
             for to, is_copy, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if is_copy and ended == to:

@@ -88,6 +88,23 @@ def test_fingerprints_follow_the_next_row(spark, odd, partitions):
     assert any({1, 3} <= s for s in prints.values())
 
 
+def test_fingerprints_of_one_shared_id(spark, clashing):
+    r = random.Random(6)
+    docs = [(7, words(r, 20)) for _ in range(120)] + [(8, words(r, 25))]
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = P.fingerprint_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(got) == 121
+    # ties follow one order over all ranges: each text is the next of one other
+    texts = [t for _, t in docs]
+    edits = {hashlib.sha256(edited(a, b).encode()).hexdigest(): (a, b) for a in texts for b in texts}
+    pairs = [edits[x.edited_sha256] for x in got]
+    assert sorted(a for a, _ in pairs) == sorted(texts) == sorted(b for _, b in pairs)
+    assert len(P.fingerprint_documents(clashing).collect()) == len(odd_documents())
+
+
 def test_fingerprint_of_one_row_and_none(spark, none):
     one = spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")
     r = P.fingerprint_documents(one).first()

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+import corpus_pipeline
+
 from framelake.llm.op1_quality import accepted, fit, fitted
 from framelake.llm.op4_decontamination import decontaminated, leaks
 
@@ -26,3 +28,21 @@ def test_quality_keeps_all_rows_without_a_model(spark, odd, labels):
     assert not fitted(model)
     kept = accepted(odd, model)
     assert kept.columns == odd.columns and kept.count() == len(odd_documents())
+
+
+@pytest.mark.parametrize("kind", ["odd", "none", "clashing"])
+def test_pipeline_stages_on_odd_tables(spark, request, kind):
+    docs = request.getfixturevalue(kind)
+    d = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d).cache()
+        kept = [tuple(r) for r in out.collect()]
+        if name == "sharding":
+            assert len(kept) == docs.count()  # the last stage places every row
+        else:
+            assert out.columns == docs.columns
+            left = [tuple(r) for r in docs.collect()]
+            for row in kept:  # whole rows of the input, none more often than there
+                left.remove(row)
+        if kind == "none":
+            assert not kept
