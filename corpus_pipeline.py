@@ -9,11 +9,20 @@
 A stage takes (spark, docs, sf_dir) and returns the rows that it keeps with the columns of
 documents; the last returns the places of rows in shards.  Every stage runs on all rows that
 the one before has kept.
+
+Defined results, in all stages: extra columns are kept, whatever their names; rows that repeat are
+judged each, and all but one go as near duplicates; null and empty texts count as one empty
+text; rows with a null doc_id, language or source are judged like others; an empty table gives no rows.
+In particular: quality gives an empty text the score of the classifier's bias, and keeps all rows if labels
+are missing or of one class; near_duplicates keeps, of ties, the row of the smallest doc_id, then of the
+least text hash; decontamination finds nothing in an empty text, and removes nothing if the benchmark is
+empty; mixing takes or leaves rows of one doc_id together; sharding keeps equal texts together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.llm.common import cut, read
 from framelake.llm.op1_quality import accepted, fit
@@ -40,7 +49,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs, budget_share=MIX_SHARE, max_epochs=MIX_EPOCHS).select(*docs.columns)
+    # the row travels as one struct beside what mixing reads, as it returns columns of its own
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_document"))
+    mixed = mix_sources(rows, budget_share=MIX_SHARE, max_epochs=MIX_EPOCHS)
+    return mixed.select(*[F.col("_document")[c].alias(c) for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
