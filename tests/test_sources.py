@@ -63,3 +63,9 @@ def test_y4m_rows_and_digests(spark, tmp_path):
     assert {r.digest for r in C.frame_digests(rows).collect()} == {hashlib.sha256(y + u + v).hexdigest()}
     wide = put(tmp_path, "b.y4m", C.y4m_header_line(2, 1, 30, 1, "mono", 10).encode() + b"FRAME\n" + struct.pack("<2H", 1023, 5))
     assert [list(r.samples) for r in C.y4m_rows(spark, wide).collect()] == [[1023, 5]]
+
+
+def test_deep_samples_are_digested_low_byte_first(spark):
+    rows = spark.createDataFrame([("p", 0, 0, 0, [1023, 5])], "path string, frame long, plane int, y int, samples array<int>")
+    assert C.frame_digests(rows, 10).first().digest == hashlib.sha256(bytes([255, 3, 5, 0])).hexdigest()
+    assert C.frame_digests(rows.selectExpr("path", "frame", "plane", "y", "array(7, 255) as samples")).first().digest == hashlib.sha256(bytes([7, 255])).hexdigest()
