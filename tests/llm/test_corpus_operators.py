@@ -218,13 +218,16 @@ def test_lm_contract_columns(spark, clashing, monkeypatch, head):
 def test_lm_scores_do_not_depend_on_how_rows_are_dealt(spark, odd, monkeypatch):
     def scored(df, head):
         monkeypatch.setattr(H, "HEAD_PAIRS", head)
-        return sorted((str(r.doc_id), round(r.score, 9)) for r in H.score_documents(df, 3).collect())
+        return sorted((str(r.doc_id), r.score) for r in H.score_documents(df, 3).collect())
 
     plain = scored(odd, 10**6)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert scored(odd.repartition(7), 30) == plain
+        again = scored(odd.repartition(7), 30)
+        # logarithms are added up in another order, so the last digits may differ
+        assert [i for i, _ in again] == [i for i, _ in plain]
+        assert max(abs(a - b) / max(1, abs(b)) for (_, a), (_, b) in zip(again, plain, strict=True)) < 1e-12
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
