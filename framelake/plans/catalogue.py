@@ -114,9 +114,9 @@ def unit_offsets(spark, sf):
 
 @query("obu", "select stream, (row_number() over (partition by stream order by idx) - 1)::int as tile_num, coalesce(sum(size) over (partition by stream order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as tile_offset, size as tile_size from obu where layer = 0")
 def tile_framing_explode(spark, sf):
-    tiles = obu(spark, sf).where("layer = 0").groupBy("stream").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "size"))), lambda t: t["size"]).alias("sizes"))
-    out = tiles.select("stream", "sizes", F.posexplode("sizes").alias("tile_num", "tile_size"))
-    return out.select("stream", "tile_num", K.total(F.slice("sizes", 1, F.col("tile_num"))).alias("tile_offset"), "tile_size")
+    w = O.order_within(["stream"], ["idx"])
+    number, offset = F.row_number().over(w) - 1, F.coalesce(F.sum("size").over(O.before(w)), F.lit(0).cast("long"))
+    return obu(spark, sf).where("layer = 0").select("stream", number.alias("tile_num"), offset.alias("tile_offset"), F.col("size").alias("tile_size"))
 
 
 @query("", "select p_partkey, (p_size + 7) // 8 as n_tiles, list_transform(range(0, p_size, 8), lambda x: x::int)::varchar as starts from part")
@@ -412,13 +412,10 @@ def rate_vbr_plan(spark, sf):
     return w.select("stream", "win", F.coalesce(F.array_min(fits), F.lit(255)).alias("q"))
 
 
-def _per_stream(spark, sf):
-    return pkt(spark, sf).groupBy("stream").agg(O.ordered_values(["stream"], ["n"], "bits").alias("v"))
-
-
 @query("pkt", ", l as (select stream, list(bits - 5000 order by n) as v from pkt group by 1) select stream, list_reduce(list_prepend(0::bigint, v), lambda s, x: greatest(-20000, least(20000, s + x)))::bigint as drift from l")
 def rate_drift_clamped(spark, sf):
-    return _per_stream(spark, sf).select("stream", O.clamped_sum(F.transform("v", lambda x: x - 5000), -20000, 20000).alias("drift"))
+    parts = O.chunks(pkt(spark, sf).withColumn("over", F.col("bits") - 5000), "stream", "n", "over")
+    return O.clamped_levels(parts, "stream", -20000, 20000).select("stream", F.col("level").alias("drift"))
 
 
 @query("pkt", """, w(stream, n, level, overflows) as (
@@ -426,12 +423,19 @@ def rate_drift_clamped(spark, sf):
   union all select p.stream, p.n, greatest(0, least(w.level + p.bits, 15000) - 5000)::bigint, w.overflows + (w.level + p.bits > 15000)::int from w join pkt p on p.stream = w.stream and p.n = w.n + 1)
 select stream, max_by(level, n) as level, max(overflows) as overflows from w group by 1""")
 def leaky_bucket(spark, sf):
-    return _per_stream(spark, sf).select("stream", O.leaky_bucket(F.col("v"), 15000, 5000).alias("b")).select("stream", "b.level", "b.overflows")
+    size, drain = 15000, 5000
+    parts = O.chunks(pkt(spark, sf), "stream", "n", "bits")
+    # min(level + v, size) - drain, at least 0, is level + (v - drain) clamped to 0 and size - drain
+    levels = O.clamped_levels(parts.withColumn("values", F.transform("values", lambda v: v - drain)), "stream", 0, size - drain)
+    steps = levels.select("stream", "level", F.explode("steps").alias("step")).select("stream", "level", "step.chunk", "step.before")
+    counted = steps.join(parts, ["stream", "chunk"]).select("stream", "level", O.leaky_bucket(F.col("values"), size, drain, F.col("before"))["overflows"].alias("n"))
+    return counted.groupBy("stream").agg(F.first("level").alias("level"), F.sum("n").cast("int").alias("overflows"))
 
 
 @query("pkt", ", l as (select stream, list(bits order by n) as v from pkt group by 1) select stream, list_reduce(v, lambda s, x: (3 * s + x) // 4)::bigint as estimate from l where list_min(v) >= 0")
 def drift_model_update(spark, sf):
-    return _per_stream(spark, sf).where(F.array_min("v") >= 0).select("stream", O.moving_estimate(F.col("v")).alias("estimate"))
+    folded = O.fold_in_order(pkt(spark, sf), "stream", "n", "bits", lambda s, v: v if s is None else (3 * s + v) // 4)
+    return folded.where("least >= 0").select("stream", F.col("state").alias("estimate"))
 
 
 @query("pkt", "select stream, n, greatest(1, least(255, least(4 * (bits % 64) + 0, 255) + case when n % 8 = 0 then -12 else 8 end))::bigint as qindex from pkt where bits >= 0")
@@ -616,13 +620,24 @@ def mask_blend(spark, sf):
 _DIRECTIONS = ["r + c", "r + c // 2", "r", "3 + r - c // 2", "7 + r - c", "3 - r // 2 + c", "c", "r // 2 + c"]
 
 
+def _direction_lines() -> list[list[list[int]]]:
+    """For each direction the cells of each line; the terms of _DIRECTIONS are Python, too."""
+    out = []
+    for line in _DIRECTIONS:
+        lines: dict[int, list[int]] = {}
+        for i in range(64):
+            lines.setdefault(eval(line, {"r": i // 8, "c": i % 8}), []).append(i)
+        out.append(list(lines.values()))
+    return out
+
+
 @query("blk px", ", d as (" + " union all ".join(f"select vec_id, {k} as dir, {e} as line, sum(v - 128)::bigint as s, count(*) as n from px group by vec_id, {e}" for k, e in enumerate(_DIRECTIONS)) + "), e as (select vec_id, dir, sum(s * s * (840 // n))::bigint as cost from d group by all), b as (select vec_id, max(cost) as best, min_by(dir, -cost * 8 + dir) as dir from e group by 1) select b.vec_id, b.dir, (b.best - e.cost) >> 10 as variance from b join e on e.vec_id = b.vec_id and e.dir = (b.dir + 4) % 8")
 def cdef_direction(spark, sf):
-    cells = blk(spark, sf).select("vec_id", F.posexplode("x").alias("i", "v")).withColumn("r", F.floor(F.col("i") / 8).cast("int")).withColumn("c", F.col("i") % 8)
-    lines = F.array(*[F.struct(F.lit(k).alias("dir"), F.expr(e.replace("//", "div")).cast("int").alias("line")) for k, e in enumerate(_DIRECTIONS)])
-    sums = cells.select("vec_id", "v", F.explode(lines).alias("l")).groupBy("vec_id", "l.dir", "l.line").agg(F.sum(F.col("v") - 128).alias("s"), F.count("*").alias("n"))
-    costs = sums.groupBy("vec_id", "dir").agg(F.sum(F.expr("s * s * (840 div n)")).alias("cost")).groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("dir", "cost"))).alias("m"), F.min_by("dir", F.struct(-F.col("cost"), "dir")).alias("dir"))
-    return costs.select("vec_id", "dir", F.shiftright(F.element_at("m", F.col("dir")) - F.element_at("m", (F.col("dir") + 4) % 8), 10).alias("variance"))
+    x = F.col("x")
+    sums = [F.transform(F.array(*[F.array(*map(F.lit, cells)) for cells in lines]), lambda c: F.struct(K.total(F.transform(c, lambda i: F.get(x, i) - 128)).alias("s"), F.size(c).alias("n"))) for lines in _direction_lines()]
+    costs = F.array(*[K.total(F.transform(s, lambda t: t["s"] * t["s"] * F.floor(F.lit(840) / t["n"]))) for s in sums])
+    best = blk(spark, sf).select("vec_id", costs.alias("costs")).withColumn("dir", (F.array_position("costs", F.array_max("costs")) - 1).cast("int"))
+    return best.select("vec_id", "dir", F.shiftright(F.array_max("costs") - F.get("costs", (F.col("dir") + 4) % 8), 10).alias("variance"))
 
 
 @query("blk px", ", d as (select vec_id, v - lag(v) over (partition by vec_id, r order by c) as d from px) select vec_id, sum(sign(d)::bigint * least(abs(d), greatest(0, 16 - (abs(d) >> 1))))::bigint as constrained from d where d is not null group by 1")
@@ -699,9 +714,9 @@ def frame_hash(spark, sf):
 
 @query("pkt", ", l as (select stream, list(event_type = 'click' order by n) as v from pkt group by 1) select stream, list_reduce(list_prepend(16384::bigint, list_transform(v, lambda b: b::bigint)), lambda p, b: case when b = 1 then p + ((32768 - p) >> 5) else p - (p >> 5) end)::bigint as p from l")
 def cdf_adapt_fold(spark, sf):
-    hits = pkt(spark, sf).withColumn("hit", (F.col("event_type") == "click").cast("long")).groupBy("stream").agg(O.ordered_values(["stream"], ["n"], "hit").alias("v"))
-    step = lambda p, b: F.when(b == 1, p + F.shiftright(32768 - p, 5)).otherwise(p - F.shiftright(p, 5))
-    return hits.select("stream", F.aggregate("v", F.lit(16384).cast("long"), step).alias("p"))
+    hits = pkt(spark, sf).withColumn("hit", (F.col("event_type") == "click").cast("long"))
+    folded = O.fold_in_order(hits, "stream", "n", "hit", lambda p, b: p + ((32768 - p) >> 5) if b else p - (p >> 5), 16384)
+    return folded.select("stream", F.col("state").alias("p"))
 
 
 @query("pkt", ", c as (select stream, event_type, count(*) as n from pkt group by all), t as (select stream, sum(n) as t from c group by 1) select stream, round(sum(-n * log2(n::double / t)), 6) as bits, any_value(t)::bigint as symbols from c join t using (stream) group by 1")

@@ -19,6 +19,37 @@ def test_folds(spark):
     assert df.select(O.moving_estimate(F.col("v"))).first()[0] == ((3 * ((3 * 5 + 20) // 4) - 40) // 4 * 3 + 3) // 4
 
 
+def test_folds_in_parts(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, n, rng.randint(-40, 60)) for k in range(4) for n in range((1, 3, 50, 97)[k])]
+    df = spark.createDataFrame(rows, "k long, n long, v long")
+    level, before = {}, {}
+    for k, n, v in rows:
+        if n % 3 == 0:
+            before[k, n // 3] = level.get(k, 0)
+        level[k] = max(-15, min(70, level.get(k, 0) + v))
+    got = O.clamped_levels(O.chunks(df.repartition(3), "k", "n", "v", rows=3), "k", -15, 70).collect()
+    assert {r.k: r.level for r in got} == level
+    assert {(r.k, s.chunk): s.before for r in got for s in r.steps} == before
+    whole = df.where("k = 3").groupBy("k").agg(O.ordered_values(["k"], ["n"], "v").alias("values"))
+    assert whole.select(O.leaky_bucket(F.col("values"), 30, 7, F.lit(12))["level"]).first()[0] == _bucket([v for k, _, v in rows if k == 3], 30, 7, 12)
+    state, least = {}, {}
+    for k, _, v in rows:
+        state[k] = v if k not in state else (3 * state[k] + v) // 4
+        least[k] = min(v, least.get(k, v))
+    got = O.fold_in_order(df.repartition(5), "k", "n", "v", lambda s, v: v if s is None else (3 * s + v) // 4).collect()
+    assert {r.k: (r.state, r.least) for r in got} == {k: (state[k], least[k]) for k in state}
+    assert O.fold_in_order(df.where("k < 0"), "k", "n", "v", max, 0).count() == 0
+
+
+def _bucket(values, size, drain, level):
+    for v in values:
+        level = max(0, min(level + v, size) - drain)
+    return level
+
+
 def test_sessions_and_islands(spark):
     df = spark.createDataFrame([(1, n, k) for n, k in enumerate("aDbbDD")], "s int, n int, k string")
     assert [r.session for r in O.with_session(df, ["s"], ["n"], F.col("k") == "D").orderBy("n").collect()] == [0, 1, 1, 1, 2, 3]
