@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .op10_lm_scoring import score_documents as lm_score_documents
+from .op11_pieces import piece_digests
 from .op1_quality import fit, score_documents
 from .op2_url_filters import filter_urls
 from .op3_fingerprints import fingerprint_documents
@@ -61,6 +62,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # at the top of the repository
 
@@ -80,6 +85,7 @@ QUERIES = {
         op8_line_dedup,
         op9_token_counts,
         op10_lm_scoring,
+        op11_pieces,
         pipeline,
     )
 }
