@@ -78,4 +78,46 @@ select {columns} from (select *, unnest(range(0, full_epochs + case when in_pref
 """
 
 
-ORACLES = {"op2_url_filters": OP2, "op6_mixing": op6()}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: All phrases of 1 to 4 words, counted without pruning.
+OP12 = rf"""
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), p as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w from t
+), f as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as n
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, range(1, 5) r(k) where len(w) >= k) group by all
+), total as (select lang, sum(len(w))::bigint as n from p group by lang
+), c as (select lang, phrase, string_split(phrase, ' ') as w, n as a from f where k >= 2 and n >= 30
+), cuts as (select lang, phrase, a, unnest(range(1, len(w))) as k, w from c
+), s as (
+  select c.lang, c.phrase, c.a, c.k, l.n as l, r.n as r, ((2000000::hugeint * c.a) // (l.n + r.n))::bigint as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), low as (select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_ as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as held
+  from (select lang, w, a, m, unnest(range(1, len(w) - m + 2)) as i from c, range(2, 4) r(m) where len(w) > m) group by all
+), kept as (select low.*, row_number() over (partition by low.lang order by score desc, a desc, phrase) as rank from low left join inner_ using (lang, phrase) where held is null or 100::hugeint * held < 80::hugeint * a
+)
+select lang, rank, phrase, a, l, r, total.n, score from kept join total using (lang) where rank <= 2000
+"""
+
+#: Every document's score for every item, from all postings of the items' terms.
+OP13 = r"""
+with d as (
+  select row_number() over () as row, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, UPPER_LOWER)) as w from documents
+), n as (select row, doc_id, len(w)::bigint as n from d where len(w) > 0
+), g as (select count(*) as docs, sum(n)::bigint as terms from n
+), i as (select row_number() over () as item_no, item_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, UPPER_LOWER))) as w from benchmark
+), q as (select item_no, item_id, unnest(w) as term from i
+), tf as (select row, term, count(*) as tf from (select row, unnest(w) as term from d) where term in (select term from q) group by all
+), wt as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, g group by term, docs
+), p as (
+  select row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))::bigint as part
+  from tf join n using (row) join wt using (term), g
+), s as (select item_no, item_id, row, doc_id, sum(part)::bigint as score from q join p using (term) join n using (row) group by all having sum(part) > 0
+), k as (select *, row_number() over (partition by item_no order by score desc, doc_id nulls first) as rank from s)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10
+""".replace("UPPER_LOWER", _LOWER)
+
+ORACLES = {"op2_url_filters": OP2, "op6_mixing": op6(), "op12_phrases": OP12, "op13_search": OP13}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import read
 from .op10_lm_scoring import score_documents as lm_score_documents
 from .op11_pieces import piece_digests
+from .op12_phrases import mine_phrases
+from .op13_search import search_documents
 from .op1_quality import fit, score_documents
 from .op2_url_filters import filter_urls
 from .op3_fingerprints import fingerprint_documents
@@ -66,6 +68,14 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(read(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(read(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # at the top of the repository
 
@@ -86,6 +96,8 @@ QUERIES = {
         op9_token_counts,
         op10_lm_scoring,
         op11_pieces,
+        op12_phrases,
+        op13_search,
         pipeline,
     )
 }
