@@ -6,9 +6,10 @@ if it makes of every two neighbours the same two pieces, so each prefix of a tex
 token.  An Aho-Corasick automaton lists the pieces that end at each place; of these the last
 token of the prefix is the one that is compatible with the last token of the prefix before it.
 Ids are then recovered backwards from the end.  Every place is visited once, whatever the
-length of the text.  Whether two pieces are compatible is tried by merging their joint text,
-once for each pair that a worker meets; pieces that merging doesn't make of their own text are
-never used.  A character that is no piece stands alone and becomes its UTF-8 bytes.
+length of the text.  Two pieces are compatible if, going back through the merges that made both,
+the last first, there never was a better merge across their boundary; this is found out once for each pair
+that a worker meets.  (Pairs of a piece that scores above one of its own parts are tried by merging
+their joint text.)  Pieces that merging doesn't make of their own text are never used.  A character that is no piece stands alone and becomes its UTF-8 bytes.
 
 Decoding.  Ids become pieces, byte pieces bytes; the mark that encoding puts before a text goes,
 other marks become blanks, and what isn't UTF-8 becomes U+FFFD, one for each byte.
@@ -40,6 +41,7 @@ SPACE = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers.
 REMEMBERED_CHUNKS = 250_000
 REMEMBERED_PAIRS = 2_000_000
+EMPTY = hashlib.sha256().hexdigest()
 
 
 def load_model(path: str) -> tuple[list[tuple[str, float, int]], list[int], int]:
@@ -66,20 +68,29 @@ class PieceCodec:
         self.bytes_of = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)} | {unknown_id: " ⁇ ".encode()}
         self.singles = {p for p in self.score if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
-        for piece, _, i in pieces:
-            if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, (len(piece), i))
+        #: what a piece's last merge joined; None for single characters
+        self.parts: dict[str, tuple[str, str] | None] = dict.fromkeys(self.singles)
+        self.late: set[str] = set()  # pieces made by a merge that had to wait for a worse one
+        for piece, _, i in sorted(pieces, key=lambda p: len(p[0])):
+            steps: list[tuple[str, str]] = []
+            if piece and self.merged(piece, steps) == [piece]:
+                #: length, id, and which ids are compatible on the left, as far as known
+                self.automaton.add_word(piece, (len(piece), i, {}))
+                if steps:
+                    self.parts[piece] = steps[-1]
+                    if any(len(p) > 1 and (p in self.late or self.score[p] < self.score[piece]) for p in steps[-1]):
+                        self.late.add(piece)
         self.automaton.make_automaton()
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
             raise ValueError("a piece holds a space mark behind another character")
         joined = {c for p in self.score if len(p) > 1 for c in p}
         line = "\n" if "\n" not in joined else ""  # a newline that no longer piece holds stands alone
         self.chunk = re.compile(f"{line or '(?!)'}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+")
-        self.pairs: dict[int, bool] = {}
+        self.tried, self.tables = 0, [token[2] for token in self.automaton.values()]
         self.known: dict[str, tuple[int, str, bytes]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging makes of a short text of known characters."""
+    def merged(self, text: str, steps: list[tuple[str, str]] | None = None) -> list[str]:
+        """The pieces that merging makes of a short text of known characters; steps gets the pairs that were joined."""
         parts, score = list(text), self.score
         while len(parts) > 1:
             best, at = None, -1
@@ -89,34 +100,60 @@ class PieceCodec:
                     best, at = s, k
             if best is None:
                 break
+            if steps is not None:
+                steps.append((parts[at], parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: int, b: int) -> bool:
-        left, right = self.text[a], self.text[b]
-        if len(self.pairs) >= REMEMBERED_PAIRS:
-            self.pairs.clear()
-        self.pairs[a << 32 | b] = ok = self.merged(left + right) == [left, right]
+    def compatible(self, left: str, right: str) -> bool:
+        if left in self.late or right in self.late:
+            return self.merged(left + right) == [left, right]
+        score, parts = self.score, self.parts
+        over = score.get(left + right)
+        if over is not None:
+            return False
+        while (a := parts[left]) is not None or parts[right] is not None:
+            b = parts[right]
+            # of equal merges the left one came first, so the right one is undone first
+            if a is None or (b is not None and score[right] <= score[left]):
+                made, right = score[right], b[0]
+                over = score.get(left + right)
+                if over is not None and over >= made:
+                    return False
+            else:
+                made, left = score[left], a[1]
+                over = score.get(left + right)
+                if over is not None and over > made:
+                    return False
+        return True
+
+    def found_out(self, a: int, token: tuple[int, int, dict]) -> bool:
+        if self.tried >= REMEMBERED_PAIRS:
+            for table in self.tables:
+                table.clear()
+            self.tried = 0
+        self.tried += 1
+        token[2][a] = ok = self.compatible(self.text[a], self.text[token[1]])
         return ok
 
     def run_ids(self, run: str) -> list[int]:
         """Ids of a run of known characters."""
-        last: list[tuple[int, int]] = []  # of the prefix that ends at each place: length and id
-        pairs, done = self.pairs, 0
+        last: list[tuple[int, int, dict]] = []  # of the prefix that ends at each place
+        done = 0
         for end, token in self.automaton.iter(run):  # the longest first at each end
             if end < done:
                 continue
             start = end - token[0]
             if start >= 0:
-                a, b = last[start][1], token[1]
-                ok = pairs.get(a << 32 | b)
-                if not (self.compatible(a, b) if ok is None else ok):
+                a = last[start][1]
+                ok = token[2].get(a)
+                if not (self.found_out(a, token) if ok is None else ok):
                     continue
             last.append(token)
             done += 1
         ids, at = [], len(run)
         while at:
-            length, token = last[at - 1]
+            length, token, _ = last[at - 1]
             ids.append(token)
             at -= length
         ids.reverse()
@@ -176,21 +213,23 @@ class PieceCodec:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and digests of the ids and of what they decode to."""
-        known, total, ids, raw = self.known, 0, [], []
-        for chunk in self.chunks(text):
-            found = known.get(chunk)
-            if found is None:
-                own = self.chunk_ids(chunk)
-                found = (len(own), ",".join(map(str, own)), self.raw(own))
-                if len(chunk) <= 64:
-                    if len(known) >= REMEMBERED_CHUNKS:
-                        known.clear()
-                    known[chunk] = found
-            total += found[0]
-            ids.append(found[1])
-            raw.append(found[2])
+        chunks = self.chunks(text)
+        if not chunks:
+            return 0, EMPTY, EMPTY
+        known, learnt = self.known.get, self.learnt
+        sizes, ids, raw = zip(*[known(c) or learnt(c) for c in chunks], strict=True)
         decoded = self.readable(b"".join(raw)[1:])  # the first chunk begins with the mark
-        return total, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    def learnt(self, chunk: str) -> tuple[int, str, bytes]:
+        """Number of ids, ids and raw bytes of a chunk, which is remembered if it isn't long."""
+        ids = self.chunk_ids(chunk)
+        found = (len(ids), ",".join(map(str, ids)), self.raw(ids))
+        if len(chunk) <= 64:
+            if len(self.known) >= REMEMBERED_CHUNKS:
+                self.known.clear()
+            self.known[chunk] = found
+        return found
 
 
 def _spans(raw: bytes) -> Iterator[tuple[int, int, bool]]:

@@ -45,6 +45,30 @@ def test_arbitrary_ids_decode_as_in_the_library(library, codec):
         assert codec.decode(ids) == library.decode(ids), ids
 
 
+def test_pairs_are_compatible_if_merging_keeps_them(codec):
+    r = random.Random(13)
+    usable = [codec.text[t[1]] for t in codec.automaton.values()]
+    blanks = [p for p in usable if not p.strip("▁")]
+    pairs = [(a, b) for a in blanks for b in blanks] + [(r.choice(usable), r.choice(usable)) for _ in range(20_000)]
+    for _ in range(20_000):  # and parts of one piece, which compete with it
+        p, q = r.choice(usable), r.choice(usable)
+        joint = p + q
+        k = r.randrange(1, len(joint)) if len(joint) > 1 else 1
+        pairs += [(joint[:k], joint[k:])] if joint[:k] in codec.parts and joint[k:] in codec.parts else []
+    for a, b in pairs:
+        assert codec.compatible(a, b) == (codec.merged(a + b) == [a, b]), (a, b)
+
+
+def test_pieces_that_score_above_their_parts():
+    # abc scores highest, but waits for ab; in b|cd the merge of cd comes first
+    codec = PieceCodec([(p, s, i) for i, (p, s) in enumerate([("▁", -50.0), ("a", -50.0), ("b", -50.0), ("c", -50.0), ("d", -50.0), ("ab", -9.0), ("abc", -1.0), ("cd", -5.0), ("abcd", -7.0)])], [], 99)
+    assert codec.late
+    r = random.Random(2)
+    for _ in range(2000):
+        run = "".join(r.choice("abcd") for _ in range(r.randrange(1, 12)))
+        assert [codec.text[i] for i in codec.run_ids(run)] == codec.merged(run), run
+
+
 def test_bounded_memories_do_not_change_results(library, monkeypatch):
     from framelake.llm import op11_pieces
 
