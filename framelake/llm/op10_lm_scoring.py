@@ -1,11 +1,11 @@
 """LM scoring: a hierarchical Pitman-Yor language model, sampled and applied as Spark jobs.
 
 Restaurants.  The root serves all words over a uniform base of V+1 dishes; its children are the
-contexts, which share it as parent: one for the start of a text and one for each word before, as
-soon as that word was seen about CONTEXT_CUSTOMERS times in training; rarer words before
-share one.  There is no limit to their number.  (A bitmap of CONTEXT_BITS bits marks the words
-with a restaurant of their own; a rare word that falls on a marked bit has one too.)  Customers
-of a context restaurant are its training tokens, those of the root the contexts' tables.
+contexts, which share it as parent: one for the start of a text and one for each word before that
+training rows hold.  Customers of a context restaurant are its training tokens, those of the root the
+contexts' tables.  (With context_customers above 1, words seen less often in training share one
+restaurant.  A bitmap of CONTEXT_BITS bits marks the words with a restaurant of their own; one that falls
+on a marked bit by chance has one too, and one without customers predicts as the root does.)
 
 Gibbs sampling of the Chinese-restaurant seating.  What predictions need of a seating is the
 number of tables t of each dish.  With discount 1/2 its distribution given c customers has a
@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop_table, in_blocks, mix, word_hashes
 
 FOLDS, HELD_OUT_FOLD = 5, 1
-#: Training tokens behind a word from which it has a restaurant of its own.
-CONTEXT_CUSTOMERS = 8192
+#: Training tokens behind a word from which it has a restaurant of its own: every word of the training rows has.
+CONTEXT_CUSTOMERS = 1
 CONTEXT_BITS = 26
 #: Words and pairs known where the texts are scored.
 HEAD_WORDS, HEAD_PAIRS = 65_536, 500_000
@@ -333,7 +333,8 @@ class Sampler:
         """Strengths from their conditional distributions over STRENGTHS; whole numbers are added up, in any order."""
         fine = 1 << 10
         schema = ", ".join(f"s{k} long" for k in range(len(STRENGTHS)))
-        per_context = _mapped(self.contexts.select("c", "tables"), schema, lambda x: {f"s{k}": np.rint(log_evidence(s, x["c"], x["tables"]) * fine).astype(np.int64) for k, s in enumerate(STRENGTHS)})
+        alike = self.contexts.groupBy("c", "tables").agg(F.count("*").alias("m"))  # contexts of few customers are many and alike
+        per_context = _mapped(alike, schema, lambda x: {f"s{k}": x["m"] * np.rint(log_evidence(s, x["c"], x["tables"]) * fine).astype(np.int64) for k, s in enumerate(STRENGTHS)})
         sums = per_context.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0)).alias(f"s{k}") for k in range(len(STRENGTHS))]).first()
         self.strength = drawn(np.array(sums, np.float64) / fine, Draws(np.array([number]), np.int64(6)))
         at_root = [log_evidence(s, np.array([self.root_customers]), np.array([self.root_tables]))[0] for s in STRENGTHS]

@@ -237,6 +237,12 @@ def test_lm_beats_the_base_on_held_out_rows(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_gains_from_the_whole_tree_at_the_registered_setting(spark):
+    assert H.CONTEXT_CUSTOMERS == 1
+    got = [r for r in H.score_documents(read(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.5
+
+
 def test_pair_keys_are_those_of_spark(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     df = spark.createDataFrame([(a, b) for a in values for b in values], "ctx long, word long")
