@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: OBU type codes that carry the global layer, by name; other codes are other types.
-GLOBAL_TYPES = {"temporal_delimiter": 2, "multistream_operation": 3}
-
-
 def byte_at(data: Column, at: int | Column) -> Column:
     """Byte value 0..255 at an offset; null past the end."""
     at = F.lit(at) if isinstance(at, int) else at
@@ -134,6 +130,10 @@ UNIT_CLASSES = {
 }
 
 
+#: Codes of the types that carry the global layer where a header names none.
+GLOBAL_TYPES = sorted(UNIT_TYPES.index(name) for name in UNIT_CLASSES["requires_global_layer"])
+
+
 def unit_types(spark):
     """A row for each 5-bit code: its name and classes (a table of 32 rows, to be broadcast)."""
     rows = []

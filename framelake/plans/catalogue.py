@@ -40,11 +40,11 @@ def long(c) -> F.Column:
 # ---- bytes and bits
 
 
-@query("", "select doc_id, b0 >> 7 as has_extension, (b0 >> 2) & 31 as type_code, b0 & 3 as temporal_layer, case when b0 >> 7 = 1 then b1 >> 5 else 0 end as embedded_layer, case when b0 >> 7 = 1 then b1 & 31 when (b0 >> 2) & 31 in (2, 3) then 31 else 0 end as extended_layer from (select doc_id, ('0x' || substr(hex(encode(text)), 1, 2))::int as b0, ('0x' || substr(hex(encode(text)), 3, 2))::int as b1 from documents where strlen(text) >= 2)")
+@query("", "select doc_id, b0 >> 7 as has_extension, (b0 >> 2) & 31 as type_code, b0 & 3 as temporal_layer, case when b0 >> 7 = 1 then b1 >> 5 else 0 end as embedded_layer, case when b0 >> 7 = 1 then b1 & 31 when (b0 >> 2) & 31 in (2, 20) then 31 else 0 end as extended_layer from (select doc_id, ('0x' || substr(hex(encode(text)), 1, 2))::int as b0, ('0x' || substr(hex(encode(text)), 3, 2))::int as b1 from documents where strlen(text) >= 2)")
 def obu_header_bits(spark, sf):
     d = table(spark, sf, "documents").where(F.octet_length("text") >= 2)
     data = F.col("text").cast("binary")
-    h = B.obu_header(B.byte_at(data, 0), B.byte_at(data, 1), sorted(B.GLOBAL_TYPES.values()))
+    h = B.obu_header(B.byte_at(data, 0), B.byte_at(data, 1), B.GLOBAL_TYPES)
     h = d.select("doc_id", h.alias("h"))
     return h.select("doc_id", F.col("h.has_extension").cast("int").alias("has_extension"), "h.type_code", "h.temporal_layer", "h.embedded_layer", "h.extended_layer")
 

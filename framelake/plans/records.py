@@ -119,23 +119,18 @@ def layer_q_offset(spark, sf):
 
 @query("pkt", "select stream, n, case when bits % 256 < 130 then 0 when bits % 256 < 190 then 1 when bits % 256 < 220 then 2 else 3 end as filter_set from pkt")
 def wiener_filter_set(spark, sf):
-    q = F.col("bits") % 256
+    q = F.col("bits") % 256  # fixed values: bounds of the sets
     return pkt(spark, sf).select("stream", "n", F.when(q < 130, 0).when(q < 190, 1).when(q < 220, 2).otherwise(3).alias("filter_set"))
 
 
-def _weights() -> list[int]:
-    """1024 at no error, falling by a constant factor a step, in fixed point; zero steps to 64."""
-    out, value = [], 1 << 30
-    for _ in range(65):
-        out.append((value * 1024 + (1 << 29)) >> 30)
-        value = (value * 947_581_580 + (1 << 29)) >> 30
-    return out
+#: A weight of this much at no error falls by a factor of e every eight steps of error.
+TOP_WEIGHT, STEPS_PER_E = 1024, 8
 
 
-@query("pkt", f"select stream, n, {_weights()}[least(bits * (n % 9) // (event_id % 500 + 1), 64)::int + 1] as weight from pkt where bits >= 0")
+@query("pkt", f"select stream, n, round({TOP_WEIGHT} * exp(-(bits * (n % 9) // (event_id % 500 + 1)) / {STEPS_PER_E}.0))::bigint as weight from pkt where bits >= 0")
 def temporal_filter_weights(spark, sf):
-    step = F.least(F.expr("bits * (n % 9) div (event_id % 500 + 1)"), F.lit(64)).cast("int")
-    return pkt(spark, sf).where("bits >= 0").select("stream", "n", F.get(F.array(*map(F.lit, _weights())), step).alias("weight"))
+    step = F.expr("bits * (n % 9) div (event_id % 500 + 1)")
+    return pkt(spark, sf).where("bits >= 0").select("stream", "n", F.round(TOP_WEIGHT * F.exp(-step / STEPS_PER_E)).cast("long").alias("weight"))
 
 
 @query("pkt", "select stream, n, ((bits + 4) >> 3) >> 6 as q_threshold, greatest(n - 40 + (1 << 4), 0) >> 5 as side8, greatest(n - 40 + (1 << 2), 0) >> 3 as side10 from pkt where bits >= 0")

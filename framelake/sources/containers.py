@@ -120,7 +120,7 @@ def units(spark: SparkSession, path: str, max_unit_bytes: int = MAX_UNIT_BYTES,
 
 def obus(table: DataFrame) -> DataFrame:
     """Units with their header fields; a unit shorter than its header has `error` obu/header-truncated."""
-    h = obu_header(byte_at(F.col("payload"), 0), byte_at(F.col("payload"), 1), sorted(GLOBAL_TYPES.values()))
+    h = obu_header(byte_at(F.col("payload"), 0), byte_at(F.col("payload"), 1), GLOBAL_TYPES)
     parsed = table.withColumn("header", F.when(F.octet_length("payload") >= h["header_bytes"], h))
     return parsed.withColumn("error", F.coalesce("error", F.when(F.col("header").isNull(), "obu/header-truncated")))
 
