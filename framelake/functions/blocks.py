@@ -136,3 +136,28 @@ def constrained(d: Column, threshold: int, damping: int) -> Column:
 def diagonal_order(n: int = N) -> list[int]:
     """Positions of an n x n block by diagonal, then row."""
     return [r * n + c for r, c in sorted(((r, c) for r in range(n) for c in range(n)), key=lambda p: (p[0] + p[1], p[0]))]
+
+
+def palette(samples: Column, size: int) -> Column:
+    """Colours of a block, ascending: its most frequent values (the lower of equals), moved to the rounded mean of the samples nearest to each unless half of these are exact; null below two colours."""
+    counts = F.transform(F.array_sort(F.array_distinct(samples)), lambda v: F.struct((-F.size(F.filter(samples, lambda x: x == v))).alias("less"), v.alias("value")))
+
+    def from_runs(runs: Column) -> Column:
+        seeds = F.array_sort(F.transform(F.slice(F.array_sort(runs), 1, size), lambda r: r["value"]))
+        return F.get(F.transform(F.array(seeds), lambda c: F.when(F.size(runs) <= size, c).otherwise(moved(runs, c))), F.lit(0))
+
+    def moved(runs: Column, seeds: Column) -> Column:
+        nearest = lambda v: F.array_min(F.transform(seeds, lambda c: F.struct(F.abs(c - v), c.alias("seed"))))["seed"]
+        placed = F.transform(runs, lambda r: F.struct(r["value"].alias("value"), (-r["less"]).cast("long").alias("n"), nearest(r["value"]).alias("seed")))
+        total = lambda own, f: F.aggregate(own, F.lit(0).cast("long"), lambda a, r: a + f(r))
+
+        def colour(c: Column) -> Column:
+            own = F.filter(placed, lambda r: r["seed"] == c)
+            n, exact = total(own, lambda r: r["n"]), total(own, lambda r: F.when(r["value"] == c, r["n"]).otherwise(0))
+            mean = F.floor((total(own, lambda r: r["n"] * r["value"]) + F.floor(n / 2)) / n).cast("int")
+            return F.when(exact * 2 < n, mean).otherwise(c)
+
+        return F.array_sort(F.array_distinct(F.transform(seeds, colour)))
+
+    found = F.get(F.transform(F.array(counts), from_runs), F.lit(0))
+    return F.when(F.size(found) >= 2, found)

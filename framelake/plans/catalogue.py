@@ -821,9 +821,24 @@ def cubic_moments(spark, sf):
     return obu(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.sum(q).alias("p1"), F.sum(q * q).alias("p2"), F.sum(q * q * q).alias("p3"), F.sum(q * s).alias("xy"), F.sum(q * q * s).alias("xxy"))
 
 
-@query()
+def _bd_rate_sql() -> str:
+    stages, body = [], "sums"
+    for k, stage in enumerate(M.elimination()):
+        stages.append(f"e{k} as (select *, {', '.join(f'{e} as {n}' for n, e in stage.items())} from {body})")
+        body = f"e{k}"
+    sums = ", ".join(f"{e} as {n}" for n, e in M.moments("t", "log_rate").items())
+    return f""", p as (select layer, kind as curve, avg(size) as rate, 30.0::double + floor(qty / 5) as quality from obu where kind in ('AF', 'RF') group by layer, kind, floor(qty / 5)
+), g as (select layer, greatest(min(case curve when 'AF' then quality end), min(case curve when 'RF' then quality end)) as low, least(max(case curve when 'AF' then quality end), max(case curve when 'RF' then quality end)) as high,
+    (max(quality) + min(quality)) / 2 as middle, greatest((max(quality) - min(quality)) / 2, 1e-9) as half, count(distinct curve) as curves from p group by layer
+), s as (select p.layer, curve, (quality - middle) / half as t, ln(rate) as log_rate from p join g using (layer)
+), sums as (select layer, curve, count(distinct t) as different, {sums} from s group by layer, curve), {", ".join(stages)}
+, m as (select layer, curve, low, high, curves, case when different >= 4 then {M.MEAN} end as mean from (select *, (low - middle) / half as a, (high - middle) / half as b from {body} join g using (layer)))
+select layer, case when max(curves) = 2 and max(high) > max(low) then round((exp(max(case curve when 'RF' then mean end) - max(case curve when 'AF' then mean end)) - 1) * 100, 6) end as bd_rate from m group by layer"""
+
+
+@query("obu", _bd_rate_sql())
 def bd_rate(spark, sf):
-    """Rows only: the fit has no SQL form.  One curve for each kind of unit in a layer, a point for each quality step."""
+    """One curve for each kind of unit in a layer, a point for each quality step."""
     step = F.floor(F.col("qty") / 5)
     points = obu(spark, sf).groupBy("layer", F.col("kind").alias("curve"), step.alias("step")).agg(F.avg("size").alias("rate"))
     return M.bd_rate(points.withColumn("quality", 30.0 + F.col("step")), "layer", "AF", "RF").withColumn("bd_rate", F.round("bd_rate", 6))
