@@ -214,12 +214,12 @@ def tiles(p: str, width: str, height: str, shift: str, when: str, uniform_shift:
         return [
             let(f"_{axis}_whole", f"shiftright({mis}, cast({us} as int))", even),
             let(f"_{axis}_all", f"shiftright({mis} + shiftleft(1, cast({us} as int)) - 1, cast({us} as int))", even),
-            let(f"_{axis}_each", f"shiftright({p}_{axis}_whole, cast({log2} as int))", even),
-            let(f"_{axis}_extra", f"case when {p}_{axis}_each = 0 then {p}_{axis}_all else {p}_{axis}_whole - shiftleft({p}_{axis}_each, cast({log2} as int)) end", even),
+            let(f"{axis}_each", f"shiftright({p}_{axis}_whole, cast({log2} as int))", even),
+            let(f"{axis}_extra", f"case when {p}{axis}_each = 0 then {p}_{axis}_all else {p}_{axis}_whole - shiftleft({p}{axis}_each, cast({log2} as int)) end", even),
             # starts grow by each (+ 1): so many of them lie below the whole
             let(
                 f"uniform_{axis}s",
-                f"least(shiftleft(1, cast({log2} as int)), case when {p}_{axis}_all <= {p}_{axis}_extra * ({p}_{axis}_each + 1) then cast(ceil({p}_{axis}_all / ({p}_{axis}_each + 1)) as bigint) else {p}_{axis}_extra + cast(ceil(({p}_{axis}_all - {p}_{axis}_extra * ({p}_{axis}_each + 1)) / greatest({p}_{axis}_each, 1)) as bigint) end)",
+                f"least(shiftleft(1, cast({log2} as int)), case when {p}_{axis}_all <= {p}{axis}_extra * ({p}{axis}_each + 1) then cast(ceil({p}_{axis}_all / ({p}{axis}_each + 1)) as bigint) else {p}{axis}_extra + cast(ceil(({p}_{axis}_all - {p}{axis}_extra * ({p}{axis}_each + 1)) / greatest({p}{axis}_each, 1)) as bigint) end)",
                 even,
             ),
         ]
@@ -496,3 +496,114 @@ def payloads(units: DataFrame, data: str = "payload", kinds: dict[str, Syntax] |
         fields = F.when(own, F.to_json(table.named(f"_state{k}"))).otherwise(fields)
         status = status.when(own, F.when(fault.isNotNull(), "malformed").otherwise("prefix" if table is FRAME_PREFIX else "parsed"))
     return out.select(*units.columns, status.otherwise("opaque").alias("status"), error.alias("syntax_error"), fields.alias("fields"))
+
+
+# ---- what follows the quantizers of an intra frame, up to the filter strengths
+
+#: Least offset of a coded base quantizer difference, and the least side of a filter block.
+LEAST_BASE_DELTA, GDF_SIDE = -23, 128
+SEGMENTS = 16
+LOSSY = "coded_lossless = 0"
+MFH_SEGMENTS = "coalesce(mfh.mfh_seg_info_present_flag, 0) = 1"
+
+
+def _qm_levels(k: int) -> list[Field]:
+    on = f"using_qmatrix = 1 and pic_qm_num_minus_1 >= {k}"
+    own = f"{on} and seq.chroma_format_idc <> 1"
+    return [u(f"qm_y_{k}", "f", 4, on), flag(f"qm_uv_same_as_y_{k}", own), u(f"qm_u_{k}", "f", 4, f"qm_uv_same_as_y_{k} = 0"), u(f"qm_v_{k}", "f", 4, f"qm_uv_same_as_y_{k} = 0 and seq.separate_uv_delta_q = 1")]
+
+
+def _lossless(k: int) -> list[Field]:
+    """Whether a segment is lossless, and the matrices it takes."""
+    there = "seq.enable_ext_seg = 1" if k >= 8 else "base_q_idx is not null"
+    taken = f"coalesce(case when {MFH_SEGMENTS} then mfh.mfh_segment_{k}_alt_q else seq.seq_segment_{k}_alt_q end, 0)"
+    alt = f"case when segmentation_enabled = 0 then 0 when reuse_seg_info = 1 then {taken} else coalesce(segment_{k}_alt_q, 0) end"
+    return [
+        Field(f"lossless_{k}", "let", f"cast(base_q_idx + {alt} <= 0 and delta_q_present = 0 and _no_delta = 1 as int)", there),
+        Field(f"qm_index_{k}", "f", tile_log2("1", "pic_qm_num_minus_1 + 1", 3), f"{there} and using_qmatrix = 1 and lossless_{k} = 0"),
+    ]
+
+
+def _strength(name: str, when: str) -> list[Field]:
+    return [flag(f"{name}_pri_zero", when), u(f"{name}_pri_strength", "f", 4, f"{name}_pri_zero = 0", 0), u(f"{name}_sec_code", "f", 2, when)]
+
+
+_BASE = "case when seq.equal_ac_dc_q = 1 then {ac} else {least} + {dc} end"
+_DC_Y = _BASE.format(ac=0, least=LEAST_BASE_DELTA, dc="seq.base_y_dc_delta_q")
+_AC_UV = f"({LEAST_BASE_DELTA} + seq.base_uv_ac_delta_q)"
+_DC_UV = _BASE.format(ac=_AC_UV, least=LEAST_BASE_DELTA, dc="coalesce(seq.base_uv_dc_delta_q, 0)")
+
+#: segmentation, matrices, per-block quantizers, lossless segments, deblocking, guided and directional filters of an intra frame.
+#: Needs, beside the payload, seq, mfh (null if there is none) and from the frame header base_q_idx, delta_q_*, mi_cols, mi_rows, tile_cols,
+#: tile_rows and odd_start (1 where a tile begins at an odd superblock).
+FRAME_FILTERS = Syntax(
+    flag("segmentation_enabled"),
+    Field("_have", "let", f"cast(coalesce(case when {MFH_SEGMENTS} then mfh.mfh_ext_seg_flag = seq.enable_ext_seg else seq.seq_seg_info_present_flag = 1 end, false) as int)", "segmentation_enabled = 1"),
+    flag("_choose_reuse_seg", f"_have = 1 and case when {MFH_SEGMENTS} then mfh.mfh_allow_seg_info_change = 1 else seq.seq_allow_seg_info_change = 1 end"),
+    Field("reuse_seg_info", "let", "coalesce(_choose_reuse_seg, _have)", "segmentation_enabled = 1", 0),
+    segments("segment", SEGMENTS, "segmentation_enabled = 1 and reuse_seg_info = 0", "seq.enable_ext_seg = 1"),
+    flag("using_qmatrix"),
+    u("pic_qm_num_minus_1", "f", 2, "using_qmatrix = 1 and segmentation_enabled = 1", 0),
+    [f for k in range(4) for f in _qm_levels(k)],
+    flag("delta_q_present", "base_q_idx > 0", 0),
+    u("delta_q_res", "f", 2, "delta_q_present = 1", 0),
+    Field("_no_delta", "let", f"cast(delta_q_y_dc + {_DC_Y} <= 0 and delta_q_u_dc + {_DC_UV} <= 0 and delta_q_v_dc + {_DC_UV} <= 0 and delta_q_u_ac + {_AC_UV} <= 0 and delta_q_v_ac + {_AC_UV} <= 0 as int)"),
+    [f for k in range(SEGMENTS) for f in _lossless(k)],
+    Field("coded_lossless", "let", "least(" + ", ".join(f"coalesce(lossless_{k}, 1)" for k in range(SEGMENTS)) + ")"),
+    flag("_choose_tcq", f"{LOSSY} and seq.choose_tcq_per_frame = 1"),
+    Field("allow_tcq", "let", f"case when {LOSSY} then coalesce(_choose_tcq, seq.enable_tcq) else 0 end"),
+    flag("allow_parity_hiding", f"{LOSSY} and seq.enable_parity_hiding = 1 and allow_tcq = 0", 0),
+    # deblocking: what the multi-frame header says, else flags for luma and, where one is set, for chroma
+    Field("_mfh_deblock", "let", "cast(coalesce(mfh.mfh_deblocking_filter_update, 0) = 1 as int)", LOSSY),
+    flag("_apply_0", f"{LOSSY} and _mfh_deblock = 0"),
+    flag("_apply_1", f"{LOSSY} and _mfh_deblock = 0"),
+    *[Field(f"apply_deblocking_filter_{i}", "let", f"coalesce(_apply_{i}, mfh.mfh_apply_deblocking_filter_{i})", LOSSY, 0) for i in (0, 1)],
+    Field("_chroma", "let", "cast(seq.chroma_format_idc <> 1 and apply_deblocking_filter_0 + apply_deblocking_filter_1 > 0 as int)", LOSSY),
+    flag("_apply_2", f"{LOSSY} and _mfh_deblock = 0 and _chroma = 1"),
+    flag("_apply_3", f"{LOSSY} and _mfh_deblock = 0 and _chroma = 1"),
+    *[Field(f"apply_deblocking_filter_{i}", "let", f"case when _chroma = 1 then coalesce(_apply_{i}, mfh.mfh_apply_deblocking_filter_{i}) else 0 end", LOSSY, 0) for i in (2, 3)],
+    [
+        f
+        for i in range(4)
+        for f in (
+            flag(f"df_delta_q_present_{i}", f"apply_deblocking_filter_{i} = 1"),
+            u(f"_df_{i}", "f", "seq.df_par_bits_minus_2 + 2", f"df_delta_q_present_{i} = 1"),
+            # the second luma direction repeats the first where it names none
+            Field(f"df_delta_q_{i}", "let", f"case when df_delta_q_present_{i} = 1 then _df_{i} - shiftleft(1, cast(seq.df_par_bits_minus_2 + 1 as int)) else {'df_delta_q_0' if i == 1 else '0'} end", f"apply_deblocking_filter_{i} = 1", 0),
+        )
+    ],
+    flag("_gdf", f"{LOSSY} and seq.enable_gdf = 1 and seq.single_picture_header_flag = 0"),
+    Field("gdf_frame_enable", "let", f"case when {LOSSY} and seq.enable_gdf = 1 then coalesce(_gdf, 1) else 0 end"),
+    Field("_gdf_side", "let", f"case when seq.gdf_unit_matches_sb_size = 1 then 4 * shiftleft(1, cast({FRAME_SB_SHIFT} as int)) when {FRAME_SB_SHIFT} = 4 and odd_start = 1 then 64 else greatest({GDF_SIDE}, 4 * shiftleft(1, cast({FRAME_SB_SHIFT} as int))) end"),
+    flag("gdf_per_block", "gdf_frame_enable = 1 and (greatest(mi_cols, mi_rows) * 4 > _gdf_side or (seq.disable_loopfilters_across_tiles = 1 and tile_cols * tile_rows > 1))"),
+    u("gdf_pic_qc_idx", "f", 2, "gdf_frame_enable = 1"),
+    u("gdf_pic_scale_idx", "f", 2, "gdf_frame_enable = 1"),
+    flag("_cdef", f"{LOSSY} and seq.enable_cdef = 1 and seq.single_picture_header_flag = 0"),
+    Field("cdef_frame_enable", "let", f"case when {LOSSY} and seq.enable_cdef = 1 then coalesce(_cdef, 1) else 0 end"),
+    u("cdef_damping_minus_3", "f", 2, "cdef_frame_enable = 1"),
+    u("cdef_strengths_minus_1", "f", 3, "cdef_frame_enable = 1"),
+    flag("_cdef_skip", "cdef_frame_enable = 1 and seq.cdef_on_skip_txfm_always_on = 0 and seq.cdef_on_skip_txfm_disabled = 0"),
+    Field("cdef_on_skip_txfm_frame_enable", "let", "coalesce(_cdef_skip, seq.cdef_on_skip_txfm_always_on)", "cdef_frame_enable = 1"),
+    [f for k in range(8) for f in (*_strength(f"cdef_y_{k}", f"cdef_strengths_minus_1 >= {k}"), *_strength(f"cdef_uv_{k}", f"cdef_strengths_minus_1 >= {k} and seq.chroma_format_idc <> 1"))],
+)
+
+
+def odd_start(header: str = "header") -> Column:
+    """1 where a tile of a frame header (with its tiles) begins at an odd superblock; spaced tiles begin at i * each + min(i, extra)."""
+    h = F.col(header)
+    own = F.concat(F.coalesce(h["own_cols_starts"], F.array().cast("array<bigint>")), F.coalesce(h["own_rows_starts"], F.array().cast("array<bigint>")))
+    spaced = lambda n, each, extra: F.exists(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda i: (i * each + F.least(i, extra)) % 2 == 1)
+    even = F.lit(False)
+    for n, each, extra in (("tile_cols", "col_each", "col_extra"), ("tile_rows", "row_each", "row_extra")):
+        even = even | F.coalesce(spaced(h[n], h[each], h[extra]), F.lit(False))
+    return F.when(F.exists(own, lambda x: x % 2 == 1) | even, 1).otherwise(0)
+
+
+def parsed_frames(df: DataFrame, data: str = "payload") -> DataFrame:
+    """df (type_code, payload, seq, mfh) with header and, where the header is that of an intra frame read to its quantizers, filters."""
+    first = FRAME.parsed(df, data)
+    given = ["base_q_idx", "delta_q_y_dc", "delta_q_u_dc", "delta_q_v_dc", "delta_q_u_ac", "delta_q_v_ac", "mi_cols", "mi_rows", "tile_cols", "tile_rows"]
+    context = first.select("*", *[F.col(f"header.{c}").alias(c) for c in given]).withColumn("odd_start", odd_start())
+    read = FRAME_FILTERS.with_state(context, "_state", data, "coalesce(header_bits, 0)", when="header_error is null and base_q_idx is not null")
+    there = F.col("base_q_idx").isNotNull() & F.col("header_error").isNull()
+    return read.select(*first.columns, F.when(there, FRAME_FILTERS.named("_state")).alias("filters"), F.when(there, F.col("_state.error")).alias("filters_error"), F.when(there, F.col("_state.pos")).alias("filters_bits"))

@@ -41,7 +41,7 @@ def duck(text: str) -> str:
         while (at := text.find(f"{name}(")) >= 0:
             (a, b), end = _args(text, at + len(name))
             text = f"{text[:at]}(({a})::bigint {sign} ({b})::int){text[end:]}"
-    return re.sub(r"\bdiv\b", "//", text).replace("seq.", "seq_")
+    return re.sub(r"\bdiv\b", "//", text).replace("seq.", "seq_").replace("mfh.", "mfh_")
 
 
 def _read(f: Field) -> tuple[str, str, str]:
@@ -110,7 +110,7 @@ def read_sql(syntax: Syntax, source: str, keep: list[str]) -> str:
         read = f"(select * exclude (go, left_, n, cap{drop}), case when go then ({value})::bigint when err is null then {absent} end as v, case when go then ({fault}) end as fault, case when go then {used} else 0 end as used, go{extra} from {inner})"
         check = re.sub(rf"\b{f.name}\b", "v", duck(f.check)) if f.check else "true"
         bad = f"coalesce(fault, case when go and not coalesce({check}, false) then 'range' end)"
-        steps.append(f"s{k + 1} as (select * exclude (v, fault, used, go, pos, err), case when {bad} is null then v end as {f.name}, case when {bad} is null then pos + used else pos end as pos, coalesce(err, {bad} || ':{f.name}') as err from {read})")
+        steps.append(f"s{k + 1} as {'materialized ' if k % 16 == 15 else ''}(select * exclude (v, fault, used, go, pos, err), case when {bad} is null then v end as {f.name}, case when {bad} is null then pos + used else pos end as pos, coalesce(err, {bad} || ':{f.name}') as err from {read})")
     names = [f.name for f in syntax.fields if not _inside(f.name)]
     return "with " + ",\n".join(steps) + f"\nselect {', '.join(keep)}, {', '.join(names)}, err as error, pos as bits from s{len(syntax.fields)}"
 
@@ -160,14 +160,14 @@ def frame_header_prefixes(spark, sf):
 # ---- child configurations: read from bit 0, with what they need of the general part taken from the digest's first bits
 
 
-def _given(bits: dict[str, tuple[int, int]]) -> dict:
+def _given(bits: dict[str, tuple[int, int]], salt: str = "") -> dict:
     """Columns cut from the first 60 bits of another digest, by offset from the lowest bit and width."""
-    word = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    word = F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce("text", F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
     return {name: F.shiftright(word, at).bitwiseAND((1 << n) - 1) for name, (at, n) in bits.items()}
 
 
-def _given_sql(bits: dict[str, tuple[int, int]], prefix: str = "") -> str:
-    word = "('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint"
+def _given_sql(bits: dict[str, tuple[int, int]], prefix: str = "", salt: str = "") -> str:
+    word = f"('0x' || substr(md5('{salt}' || coalesce(text, '')), 1, 15))::bigint"
     return "".join(f"(({word} >> {at}) & {(1 << n) - 1}) as {prefix}{name}, " for name, (at, n) in bits.items())
 
 
@@ -206,10 +206,10 @@ SEQUENCE_BITS = {
 
 
 TYPE_BITS = {"type_code": (0, 5)}
-_FRAME_SOURCE = PAYLOAD_SQL.replace("doc_id,", f"doc_id, {_given_sql(TYPE_BITS)}{_given_sql(SEQUENCE_BITS, 'seq_')}64 as mfh_w, 48 as mfh_h, ")
+_FRAME_SOURCE = PAYLOAD_SQL.replace("doc_id,", f"doc_id, {_given_sql(TYPE_BITS)}{_given_sql(SEQUENCE_BITS, 'seq_')}64 as mfh_mfh_frame_width_minus_1, 48 as mfh_mfh_frame_height_minus_1, ")
 
 
-@query("", read_sql(H.FRAME_START, _FRAME_SOURCE, ["doc_id", "type_code"]).replace("mfh.mfh_frame_width_minus_1", "mfh_w").replace("mfh.mfh_frame_height_minus_1", "mfh_h"))
+@query("", read_sql(H.FRAME_START, _FRAME_SOURCE, ["doc_id", "type_code"]))
 def frame_headers(spark, sf):
     """Frame headers up to the tiles, with the fields of the active sequence header that they depend on."""
     seq = F.struct(*[c.alias(n) for n, c in _given(SEQUENCE_BITS).items()])
@@ -239,3 +239,55 @@ def _dispatch_sql() -> str:
 def payload_dispatch(spark, sf):
     """What each payload turns out to be by its unit type."""
     return H.payloads(typed_documents(spark, sf), kinds=DISPATCHED).select("doc_id", "type_code", "status", "syntax_error")
+
+
+@query("", read_sql(H.SEQUENCE, PAYLOAD_SQL, ["doc_id"]))
+def sequence_headers_whole(spark, sf):
+    """Whole sequence headers: child configurations, segments and tiles."""
+    return _flat(H.SEQUENCE.parsed(documents(spark, sf)), H.SEQUENCE, ["doc_id"])
+
+
+_config_query("multi_frame_headers", H.MULTI_FRAME, "Sizes, deblocking and segments that frames share.")
+
+
+def _laid_out(names: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:
+    """(name, width) one behind the other from bit 0; 60 bits at most."""
+    out, at = {}, 0
+    for name, width in names:
+        out[name] = (at, width)
+        at += width
+    if at > 60:
+        raise ValueError(f"{at} bits")
+    return out
+
+
+#: More of the sequence header, for tiles, quantizers and filters, and of a multi-frame header; each group from a digest of its own.
+TOOLS = _laid_out([("use_256x256_superblock", 1), ("use_128x128_superblock", 1), ("seq_level_idx", 4), ("seq_tier", 1), ("enable_avg_cdf", 1), ("avg_cdf_type", 1), ("bit_depth_idc", 1), ("chroma_format_idc", 2), ("y_dc_delta_q_enabled", 1), ("uv_dc_delta_q_enabled", 1), ("uv_ac_delta_q_enabled", 1), ("separate_uv_delta_q", 1), ("equal_ac_dc_q", 1), ("seq_tile_info_present_flag", 1), ("allow_tile_info_change", 1), ("seq_uniform", 1), ("seq_sb_cols", 2), ("seq_sb_rows", 2), ("seq_tile_cols", 2), ("seq_tile_rows", 2), ("seq_tile_cols_log2", 1), ("seq_tile_rows_log2", 1)])
+FILTER_TOOLS = _laid_out([("enable_ext_seg", 1), ("seq_seg_info_present_flag", 1), ("seq_allow_seg_info_change", 1), ("base_y_dc_delta_q", 5), ("base_uv_dc_delta_q", 5), ("base_uv_ac_delta_q", 5), ("choose_tcq_per_frame", 1), ("enable_tcq", 1), ("enable_parity_hiding", 1), ("df_par_bits_minus_2", 2), ("enable_gdf", 1), ("gdf_unit_matches_sb_size", 1), ("disable_loopfilters_across_tiles", 1), ("enable_cdef", 1), ("cdef_on_skip_txfm_always_on", 1), ("cdef_on_skip_txfm_disabled", 1)])
+ALTS = _laid_out([(f"seq_segment_{k}_alt_q", 3) for k in range(16)])
+SHARED = _laid_out([("mfh_seg_info_present_flag", 1), ("mfh_ext_seg_flag", 1), ("mfh_allow_seg_info_change", 1), ("mfh_deblocking_filter_update", 1), *[(f"mfh_apply_deblocking_filter_{k}", 1) for k in range(4)], ("mfh_frame_width_minus_1", 9), ("mfh_frame_height_minus_1", 9)])
+SHARED_ALTS = _laid_out([(f"mfh_segment_{k}_alt_q", 3) for k in range(16)])
+FRAME_VALUES = _laid_out([("base_q_idx", 1), ("delta_q_y_dc", 3), ("delta_q_u_dc", 3), ("delta_q_v_dc", 3), ("delta_q_u_ac", 3), ("delta_q_v_ac", 3), ("mi_cols", 7), ("mi_rows", 7), ("tile_cols", 2), ("tile_rows", 2), ("odd_start", 1)])
+_GROUPS = {"seq": [(SEQUENCE_BITS, ""), (TOOLS, "t"), (FILTER_TOOLS, "f"), (ALTS, "a")], "mfh": [(SHARED, "m"), (SHARED_ALTS, "b")]}
+
+
+def _contexts() -> list:
+    return [F.struct(*[c.alias(n) for bits, salt in groups for n, c in _given(bits, salt).items()]).alias(name) for name, groups in _GROUPS.items()]
+
+
+_CONTEXT_SQL = "".join(_given_sql(bits, f"{name}_", salt) for name, groups in _GROUPS.items() for bits, salt in groups)
+
+
+@query("", read_sql(H.FRAME, PAYLOAD_SQL.replace("doc_id,", f"doc_id, {_given_sql(TYPE_BITS)}{_CONTEXT_SQL}"), ["doc_id", "type_code"]))
+def frame_headers_whole(spark, sf):
+    """Frame headers with tiles and quantizers, under any sequence and multi-frame header."""
+    rows = table(spark, sf, "documents").select("doc_id", _given(TYPE_BITS)["type_code"].cast("int").alias("type_code"), *_contexts(), _payload().alias("payload"))
+    return _flat(H.FRAME.parsed(rows), H.FRAME, ["doc_id", "type_code"])
+
+
+@query("", read_sql(H.FRAME_FILTERS, PAYLOAD_SQL.replace("doc_id,", f"doc_id, {_given_sql(FRAME_VALUES, salt='v')}{_CONTEXT_SQL}"), ["doc_id"]))
+def frame_filters(spark, sf):
+    """Segmentation, matrices, lossless segments, deblocking, guided and directional filters of intra frames."""
+    values = [c.alias(n) for n, c in _given(FRAME_VALUES, "v").items()]
+    rows = table(spark, sf, "documents").select("doc_id", *values, *_contexts(), _payload().alias("payload"))
+    return _flat(H.FRAME_FILTERS.parsed(rows), H.FRAME_FILTERS, ["doc_id"])

@@ -42,7 +42,7 @@ class Writer:
         self.values, self.lists, self.bits = dict(context or {}), {}, ""
 
     def evaluated(self, text):
-        plain = re.sub(r"[A-Za-z_][A-Za-z_0-9]*", lambda m: (f"({self.values[m.group()]})::bigint" if self.values[m.group()] is not None else "null::bigint") if m.group() in self.values else m.group(), duck(str(text).replace("mfh.", "mfh_x_")))
+        plain = re.sub(r"[A-Za-z_][A-Za-z_0-9]*", lambda m: (f"({self.values[m.group()]})::bigint" if self.values[m.group()] is not None else "null::bigint") if m.group() in self.values else m.group(), duck(str(text)))
         return self.db.execute(f"select {plain}").fetchone()[0]
 
     def code(self, x, n):
@@ -127,7 +127,7 @@ def test_frame_headers_give_what_was_written(spark):
     types = [UNIT_TYPES.index(n) for n in ("ClosedLoopKey", "OpenLoopKey", "RegularTileGroup", "Switch", "RegularSef", "BridgeFrame", "LeadingTip", "RasFrame", "RegularTileGroup")]
     for k, (_, s) in enumerate(sequences(18)):
         seq = {f"seq_{n}": v for n, v in s.values.items()}
-        mfh = {"mfh_x_mfh_frame_width_minus_1": 99, "mfh_x_mfh_frame_height_minus_1": 49}
+        mfh = {"mfh_mfh_frame_width_minus_1": 99, "mfh_mfh_frame_height_minus_1": 49}
         w = Writer(100 + k, {"type_code": types[k % len(types)]} | seq | mfh, {"frame_is_inter": int(k >= 9)})
         payload = w.write(H.FRAME)
         rows.append((k, types[k % len(types)], payload, {n: v for n, v in s.values.items() if not n.startswith("_")}))
@@ -144,6 +144,46 @@ def test_frame_headers_give_what_was_written(spark):
     assert sum(r.header.reuse_tile_info == 1 for r in got) and sum(r.header.tile_cols is not None and r.header.tile_cols > 1 for r in got)
 
 
+def starts(w, axis):
+    """Where tiles begin in superblocks: coded sizes, or one size and one superblock more for the first ones."""
+    v = w.values
+    if v[f"own_{axis}s"] is not None:
+        return w.lists[f"own_{axis}s"]
+    if v[f"uniform_{axis}s"] is None:
+        return []
+    out, at = [], 0
+    for i in range(v[f"uniform_{axis}s"]):
+        out.append(at)
+        at += v[f"{axis}_each"] + (i < v[f"{axis}_extra"])
+    return out
+
+
+def test_frames_with_their_filters(spark):
+    mfh_names = [x.name for x in H.MULTI_FRAME.fields]
+    rows, writers = [], []
+    for k, (_, s) in enumerate(sequences(10)):
+        m = Writer(50 + k, fixed={"mfh_frame_width_bits_minus_1": 9, "mfh_frame_height_bits_minus_1": 9})
+        m.write(H.MULTI_FRAME)
+        shared = {n: m.values[n] if k % 3 else None for n in mfh_names}
+        context = {f"seq_{n}": v for n, v in s.values.items()} | {f"mfh_{n}": v for n, v in shared.items()} | {"type_code": 4}
+        w = Writer(200 + k, context, {"cur_mfh_id": int(k % 3 == 2 and m.values["mfh_frame_size_present_flag"] == 1), "base_q_idx": k % 2})
+        w.write(H.FRAME)
+        if w.values["frame_width"] is None:
+            continue
+        w.values["odd_start"] = int(any(x % 2 for axis in ("col", "row") for x in starts(w, axis)))
+        first = len(w.bits)
+        payload = w.write(H.FRAME_FILTERS)
+        rows.append((len(rows), 4, payload, {n: v for n, v in s.values.items() if not n.startswith("_")}, shared, first))
+        writers.append(w)
+    schema = "k int, type_code int, payload binary, seq struct<" + ", ".join(f"{x.name}: bigint" for x in H.SEQUENCE.fields if not x.name.startswith("_")) + ">, mfh struct<" + ", ".join(f"{n}: bigint" for n in mfh_names) + ">, first int"
+    got = H.parsed_frames(spark.createDataFrame(rows, schema)).orderBy("k").collect()
+    assert len(got) == len(writers) >= 7
+    for row, w in zip(got, writers, strict=True):
+        assert (row.header_error, row.header_bits, row.filters_error, row.filters_bits) == (None, row.first, None, len(w.bits))
+        assert row.filters.asDict() == named(w, H.FRAME_FILTERS)
+    assert any(r.filters.coded_lossless for r in got) and any(r.filters.cdef_frame_enable for r in got)
+
+
 def test_a_cut_payload_is_an_error_at_the_field_that_is_cut(spark):
     payload, w = sequences(1)[0]
     rows = [(n, payload[:n]) for n in range(len(payload))] + [(-1, None)]
