@@ -339,6 +339,12 @@ FRAME_FIELDS = [
     Field("_known", "let", "cast(seq.seq_header_id is not null as int)"),
     Field("bridge_frame_ref_idx", "f", REF_BITS, f"_known = 1 and type_code = {BRIDGE}"),
     Field("show_existing_frame", "let", f"cast(seq.single_picture_header_flag = 0 and type_code in ({LEADING_SEF}, {REGULAR_SEF}) as int)", "_known = 1"),
+    Field("frame_to_show_map_idx", "f", REF_BITS, "show_existing_frame = 1"),
+    flag("derive_sef_order_hint", "show_existing_frame = 1"),
+    Field("sef_order_hint_lsb", "f", "coalesce(seq.order_hint_bits_minus_1 + 1, 0)", "derive_sef_order_hint = 0"),
+    flag("apply_grain", "show_existing_frame = 1 and seq.film_grain_params_present = 1", 0),
+    Field("fgm_id", "f", 3, "apply_grain = 1"),
+    Field("grain_seed", "f", 16, "apply_grain = 1"),
     flag("restricted_prediction_switch", f"{SEVERAL} and type_code in ({SWITCH}, {RAS})"),
     flag("frame_is_inter", f"{SEVERAL} and type_code in (6, 7)"),
     Field("frame_type", "let", f"case when seq.single_picture_header_flag = 1 or type_code in ({CLOSED_KEY}, {OPEN_KEY}) then {KEY} when type_code in ({SWITCH}, {RAS}) then {SWITCHED} when frame_is_inter = 0 then {INTRA_ONLY} else {INTER_ONLY} end", BODY),
@@ -469,9 +475,63 @@ CONTENT = Syntax(
     [Field(f.name, f.kind, f.width, f"timing_info_present_flag = 1 and {f.when}" if f.when else "timing_info_present_flag = 1", None, f.check) for f in TIMING],
 )
 
+
+
+def _points(p: str, name: str, when: str) -> list[Field]:
+    """Scaling points: numbers that hold an increment and, in their low bits, a scaling."""
+    some = f"{p}num_{name}_points > 0"
+    return [
+        u(f"{p}num_{name}_points", "f", 4, when, 0),
+        u(f"{p}{name}_increment_bits_minus_1", "f", 3, some),
+        u(f"{p}{name}_scaling_bits_minus_5", "f", 2, some),
+        Field(f"{p}{name}_points", "list", f"{p}num_{name}_points", some, None, None, f"{p}{name}_increment_bits_minus_1 + 1 + {p}{name}_scaling_bits_minus_5 + 5"),
+    ]
+
+
+def _coefficients(p: str, name: str, count: str, when: str) -> list[Field]:
+    return [u(f"{p}ar_{name}_bits_minus_5", "f", 2, when), Field(f"{p}ar_{name}", "list", count, when, None, None, f"{p}ar_{name}_bits_minus_5 + 5")]
+
+
+def grain_model(p: str, there: str) -> list[Field]:
+    """Grain of one slot; autoregression coefficients are stored above the middle of their range."""
+    coloured = f"{there} and chroma_idc <> 1"
+    chroma = f"{coloured} and {p}chroma_scaling_from_luma = 0"
+    luma = f"2 * {p}ar_coeff_lag * ({p}ar_coeff_lag + 1)"
+    out = [flag(f"{p}chroma_scaling_from_luma", coloured, 0), *_points(p, "y", there), *_points(p, "cb", chroma), *_points(p, "cr", chroma)]
+    out += [u(f"{p}grain_scaling_minus_8", "f", 2, there), u(f"{p}ar_coeff_lag", "f", 2, there), *_coefficients(p, "y", luma, f"{p}num_y_points > 0")]
+    for c in ("cb", "cr"):
+        out += _coefficients(p, c, f"{luma} + cast({p}num_y_points > 0 as int)", f"{there} and ({p}chroma_scaling_from_luma = 1 or {p}num_{c}_points > 0)")
+    out += [u(f"{p}ar_coeff_shift_minus_6", "f", 2, there), u(f"{p}grain_scale_shift", "f", 2, there)]
+    out += [u(f"{p}{c}_{name}", "f", w, f"{p}num_{c}_points > 0") for c in ("cb", "cr") for name, w in (("mult", 8), ("luma_mult", 8), ("offset", 9))]
+    return [*out, flag(f"{p}overlap_flag", there), flag(f"{p}clip_to_restricted_range", there), flag(f"{p}mc_identity", f"{p}clip_to_restricted_range = 1", 0), flag(f"{p}film_grain_block_size", there)]
+
+
+#: film_grain(): models of the slots that the flags name, slot 0 in the lowest bit
+FILM_GRAIN = Syntax(u("update_flags", "f", 8), uvlc("chroma_idc"), [f for k in range(8) for f in grain_model(f"g{k}_", f"(update_flags & {1 << k}) > 0")])
+
+#: The head of a metadata unit in short form; what it holds follows.
+METADATA_SHORT = Syntax(flag("metadata_is_suffix"), u("muh_layer_idc", "f", 3), flag("muh_cancel_flag"), u("muh_persistence_idc", "f", 3), Field("metadata_type", "leb"))
+
+#: The head of a tile group: a first one begins with a frame header. Needs type_code.
+TILE_GROUP = Syntax(
+    flag("is_first_tile_group"),
+    flag("frame_header_present_flag", "is_first_tile_group = 0", 1),
+    [Field(f.name, f.kind, f.width, f"is_first_tile_group = 1 and {f.when}", None if f.name != "cur_mfh_id" else 0) for f in PREFIX],
+)
+#: What follows the frame header of a tile group, up to its tiles; needs num_tiles and tile_bits.
+TILE_GROUP_STRUCTURE = Syntax(
+    flag("tile_start_and_end_present_flag", "num_tiles > 1", 0),
+    u("_start", "f", "tile_bits", "tile_start_and_end_present_flag = 1"),
+    u("_end", "f", "tile_bits", "tile_start_and_end_present_flag = 1"),
+    Field("tg_start", "let", "coalesce(_start, 0)"),
+    Field("tg_end", "let", "coalesce(_end, num_tiles - 1)"),
+    Field("zero_bit", "f", "(8 - here % 8) % 8", None, None, "zero_bit = 0"),
+    Field("header_bytes", "let", "cast(here / 8 as bigint)"),
+)
+
 #: Tables by unit type; frame headers are read as far as their ids here, as more of them needs other records.
 BY_TYPE = {
-    "SequenceHeader": SEQUENCE, "MultiFrameHeader": MULTI_FRAME, "BufferRemovalTiming": REMOVAL, "Msdo": MSDO, "ContentInterpretation": CONTENT,
+    "SequenceHeader": SEQUENCE, "MultiFrameHeader": MULTI_FRAME, "BufferRemovalTiming": REMOVAL, "Msdo": MSDO, "ContentInterpretation": CONTENT, "FilmGrain": FILM_GRAIN, "MetadataShort": METADATA_SHORT,
     **dict.fromkeys(["ClosedLoopKey", "OpenLoopKey", "LeadingSef", "RegularSef", "LeadingTip", "RegularTip", "Switch", "BridgeFrame", "RasFrame"], FRAME_PREFIX),
 }
 

@@ -16,6 +16,9 @@ Descriptors:
     let    no bits: the value of `width`      cover  ns codes of sizes, up to `width` in all, each
     widest no bits: the largest size of the          at most `cap`; the value is their number
            list `cap`, of `width` in all             and `@name` the list of starts
+    list   `width` numbers of `cap` bits each; the value is how many, `@name` the numbers
+
+`here` stands for the cursor's place in bits.
 
 A state is struct<pos, error, v, lists>.  The first fault ends the reading: pos is then the place of
 the field that couldn't be read, and error says `eof:field`, `code:field` (malformed code) or
@@ -99,7 +102,10 @@ def _readers(data: str) -> dict[str, str]:
         "x",
         f"if(x.used > t.size - s.pos, {_found('null', '0', repr('eof'))}, if(x.start < t.n, {_found('null', '0', repr('range'))}, named_struct('value', cast(size(x.starts) as bigint), 'used', x.used, 'fault', cast(null as string), 'list', x.starts)))",
     )
+    items = f"transform(sequence(1, greatest(cast(t.n as int), 1)), k -> {bits('s.pos + (k - 1) * t.cap', 't.cap')})"
+    several = f"if(t.n * t.cap > t.size - s.pos, {_found('null', '0', repr('eof'))}, named_struct('value', t.n, 'used', t.n * t.cap, 'fault', cast(null as string), 'list', if(t.n > 0, {items}, cast(array() as array<bigint>))))"
     return {
+        "list": several,
         "f": _within(bits("s.pos", "t.n"), "t.n"),
         "su": signed,
         "uvlc": uvlc,
@@ -128,7 +134,7 @@ class Syntax:
     def __init__(self, *fields: Field | list[Field]):
         self.fields = [f for part in fields for f in (part if isinstance(part, list) else [part])]
         self.at = {f.name: k for k, f in enumerate(self.fields)}
-        self.lists = {f.name: k for k, f in enumerate(f for f in self.fields if f.kind == "cover")}
+        self.lists = {f.name: k for k, f in enumerate(f for f in self.fields if f.kind in ("cover", "list"))}
         if len(self.at) != len(self.fields):
             raise ValueError("a field is named twice")
 
@@ -139,6 +145,8 @@ class Syntax:
             name = m.group()
             if name.startswith("@"):
                 return f"get(s.lists, {self.lists[name[1:]]})"
+            if name == "here":
+                return "s.pos"
             if own and self.at.get(name) == before:
                 return own
             if name in self.at:
@@ -161,7 +169,7 @@ class Syntax:
         read = "case " + " ".join(f"when i in ({', '.join(map(str, at))}) then {readers[k]}" for k, at in kinds.items()) + " end"
         active = self._cases(block, lambda f, k: f"coalesce({self._bound(f.when, k)}, false)" if f.when else None, "true")
         width = self._cases(block, lambda f, k: None if f.width == 1 else f"cast({self._bound(_widest(f) if f.kind == 'widest' else str(f.width), k)} as bigint)", "1L")
-        cap = self._cases(block, lambda f, k: f"cast({self._bound(f.cap, k)} as bigint)" if f.kind == "cover" else None, "0L")
+        cap = self._cases(block, lambda f, k: f"cast({self._bound(f.cap, k)} as bigint)" if f.kind in ("cover", "list") else None, "0L")
         absent = self._cases(block, lambda f, k: None if f.absent is None else f"{f.absent}L", "cast(null as bigint)")
         failed = self._cases(block, lambda f, k: f"not coalesce({self._bound(f.check, k, 'r.value')}, false)" if f.check else None, "false")
         name = self._cases(block, lambda f, k: repr(f.name), "''")

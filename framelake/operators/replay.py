@@ -87,3 +87,24 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], bucket: int = B
     since = F.greatest("l_from", "r_from")
     met = (F.col("l_from") < F.col("r_until")) & (F.col("r_from") < F.col("l_until")) & (F.floor(since / bucket) == F.col("_bucket"))
     return both.where(met).withColumn("since", since).drop("_bucket")
+
+
+def slot_references(refs: DataFrame, updates: DataFrame, slots: int) -> DataFrame:
+    """refs (stream, n, slot, further columns) with set_at: the latest update of that slot before n, null if there was none.
+
+    updates: stream, n, mask of the slots that it sets.  An update becomes a row for each slot, and both
+    sides are sorted once by (stream, slot): no range join.
+    """
+    set_ = updates.select("stream", "n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.call_function("shiftright", F.col("mask"), s).bitwiseAND(1) == 1)).alias("slot"))
+    extra = [c for c in refs.columns if c not in ("stream", "n", "slot")]
+    left = refs.select("stream", "slot", "n", F.lit(1).alias("_asks"), F.struct(F.lit(0).alias("_"), *extra).alias("_row"))
+    right = set_.select("stream", "slot", "n", F.lit(0).alias("_asks"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    # at one place the question comes first, so an update answers later ones only
+    before = Window.partitionBy("stream", "slot").orderBy("n", F.desc("_asks")).rowsBetween(Window.unboundedPreceding, -1)
+    found = left.unionByName(right).withColumn("set_at", F.max(F.when(F.col("_asks") == 0, F.col("n"))).over(before)).where("_asks = 1")
+    return found.select("stream", "n", "slot", *[F.col(f"_row.{c}").alias(c) for c in extra], "set_at")
+
+
+def first_of_each(found: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Findings that repeat, once for each of the keys: the first, and how many there were."""
+    return found.groupBy(*keys).agg(F.min(order).alias(order), F.count("*").alias("times"))

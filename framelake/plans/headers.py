@@ -18,8 +18,8 @@ from ..functions.syntax import MOST_SIZES, Field, Syntax, _inside
 from .catalogue import query
 from .views import table
 
-#: Bytes that the SQL turns into digits; no table of fields here can need more.
-SQL_BYTES = 400
+#: Bytes that the SQL turns into digits: more than most tables of fields can need, and the longest payload here.
+SQL_BYTES, ALL_BYTES = 400, 2000
 
 
 def _args(text: str, at: int) -> tuple[list[str], int]:
@@ -41,7 +41,7 @@ def duck(text: str) -> str:
         while (at := text.find(f"{name}(")) >= 0:
             (a, b), end = _args(text, at + len(name))
             text = f"{text[:at]}(({a})::bigint {sign} ({b})::int){text[end:]}"
-    return re.sub(r"\bdiv\b", "//", text).replace("seq.", "seq_").replace("mfh.", "mfh_")
+    return re.sub(r"\bdiv\b", "//", text).replace("seq.", "seq_").replace("mfh.", "mfh_").replace("here", "pos")
 
 
 def _read(f: Field) -> tuple[str, str, str]:
@@ -59,6 +59,11 @@ def _read(f: Field) -> tuple[str, str, str]:
         w = "length(ltrim(n::bigint::bit::varchar, '0'))"
         v, m = at("pos", f"({w} - 1)"), f"((1::bigint << {w}::int) - n)"
         return f"(case when {v} < {m} then {v} else 2 * {v} - {m} + {at(f'(pos + {w} - 1)', '1')} end)", f"(case when {v} < {m} then {w} - 1 else {w} end)", "n < 1"
+    if f.kind == "leb":
+        byte = lambda k: at(f"(pos + {8 * k})", "8")
+        ends = "case " + " ".join(f"when left_ >= {8 * k + 8} and {byte(k)} < 128 then {k + 1}" for k in range(8)) + " end"
+        value = " + ".join(f"case when ({ends}) > {k} then ({byte(k)} & 127) << {7 * k} else 0 end" for k in range(8))
+        return f"({value})", f"(8 * coalesce({ends}, 99))", f"(coalesce({ends}, 9) = 9 and left_ >= 64 or ({value}) >= 4294967296)"
     ones = "(strpos(substr(bits, (pos + 1)::int) || '0', '0') - 1)"
     if f.kind == "unary":
         return f"least({ones}, n)", f"(least({ones}, n) + ({ones} < n)::int)", "false"
@@ -81,10 +86,10 @@ def _cover() -> str:
     return f"list_reduce(list_transform(range({MOST_SIZES + 1}), lambda k: {none}), lambda a, b: case when a.start >= n or a.used > left_ then a else {grown} end)"
 
 
-def read_sql(syntax: Syntax, source: str, keep: list[str]) -> str:
+def read_sql(syntax: Syntax, source: str, keep: list[str], most: int = SQL_BYTES) -> str:
     """DuckDB text: the kept columns of source (which has hex digits `h` of the payload), the named values, error and bits."""
     steps = [
-        f"s0 as (select *, 8 * (length(h) // 2) as all_bits, array_to_string(list_transform(range(least(length(h) // 2, {SQL_BYTES})), lambda i: right(('0x' || substr(h, (2 * i + 1)::int, 2))::int::bit::varchar, 8)), '') as bits, 0::bigint as pos, null::varchar as err from ({source}))"
+        f"s0 as (select *, 8 * (length(h) // 2) as all_bits, array_to_string(list_transform(range(least(length(h) // 2, {most})), lambda i: right(('0x' || substr(h, (2 * i + 1)::int, 2))::int::bit::varchar, 8)), '') as bits, 0::bigint as pos, null::varchar as err from ({source}))"
     ]
     for k, f in enumerate(syntax.fields):
         when = f"coalesce(({duck(f.when)}), false)" if f.when else "true"
@@ -94,12 +99,17 @@ def read_sql(syntax: Syntax, source: str, keep: list[str]) -> str:
             n = f"list_max(list_transform(l_{name}, lambda x, j: coalesce(l_{name}[j + 1], {duck(str(f.width))}) - x))"
         else:
             n = duck(str(f.width))
-        cap = duck(f.cap) if f.kind == "cover" else "0"
+        cap = duck(f.cap) if f.kind in ("cover", "list") else "0"
         prepared = f"(select *, err is null and {when} as go, all_bits - pos as left_, case when {when} then ({n})::bigint end as n, case when {when} then ({cap})::bigint end as cap from s{k})"
         if f.kind == "cover":
             inner = f"(select *, case when go then {_cover()} end as c from {prepared})"
             fault = "case when n < 1 or cap < 1 then 'code' when c.used > left_ then 'eof' when c.start < n then 'range' end"
             value, used, extra, drop = "len(c.starts)", "c.used", f", case when go then c.starts end as l_{f.name}", ", c"
+        elif f.kind == "list":
+            ok = "n * cap <= left_"
+            inner = f"(select *, go and coalesce({ok}, false) as ok from {prepared})"
+            fault, value, used, drop = "case when not ok then 'eof' end", "case when ok then n end", "case when ok then n * cap else 0 end", ", ok"
+            extra = f", case when ok then list_transform(range(n), lambda i: ('0b' || substr(bits, (pos + i * cap + 1)::int, cap::int))::bigint) end as l_{f.name}"
         else:
             value, used, bad = _read(f)
             ok = f"not ({bad}) and {used} <= left_"
@@ -171,7 +181,7 @@ def _given_sql(bits: dict[str, tuple[int, int]], prefix: str = "", salt: str = "
     return "".join(f"(({word} >> {at}) & {(1 << n) - 1}) as {prefix}{name}, " for name, (at, n) in bits.items())
 
 
-def _config_query(name: str, syntax: Syntax, doc: str, **bits: tuple[int, int]) -> None:
+def _config_query(name: str, syntax: Syntax, doc: str, most: int = SQL_BYTES, **bits: tuple[int, int]) -> None:
     keep = ["doc_id", *bits]
 
     def run(spark, sf):
@@ -179,7 +189,7 @@ def _config_query(name: str, syntax: Syntax, doc: str, **bits: tuple[int, int])
         return _flat(syntax.parsed(rows), syntax, keep)
 
     run.__name__, run.__doc__ = name, doc
-    query("", read_sql(syntax, PAYLOAD_SQL.replace("doc_id,", "doc_id, " + _given_sql(bits)), keep))(run)
+    query("", read_sql(syntax, PAYLOAD_SQL.replace("doc_id,", "doc_id, " + _given_sql(bits)), keep, most))(run)
 
 
 GENERAL_BITS = {"single_picture_header_flag": (0, 1), "chroma_format_idc": (1, 2)}
@@ -201,7 +211,7 @@ _config_query(
 #: What a frame header takes from the active sequence header.
 SEQUENCE_BITS = {
     "single_picture_header_flag": (5, 1), "num_ref_frames_minus_1": (6, 3), "long_term_frame_id_bits": (9, 2), "monotonic_output_order_flag": (11, 1), "order_hint_bits_minus_1": (12, 3), "max_mlayer_id": (15, 1), "seq_header_id": (16, 4),
-    "enable_short_refresh_frame_flags": (20, 1), "frame_width_bits_minus_1": (21, 4), "frame_height_bits_minus_1": (25, 4), "max_frame_width_minus_1": (29, 9), "max_frame_height_minus_1": (38, 9), "seq_screen_content_tools": (47, 1), "seq_integer_mv": (48, 2), "allow_frame_max_bvp_drl_bits": (50, 1),
+    "enable_short_refresh_frame_flags": (20, 1), "frame_width_bits_minus_1": (21, 4), "frame_height_bits_minus_1": (25, 4), "max_frame_width_minus_1": (29, 9), "max_frame_height_minus_1": (38, 9), "seq_screen_content_tools": (47, 1), "seq_integer_mv": (48, 2), "allow_frame_max_bvp_drl_bits": (50, 1), "film_grain_params_present": (51, 1),
 }
 
 
@@ -229,7 +239,7 @@ def _dispatch_sql() -> str:
     for t, codes in tables.values():
         good = "prefix" if t is H.FRAME_PREFIX else "parsed"
         own = f"select * from ({source}) where type_code in ({', '.join(map(str, codes))})"
-        parts.append(f"select doc_id, type_code, case when error is null then '{good}' else 'malformed' end as status, error as syntax_error from ({read_sql(t, own, ['doc_id', 'type_code'])})")
+        parts.append(f"select doc_id, type_code, case when error is null then '{good}' else 'malformed' end as status, error as syntax_error from ({read_sql(t, own, ['doc_id', 'type_code'], ALL_BYTES if t is H.FILM_GRAIN else SQL_BYTES)})")
     known = ", ".join(str(UNIT_TYPES.index(n)) for n in DISPATCHED)
     parts.append(f"select doc_id, type_code, case when type_code = 0 or type_code >= {len(UNIT_TYPES)} then 'reserved' else 'opaque' end, null from ({source}) where type_code not in ({known})")
     return "\nunion all\n".join(parts)
@@ -291,3 +301,8 @@ def frame_filters(spark, sf):
     values = [c.alias(n) for n, c in _given(FRAME_VALUES, "v").items()]
     rows = table(spark, sf, "documents").select("doc_id", *values, *_contexts(), _payload().alias("payload"))
     return _flat(H.FRAME_FILTERS.parsed(rows), H.FRAME_FILTERS, ["doc_id"])
+
+
+_config_query("film_grain_models", H.FILM_GRAIN, "Grain of eight slots: scaling points and autoregression coefficients.", ALL_BYTES)
+_config_query("tile_group_heads", H.TILE_GROUP, "Heads of tile groups.", type_code=(0, 5))
+_config_query("tile_group_structures", H.TILE_GROUP_STRUCTURE, "First and last tile of a group, and where its tiles begin.", num_tiles=(0, 3), tile_bits=(3, 3))

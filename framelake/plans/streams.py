@@ -45,9 +45,7 @@ def unit_totals_to_the_end(spark, sf):
 _KINDS = {"signup": 2, "view": 4, "click": 7, "error": 1, "purchase": 9}
 
 
-@query(
-    "pkt",
-    f""", k as (select stream, n, case event_type {' '.join(f"when '{e}' then {c}" for e, c in _KINDS.items())} end as kind, bits % 4 as phase, bits % 3 as layer from pkt
+ORDERED_SQL = f"""with k as (select stream, n, case event_type {' '.join(f"when '{e}' then {c}" for e, c in _KINDS.items())} end as kind, bits % 4 as phase, bits % 3 as layer from pkt
 ), u as (select *, sum((kind = 2)::int) over (partition by stream order by n) as unit, lag(kind) over (partition by stream order by n) as before, lead(kind) over (partition by stream order by n) as behind from k
 ), w as (select *, max(case when kind <> 2 then phase end) over (partition by stream, unit order by n rows between unbounded preceding and 1 preceding) as top, case when before <> 2 then lag(layer) over (partition by stream, unit order by n) end as below,
     count(*) filter (kind in (4, 5, 6, 7, 10, 11, 12, 13, 14, 19, 21)) over (partition by stream, unit) as frames from u)
@@ -55,8 +53,10 @@ select stream, n, 'unit/duplicate-delimiter' as rule_id, 'error' as severity fro
 union all select stream, n, 'unit/missing-delimiter', 'error' from w where n = 0 and kind <> 2
 union all select stream, n, 'unit/phase-order', 'error' from w where kind <> 2 and phase < top
 union all select stream, n, 'unit/layer-order', 'warning' from w where kind <> 2 and layer < below
-union all select stream, n, 'unit/no-frame', 'warning' from w where kind = 2 and frames = 0 and behind is distinct from 2""",
-)
+union all select stream, n, 'unit/no-frame', 'warning' from w where kind = 2 and frames = 0 and behind is distinct from 2"""
+
+
+@query("pkt", f"select * from ({ORDERED_SQL})")
 def ordered_findings(spark, sf):
     """Findings about order; that a unit has no frame is known at its end and reported at its beginning."""
     kind = F.lit(None)
@@ -115,6 +115,44 @@ def record_agreement(spark, sf):
     return met.where("l_profile <> r_profile").select("id", "since", "l_profile", "r_profile")
 
 
+# ---- records in slots
+
+
+def _slots(spark, sf, refs: str, updates: str, slots: int, slot, mask):
+    rows = pkt(spark, sf)
+    asked = rows.where(F.col("event_type") == refs).select("stream", "n", slot.cast("int").alias("slot"))
+    return P.slot_references(asked, rows.where(F.col("event_type") == updates).select("stream", "n", mask.cast("long").alias("mask")), slots)
+
+
+def _slots_sql(refs: str, updates: str, slot: str, mask: str) -> str:
+    return f" select r.stream, r.n, s as slot, max(u.n) as set_at from (select *, ({slot})::int as s from pkt where event_type = '{refs}') r left join (select *, ({mask})::bigint as m from pkt where event_type = '{updates}') u on u.stream = r.stream and u.n < r.n and (u.m >> r.s) & 1 = 1 group by all"
+
+
+@query("pkt", _slots_sql("click", "purchase", "bits % 16", "1::bigint << (bits % 16)::int"))
+def multi_frame_resolution(spark, sf):
+    """The multi-frame header that each frame names: the latest of its id, null if none was sent."""
+    number = F.col("bits") % 16
+    return _slots(spark, sf, "click", "purchase", 16, number, F.call_function("shiftleft", F.lit(1), number.cast("int")))
+
+
+@query("pkt", _slots_sql("view", "signup", "bits % 15", "bits % 32768"))
+def matrix_slot_references(spark, sf):
+    """The update that set the quantizer matrix level of each frame; an update sets any of 15 levels."""
+    return _slots(spark, sf, "view", "signup", 15, F.col("bits") % 15, F.col("bits") % 32768)
+
+
+@query("pkt", _slots_sql("view", "error", "event_id % 8", "bits % 256"))
+def grain_slot_references(spark, sf):
+    """The update that set the grain model of each frame; an update sets any of eight."""
+    return _slots(spark, sf, "view", "error", 8, F.col("event_id") % 8, F.col("bits") % 256)
+
+
+@query("pkt", f"select stream, rule_id, min(n) as n, count(*) as times from ({ORDERED_SQL}) group by all")
+def findings_once(spark, sf):
+    """Findings of a stream that repeat, each rule once."""
+    return P.first_of_each(ordered_findings(spark, sf), ["stream", "rule_id"], "n")
+
+
 # ---- order of references
 
 

@@ -42,6 +42,7 @@ class Writer:
         self.values, self.lists, self.bits = dict(context or {}), {}, ""
 
     def evaluated(self, text):
+        self.values["pos"] = len(self.bits)
         plain = re.sub(r"[A-Za-z_][A-Za-z_0-9]*", lambda m: (f"({self.values[m.group()]})::bigint" if self.values[m.group()] is not None else "null::bigint") if m.group() in self.values else m.group(), duck(str(text)))
         return self.db.execute(f"select {plain}").fetchone()[0]
 
@@ -51,6 +52,8 @@ class Writer:
             v = self.fixed.get(x.name, r.getrandbits(n) if n else 0)
             return v - (1 << n) if x.kind == "su" and v >= 1 << (n - 1) else v, f(v, n)
         v = self.fixed.get(x.name, r.choice([0, 0, 1, 2, r.randrange(9)]))
+        if x.kind == "leb":
+            return v, f(v, 8)
         if x.kind == "uvlc":
             return v, uvlc(v)
         if x.kind == "ns":
@@ -74,6 +77,11 @@ class Writer:
                 starts = self.lists[x.cap[1:]]
                 total = self.evaluated(x.width)
                 self.values[x.name] = max(b - a for a, b in zip(starts, [*starts[1:], total], strict=True))
+            elif x.kind == "list":
+                cap = self.evaluated(x.cap)
+                self.lists[x.name] = [self.r.getrandbits(cap) for _ in range(n)]
+                self.bits += "".join(f(v, cap) for v in self.lists[x.name])
+                self.values[x.name] = n
             elif x.kind == "cover":
                 cap, start, starts = self.evaluated(x.cap), 0, []
                 while start < n:
@@ -199,11 +207,13 @@ def test_a_cut_payload_is_an_error_at_the_field_that_is_cut(spark):
 
 
 def test_records_of_other_types(spark):
-    for table in (H.MSDO, H.MULTI_FRAME, H.REMOVAL, H.CONTENT, H.TIMING_INFO):
-        made = [Writer(seed) for seed in range(8)]
-        df = spark.createDataFrame([(k, w.write(table)) for k, w in enumerate(made)], "k int, payload binary")
+    for table in (H.MSDO, H.MULTI_FRAME, H.REMOVAL, H.CONTENT, H.TIMING_INFO, H.FILM_GRAIN, H.METADATA_SHORT, H.TILE_GROUP, H.TILE_GROUP_STRUCTURE):
+        made = [Writer(seed, {"type_code": 4, "num_tiles": 1 + seed % 3, "tile_bits": 2}, {"zero_bit": 0}) for seed in range(8)]
+        df = spark.createDataFrame([(k, w.write(table), 4, 1 + k % 3, 2) for k, w in enumerate(made)], "k int, payload binary, type_code int, num_tiles int, tile_bits int")
         for row, w in zip(table.parsed(df).orderBy("k").collect(), made, strict=True):
-            assert row.header.asDict() == named(w, table) and row.header_bits == len(w.bits)
+            lists = {n: row.header[f"{n}_starts"] for n in table.lists}
+            assert {n: v for n, v in lists.items() if v is not None} == w.lists
+            assert {n: v for n, v in row.header.asDict().items() if not n.endswith("_starts")} == named(w, table) and row.header_bits == len(w.bits)
 
 
 def test_hand_made_headers(spark):

@@ -125,3 +125,14 @@ def test_cubic_fit_equals_numpy(spark):
         own = np.array([(x, y) for j, x, y in rows if j == k])
         assert np.allclose([got[k][f"c{i}"] for i in range(4)], np.polyfit(own[:, 0], own[:, 1], 3)[::-1], atol=1e-9)
     assert got[9].c0 is None and got[9].n == 2
+
+
+def test_slots_and_findings_that_repeat(spark):
+    r = random.Random(5)
+    updates = [(s, n, r.randrange(16)) for s in range(2) for n in r.sample(range(60), 12)]
+    refs = [(s, n, r.randrange(4), f"x{n}") for s in range(2) for n in range(60)]
+    got = P.slot_references(spark.createDataFrame(refs, "stream int, n int, slot int, note string"), spark.createDataFrame(updates, "stream int, n int, mask long"), 4)
+    want = [(s, n, k, x, max((m for t, m, mask in updates if t == s and m < n and mask >> k & 1), default=None)) for s, n, k, x in refs]
+    assert sorted((tuple(x) for x in got.collect()), key=str) == sorted(want, key=str)
+    once = P.first_of_each(spark.createDataFrame([(1, "a", 5), (1, "a", 3), (2, "a", 1)], "s int, rule string, n int"), ["s", "rule"], "n")
+    assert sorted(map(tuple, once.collect())) == [(1, "a", 3, 2), (2, "a", 1, 1)]
