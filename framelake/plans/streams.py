@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import blocks as K
+from ..operators import gop
 from ..operators import graphs as G
 from ..operators import metrics as M
 from ..operators import replay as P
@@ -65,6 +66,29 @@ def ordered_findings(spark, sf):
     return S.run_batch(pkt(spark, sf).select("stream", "n", kind.cast("int").alias("kind"), (F.col("bits") % 4).cast("int").alias("phase"), (F.col("bits") % 3).cast("int").alias("layer")), S.OrderChecks)
 
 
+@query(
+    "pkt",
+    """, c as (select stream, n from pkt where event_type = 'signup'
+), a(stream, origin) as (
+  select distinct stream, 0::bigint from pkt
+  union all select stream, nxt from (select a.stream, (select min(c.n) from c where c.stream = a.stream and c.n > a.origin and (c.n - a.origin) % 30 >= 8) as nxt from a) where nxt is not null
+), k as (select stream, n, (n - (select max(origin) from a where a.stream = p.stream and origin <= p.n)) % 30 = 0 as is_key from pkt p
+), w as (select *, max(case when is_key then n end) over (partition by stream order by n) as key, min(case when is_key then n end) over (partition by stream order by n rows between 1 following and unbounded following) as nxt, max(n) over (partition by stream) + 1 as e from k
+), b as (select *, case when is_key then n else key + 1 + (n - key - 1) // 8 * 8 end as first from w
+), l as (select *, least(8, coalesce(nxt, e) - first) as size, n - first + 1 as place from b
+), h(size, kind, low, high, layer, path) as (
+  select s, 'group', 0, s::int, 0, '' from range(1, 9) r(s)
+  union all select size, case when half = 0 then 'group' else 'between' end, case when kind = 'group' or half = 0 then low else low + (high - low) // 2 end, case when kind = 'between' and half = 0 then low + (high - low) // 2 else high end,
+    case when kind = 'group' then layer + 1 else layer end, path || half::varchar
+  from h, range(0, 2) t(half) where high - low > 1 and (kind = 'between' or half = 1)
+), o as (select size, high as place, layer, high - low = 1 as shown, row_number() over (partition by size order by path) as rank from h where kind = 'group')
+select stream, n, is_key, coalesce(o.layer, 0)::int as layer, (row_number() over (partition by stream order by first, coalesce(rank, 0)) - 1)::bigint as coding, coalesce(shown, true) as shown from l left join o on not is_key and o.size = l.size and o.place = l.place""",
+)
+def gop_plan(spark, sf):
+    """Keys at intervals and cuts, groups that end at keys and at the end, layers and coding order of midpoints."""
+    return gop.plan(pkt(spark, sf).withColumn("cut", F.col("event_type") == "signup"))
+
+
 # ---- records that are repeated, settled later, or must agree
 
 _EVENTS = ", e as (select stream, n, n // 4 as tu, case event_type when 'signup' then 'point' when 'purchase' then 'send' when 'error' then 'other' else 'refer' end as kind, event_id % 3 as key, max((event_type = 'error')::int) over (partition by stream, n // 4) = 1 as leading from pkt)"

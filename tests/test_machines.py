@@ -136,3 +136,42 @@ def test_checks_as_a_stream_and_by_hand(spark, tmp_path):
     assert sorted(map(tuple, M.run_batch(spark.createDataFrame(rows, M.OrderChecks.INPUT), M.OrderChecks).collect())) == want
     ended = [(1, len(kinds), 0, 0, 0, True), (2, 1, 0, 0, 0, True)]
     assert streamed(spark, tmp_path, M.OrderChecks, cut(rows, 4, True, 5), ended) == want
+
+
+def test_plans_of_groups(spark, tmp_path):
+    from framelake.operators import gop
+
+    def steps(low, high, layer=0):
+        """Coded frames between an anchor and the last frame of a group, by recursion."""
+        out = [(high, layer, high - low == 1)]
+        low, layer = low, layer + 1
+        while high - low > 1:
+            middle = low + (high - low) // 2
+            out += steps(low, middle, layer)
+            low = middle
+        return out
+
+    for n in range(1, 20):
+        assert [(p, layer, shown) for p, layer, _, shown in gop.hierarchy(n)] == steps(0, n)
+        assert sorted(p for p, *_ in gop.hierarchy(n)) == list(range(1, n + 1))
+    assert [p for p, *_ in gop.hierarchy(8)] == [8, 4, 2, 1, 3, 6, 5, 7] and [p for p, *_ in gop.hierarchy(3)][0] == 3
+    r = random.Random(6)
+    rows = [(s, n, r.random() < 0.1) for s in range(3) for n in range(70 + s)]
+    got = gop.plan(spark.createDataFrame(rows, "stream long, n long, cut boolean").repartition(4), interval=25, group=8)
+    for s in range(3):
+        own = sorted((x for x in got.collect() if x.stream == s), key=lambda x: x.n)
+        want, keys, last = [], [], 0
+        for n in range(70 + s):
+            if rows[[x[:2] for x in rows].index((s, n))][2] and (n - last) % 25 >= 8:
+                last = n
+            if (n - last) % 25 == 0:
+                keys.append(n)
+        for a, b in zip(keys, [*keys[1:], 70 + s], strict=True):
+            want.append((a, 0, True))
+            for first in range(a + 1, b, 8):
+                want += [(first - 1 + p, layer, shown) for p, layer, shown in steps(0, min(8, b - first))]
+        assert [x.n for x in own if x.is_key] == keys
+        assert [(x.n, x.layer, x.shown) for x in sorted(own, key=lambda x: x.coding)] == want
+    machine = gop.key_frames(25, 8)
+    batch = sorted(tuple(x) for x in M.run_batch(spark.createDataFrame(rows, machine.INPUT), machine).collect())
+    assert batch == sorted((x.stream, x.n, x.is_key) for x in got.collect())
