@@ -174,7 +174,7 @@ class Syntax:
         failed = self._cases(block, lambda f, k: f"not coalesce({self._bound(f.check, k, 'r.value')}, false)" if f.check else None, "false")
         name = self._cases(block, lambda f, k: repr(f.name), "''")
         got = f"if({active}, {_let(f'named_struct({repr("size")}, 8L * octet_length({data}), {repr("n")}, {width}, {repr("cap")}, {cap})', 't', read)}, {_found(absent, '0')})"
-        fault = f"coalesce(concat(r.fault, ':', {name}), if({active} and {failed}, concat('range:', {name}), null))"
+        fault = f"coalesce(concat(r.fault, ':', {name}), if({failed} and {active}, concat('range:', {name}), null))"
         lists = f"if(r.list is null and i not in ({', '.join(str(self.at[n]) for n in self.lists) or '-1'}), s.lists, concat(s.lists, array(r.list)))"
         new = _let(fault, "e", f"named_struct('pos', if(e is null, s.pos + r.used, s.pos), 'error', e, 'v', concat(s.v, array(if(e is null, r.value, null))), 'lists', {lists})")
         return f"if(s.error is not null, s, {_let(got, 'r', new)})"
