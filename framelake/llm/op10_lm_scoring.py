@@ -33,7 +33,7 @@ those whose crc32(doc_id as text) mod 5 is not 1.
 
 Defined results: null and empty texts are the end token alone; rows that share a doc_id are
 scored each; without training rows nothing is known and every token has probability
-1/(V+1) = 1; an empty table gives no rows; extra columns are ignored.
+1/(V+1) = 1; a very long text is scored whole, in memory that grows with it; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

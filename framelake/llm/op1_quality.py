@@ -14,7 +14,8 @@ Labels are read only from rows whose crc32(doc_id as text) mod 4 is not 2.  Labe
 source and doc_id never enter a score.  Defined results: null and empty texts have no
 features and get the score of the layer's bias alone; several labels of one doc_id count as
 their majority, a tie as 0; null labels are ignored; without labels of both classes every
-score is 0.5 and `accepted` keeps all rows, as nothing was learnt; repeated rows are scored each; extra columns are ignored.
+score is 0.5 and `accepted` keeps all rows, as nothing was learnt; a very long text is averaged like
+others, whole; texts with equal features tie in score; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations

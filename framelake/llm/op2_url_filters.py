@@ -9,7 +9,8 @@ a task.  Rules are a table of any size (or a few `Rule`s); everything is DataFra
 
 Defined results: a null URL or one without `://` has empty host and path, fits no rule and
 gets the default verdict; a URL with `://` and an empty host is judged by the patterns; rules that
-are null or repeat count once; of no rules, the default verdict is given; repeated rows are each judged; other columns are kept as they are,
+are null or repeat count once; of no rules, the default verdict is given; a very long URL is judged whole;
+repeated rows are each judged; other columns are kept as they are,
 also if they are called `host`, `path`, `rule` or `verdict` (the operator's columns replace them).
 """
 

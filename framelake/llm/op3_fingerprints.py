@@ -13,7 +13,8 @@ rows share is split by the hash; only rows equal in both id and text stay togeth
 Defined results: a null text is empty; the fingerprint of a text without words is its own
 value, equal only to that of other such texts; with fewer than three words the whole is one
 k-mer, with one k-mer it is selected alone; rows that tie in doc_id follow the hash of their
-text; a single row is its own next; extra columns are ignored.
+text; a single row is its own next; a very long text is
+fingerprinted whole, by one task at a time; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ that the end falls into, its 4,096 parts the part, and only that part is sorted.
 
 Defined results: null language or source is the empty name; a null or empty text has one
 token; rows that tie in the hash (same doc_id) are taken or left together; an empty table
-gives no rows; extra columns are kept.
+gives no rows; a very long text is one row of its tokens; extra columns are kept, but for `domain`, `tokens` and
+`epoch`, which the operator's own replace.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ are written in between).
 Defined results: a null text counts as empty; texts without words are linked to nothing; a
 text of fewer than five words is one shingle; the class id is the smallest doc_id of the
 class (null if all are null); rows that share a doc_id are told apart by their texts, and groups
-by their root, so that neither null nor equal ids merge them; an empty table gives no rows; extra columns are kept by `one_of_each_group`, ignored otherwise.
+by their root, so that neither null nor equal ids merge them; very long texts are compared whole; an empty table gives no rows; extra columns are kept by `one_of_each_group`, ignored otherwise.
 """
 
 from __future__ import annotations
