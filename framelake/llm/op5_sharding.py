@@ -10,8 +10,8 @@ shard by comparing its own hash with them: there is no join.
 
 Defined results: a null text counts as empty and shares its group; all rows of a group, also
 repeated rows, are in one shard; an empty table gives no rows; trailing shards may be empty
-when groups are fewer than shards; a very long text is a
-group whose size is a shard of its own at most; other columns are kept or dropped, never read.
+when groups are fewer than shards; a very long text is one
+group like others and may make its shard larger than the rest; other columns are kept or dropped, never read.
 """
 
 from __future__ import annotations
