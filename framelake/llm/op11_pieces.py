@@ -15,7 +15,8 @@ Decoding.  Ids become pieces, byte pieces bytes; the mark that encoding puts bef
 other marks become blanks, and what isn't UTF-8 becomes U+FFFD, one for each byte.
 
 No piece holds a space mark behind another character (this is checked), so texts fall into chunks
-that begin at space marks; each worker remembers the chunks that it has met, up to a bound.
+that begin at space marks, and texts without two marks in a row into words at each blank.  Each worker
+remembers the words that it has met, up to a bound, and of these longest those that come again.
 
 The driver reads the model file in `model_path`; executors get its pieces.  Models with other
 normalisation than none, or with user-defined pieces, are refused.
@@ -38,9 +39,11 @@ from .common import in_blocks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks, and pairs of pieces, that a worker remembers.
+#: Words in either half of a worker's memory, and pairs of pieces that it remembers.
 REMEMBERED_CHUNKS = 250_000
 REMEMBERED_PAIRS = 2_000_000
+#: Steps of the automaton that a worker remembers.
+REMEMBERED_STEPS = 1_000_000
 EMPTY = hashlib.sha256().hexdigest()
 
 
@@ -58,16 +61,69 @@ def load_model(path: str) -> tuple[list[tuple[str, float, int]], list[int], int]
     return [(model.id_to_piece(i), model.get_score(i), i) for i in normal], [at[f"<0x{b:02X}>"] for b in range(256)] if at else [], model.unk_id()
 
 
+class Remembered(dict):
+    """What `make` gives for a key.  A full memory becomes the old half, whose keys are kept if they come again before the new half is full."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key) or self.make(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class State(dict):
+    """A state of the automaton: the state after each next character, found out when a text first takes it."""
+
+    __slots__ = ("automaton", "text", "tokens")
+
+    def __init__(self, automaton: Automaton, text: str):
+        self.automaton, self.text = automaton, text
+        #: of the pieces that end here, the longest first
+        self.tokens = [automaton[text[k:]] for k in range(len(text)) if text[k:] in automaton]
+
+    def __missing__(self, character: str) -> State:
+        automaton = self.automaton
+        if automaton.steps >= REMEMBERED_STEPS:
+            for state in automaton.states.values():
+                state.clear()
+            automaton.steps = 0
+        automaton.steps += 1
+        self[character] = found = automaton.step(self.text + character)
+        return found
+
+
+class Automaton(dict):
+    """Aho-Corasick automaton over pieces, with the token of each; its states stand for the beginnings of pieces."""
+
+    def __init__(self, tokens: dict[str, tuple[int, int, dict]]):
+        super().__init__(tokens)
+        self.beginnings = {""} | {p[:k] for p in tokens for k in range(1, len(p) + 1)}
+        self.states: dict[str, State] = {}
+        self.root, self.steps = self.step(""), 0
+
+    def step(self, text: str) -> State:
+        """The state of the longest end of a text that begins a piece."""
+        while text not in self.beginnings:
+            text = text[1:]
+        if text not in self.states:
+            self.states[text] = State(self, text)
+        return self.states[text]
+
+
 class PieceCodec:
     def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], unknown_id: int):
-        import ahocorasick
-
         self.score = {p: s for p, s, _ in pieces}
         self.text = {i: p for p, _, i in pieces}
         self.byte_ids, self.unknown_id = byte_ids, unknown_id
         self.bytes_of = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)} | {unknown_id: " ⁇ ".encode()}
         self.singles = {p for p in self.score if len(p) == 1}
-        self.automaton = ahocorasick.Automaton()
+        tokens: dict[str, tuple[int, int, dict]] = {}
         #: what a piece's last merge joined; None for single characters
         self.parts: dict[str, tuple[str, str] | None] = dict.fromkeys(self.singles)
         self.late: set[str] = set()  # pieces made by a merge that had to wait for a worse one
@@ -75,19 +131,21 @@ class PieceCodec:
             steps: list[tuple[str, str]] = []
             if piece and self.merged(piece, steps) == [piece]:
                 #: length, id, and which ids are compatible on the left, as far as known
-                self.automaton.add_word(piece, (len(piece), i, {}))
+                tokens[piece] = (len(piece), i, {})
                 if steps:
                     self.parts[piece] = steps[-1]
                     if any(len(p) > 1 and (p in self.late or self.score[p] < self.score[piece]) for p in steps[-1]):
                         self.late.add(piece)
-        self.automaton.make_automaton()
+        self.automaton = Automaton(tokens)
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
             raise ValueError("a piece holds a space mark behind another character")
         joined = {c for p in self.score if len(p) > 1 for c in p}
         line = "\n" if "\n" not in joined else ""  # a newline that no longer piece holds stands alone
         self.chunk = re.compile(f"{line or '(?!)'}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+")
         self.tried, self.tables = 0, [token[2] for token in self.automaton.values()]
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.shown = {i: str(i) for i in self.bytes_of}
+        #: ids and raw bytes of chunks, and of words that stand behind a blank
+        self.known, self.words = Remembered(self.learnt), Remembered(self.learnt_word)
 
     def merged(self, text: str, steps: list[tuple[str, str]] | None = None) -> list[str]:
         """The pieces that merging makes of a short text of known characters; steps gets the pairs that were joined."""
@@ -138,22 +196,22 @@ class PieceCodec:
 
     def run_ids(self, run: str) -> list[int]:
         """Ids of a run of known characters."""
-        last: list[tuple[int, int, dict]] = []  # of the prefix that ends at each place
-        done = 0
-        for end, token in self.automaton.iter(run):  # the longest first at each end
-            if end < done:
-                continue
-            start = end - token[0]
-            if start >= 0:
-                a = last[start][1]
-                ok = token[2].get(a)
-                if not (self.found_out(a, token) if ok is None else ok):
-                    continue
-            last.append(token)
-            done += 1
+        last: list[tuple[int, int, dict]] = [(0, -1, {})]  # of the prefix that ends at each place
+        state = self.automaton.root
+        for end, character in enumerate(run, 1):
+            state = state[character]
+            for token in state.tokens:
+                start = end - token[0]
+                if start:
+                    a = last[start][1]
+                    ok = token[2].get(a)
+                    if not (self.found_out(a, token) if ok is None else ok):
+                        continue
+                last.append(token)
+                break
         ids, at = [], len(run)
         while at:
-            length, token, _ = last[at - 1]
+            length, token, _ = last[at]
             ids.append(token)
             at -= length
         ids.reverse()
@@ -213,23 +271,36 @@ class PieceCodec:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and digests of the ids and of what they decode to."""
-        chunks = self.chunks(text)
-        if not chunks:
+        if not text:
             return 0, EMPTY, EMPTY
-        known, learnt = self.known.get, self.learnt
-        sizes, ids, raw = zip(*[known(c) or learnt(c) for c in chunks], strict=True)
-        decoded = self.readable(b"".join(raw)[1:])  # the first chunk begins with the mark
-        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-
-    def learnt(self, chunk: str) -> tuple[int, str, bytes]:
-        """Number of ids, ids and raw bytes of a chunk, which is remembered if it isn't long."""
-        ids = self.chunk_ids(chunk)
-        found = (len(ids), ",".join(map(str, ids)), self.raw(ids))
-        if len(chunk) <= 64:
-            if len(self.known) >= REMEMBERED_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
+        spaced = " " + text
+        if "  " in spaced or SPACE in text:
+            ids, raw = self.joined(self.chunks(text))
+        else:  # a chunk begins at each blank
+            found = list(map(self.words.__getitem__, text.split(" ")))
+            ids, raw = ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        decoded = self.readable(raw[1:])  # the first chunk begins with the mark
+        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    def joined(self, chunks: list[str]) -> tuple[str, bytes]:
+        found = list(map(self.known.__getitem__, chunks))
+        return ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+
+    def learnt(self, chunk: str) -> tuple[str, bytes]:
+        """Ids and raw bytes of a chunk."""
+        ids, shown, bytes_of = self.chunk_ids(chunk), self.shown, self.bytes_of
+        return ",".join([shown[i] for i in ids]), b"".join([bytes_of[i] for i in ids])
+
+    def learnt_word(self, word: str) -> tuple[str, bytes]:
+        """Ids and raw bytes of a word with the mark before it; a newline may cut it into several chunks."""
+        if "\n" not in word:
+            return self.learnt(SPACE + word)
+        chunks = self.chunk.findall(SPACE + word)
+        if len(chunks) == 1:
+            return self.learnt(chunks[0])
+        first = self.words[chunks[0][1:]]
+        ids, raw = self.joined(chunks[1:])
+        return f"{first[0]},{ids}", first[1] + raw
 
 
 def _spans(raw: bytes) -> Iterator[tuple[int, int, bool]]:

@@ -79,6 +79,21 @@ def test_bounded_memories_do_not_change_results(library, monkeypatch):
     assert codec.digests(text) == expected(library, text)
 
 
+def test_words_that_come_again_are_encoded_once(library, monkeypatch):
+    from framelake.llm import op11_pieces
+
+    monkeypatch.setattr(op11_pieces, "REMEMBERED_CHUNKS", 100)
+    monkeypatch.setattr(op11_pieces, "REMEMBERED_STEPS", 50)
+    codec, runs = PieceCodec(*load_model(MODEL_PATH)), []
+    run_ids = codec.run_ids
+    monkeypatch.setattr(codec, "run_ids", lambda run: runs.append(run) or run_ids(run))
+    text = " ".join(f"frequent new{k}" for k in range(1000))
+    assert codec.digests(text) == expected(library, text)
+    assert runs.count("▁frequent") == 1
+    for text in ("of.\nWas\n\nof", "\n", "a \nb", " a", "a ", "a  b", "▁a b", "a\n▁b"):
+        assert codec.digests(text) == expected(library, text), text
+
+
 def test_models_that_this_method_can_not_serve_are_refused():
     with pytest.raises(ValueError):
         PieceCodec([("a▁b", -1.0, 5), ("a", -2.0, 6)], [], 0)
