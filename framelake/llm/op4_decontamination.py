@@ -112,6 +112,7 @@ class Index:
         self.size, self.keys, self.shingles = size, keys, shingles
         self.width = min(size, SHINGLE_WORDS)
         self.span = size - self.width + 1
+        self.held = [frozenset(s.tolist()) for s in shingles]
         self.prints = np.concatenate([packed(signed_bits(s).sum(0, dtype=np.int64)[None, :]) for s in shingles]).view(np.uint64).ravel()
         blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
         near = blocks[:, :, None] ^ _BALL  # item, block, value
@@ -217,6 +218,10 @@ class Benchmark:
             self._verify(own, i, shingles[start[r] : start[r] + n[t]], found[t], 0, int(length[t]))
 
     def _verify(self, own: Index, item: int, window: np.ndarray, best: dict, first_word: int, words: int) -> None:
+        # shared weight is at most the window's shingles that the item holds
+        shared = sum(map(own.held[item].__contains__, window.tolist()))
+        if shared < self.near * max(len(window), own.span) - 1e-9:
+            return
         s = similarity(window, own.shingles[item])
         if s >= self.near and s > best.get(own.keys[item], (0.0,))[0]:
             best[own.keys[item]] = (s, first_word, words)
