@@ -392,3 +392,11 @@ def test_pipeline_stages(spark):
 
             assert leaks(docs, read(spark, d, "benchmark")).count() == 0
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
+
+
+def test_words_of_lines(spark):
+    r = random.Random(8)
+    lines = ["", " ", "one", "one two", " one", "one ", "a  b", "\t", "a\tb", "a \x0bb\x0cc\rd", "ä\u00a0b ö\u2003", "\x1c x"]
+    lines += ["".join(r.choice("ab  \t\x0b\x0c\rä\u00a0") for _ in range(r.randrange(12))) for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", L.words_in(F.col("line")).alias("n")).collect()
+    assert [(x.line, x.n) for x in got] == [(x, len(re.findall(r"[^ \t\n\x0b\f\r]+", x))) for x in lines]
