@@ -23,9 +23,12 @@ Every draw is a function of (context, word, sweep), so the model doesn't depend
 dealt out.  The strengths (one for all contexts, one for the root) are drawn in each sweep from their
 conditional distribution over a grid.
 
-Counts travel as rows (context, word, n), added up before each shuffle; only dishes of two customers or
-more are in the sweeps, as one customer always has one table.  Scores of the HEAD_PAIRS most
-frequent pairs (a bounded table) are found where the text is; all other tokens are joined on the pair.
+Pairs (context, word, n) are dealt by hash in arrays, added up before, in TURNS scans of the texts; only dishes
+of two customers or more are in the sweeps, as one customer always has one table.  A pair that occurs once
+keeps the key of its row, and so do held-out tokens of pairs met once or never: they are scored from
+these rows, by what contexts and words tell.  Of pairs met twice or more, the HEAD_PAIRS most frequent ones (a
+bounded table) are scored where the text is, and the others by a join on the pair; a table of bits
+(of fixed size, which only saves work) keeps most other tokens out of that join.
 
 Tokens: A-Z lower-cased, words are runs of other characters than blanks (space, tab to
 carriage return), then one end token.  Words are held as 64-bit hashes.  Training rows are
@@ -38,6 +41,8 @@ scored each; without training rows nothing is known and every token has probabil
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -53,10 +58,9 @@ FOLDS, HELD_OUT_FOLD = 5, 1
 CONTEXT_CUSTOMERS = 1
 CONTEXT_BITS = 26
 #: Words and pairs known where the texts are scored.
-HEAD_WORDS, HEAD_PAIRS = 65_536, 500_000
-#: Blocks of pairs, by the first bits of their keys, that are scored one after the other.
-BLOCKS = 4
-BLOCK_SHIFT = 64 - (BLOCKS - 1).bit_length()
+HEAD_WORDS, HEAD_PAIRS = 500_000, 500_000
+#: Turns, by hash, in which pairs are counted: each is a scan of the texts and a shuffle of its share.
+TURNS = 2
 DISCOUNT = 0.5  # other discounts have no closed form
 #: Strengths that contexts (all alike) and the root may have; they are drawn in each sweep too.
 STRENGTHS = 2.0 ** np.arange(-2, 17)
@@ -79,11 +83,12 @@ def tokens(text: str | None) -> np.ndarray:
 
 def _folded(docs: DataFrame) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT_FOLD).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT_FOLD).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("key", F.xxhash64("held_out", F.coalesce("text", F.lit(""))))  # rows of one key have one score
 
 
 #: Tokens whose counts a task adds up before it sends them on.
-HELD_TOKENS = 3_000_000
+HELD_TOKENS = 1_000_000
 
 
 def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +142,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 class Contexts:
     """The restaurant of each token: a word before with a marked bit, the start, or the rare words' one."""
 
-    def __init__(self, marked: np.ndarray):
-        self.marked = marked  # a bit for each value of a word's first CONTEXT_BITS bits
+    def __init__(self, marked: np.ndarray | None = None):
+        self.marked = marked  # a bit for each value of a word's first CONTEXT_BITS bits; without it all words are marked
 
     @classmethod
     def of_counts(cls, counts: DataFrame, customers: int) -> Contexts:
@@ -153,6 +158,9 @@ class Contexts:
         """Contexts of the tokens of one text, or of several that begin at `starts`."""
         out = np.empty(len(toks), np.uint64)
         before = toks[:-1]
+        if self.marked is None:
+            out[1:], out[starts] = before, START
+            return out
         place = before >> np.uint64(64 - CONTEXT_BITS)
         own = self.marked[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1)
         out[1:] = np.where(own > 0, before, RARE)
@@ -160,9 +168,110 @@ class Contexts:
         return out
 
 
+def _distinct_pairs(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For records with n > 0 (training) or 0 (held-out): a training record of each distinct pair that has one,
+    the sum of n, and for every record its pair's sum."""
+    order = np.argsort(pair)
+    new = np.r_[True, np.diff(pair[order]) != 0]
+    group = np.cumsum(new) - 1
+    total = np.add.reduceat(n[order], np.flatnonzero(new))
+    of_group = np.full(len(total), -1)
+    counted = np.flatnonzero(n[order] > 0)
+    of_group[group[counted]] = order[counted]
+    of_record = np.empty_like(n)
+    of_record[order] = total[group]
+    return of_group[of_group >= 0], total[of_group >= 0], of_record
+
+
+def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
+    """(ctx, word, n, key) of the pairs of this turn; contexts is a broadcast of Contexts.
+
+    n > 1: a training pair, n times; 1: one that occurs once, in the row `key`; 0 and -1: a token of the
+    held-out row `key` whose pair the training rows hold never or once.  Pairs are dealt by hash, in arrays, as
+    counted in up to HELD_TOKENS tokens; held-out tokens whose pair is met twice there in training stay behind.
+    """
+    import pyarrow as pa
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    types = {"ctx": pa.int64(), "word": pa.int64(), "n": pa.int64(), "doc": pa.int32(), "keys": pa.int64()}
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, n = [], [], 0
+
+        def flush():
+            pair, ctx, word, doc, training = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            pairs, total, of_record = _distinct_pairs(pair, training)
+            asked = np.flatnonzero((training == 0) & (of_record < 2))
+            at, count = np.r_[pairs, asked], np.r_[total, np.zeros(len(asked), np.int64)]
+            part = pair[at] % np.uint64(parts)
+            order = np.argsort(part << np.uint64(48) | ctx[at] >> np.uint64(16))  # neighbours share contexts, so they compress
+            at, count, part = at[order], count[order], part[order]
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            own = np.concatenate(keys)
+            columns = {"ctx": ctx[at].view(np.int64), "word": word[at].view(np.int64), "n": count, "doc": np.where(count > 1, 0, doc[at]).astype(np.int32)}
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                mine = {k: v[bounds[p] : bounds[p + 1]] for k, v in columns.items()} | {"keys": own}
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([mine[k]], pa.list_(t)) for k, t in types.items())], names=["part", *types])
+
+        for b in in_blocks(batches):
+            texts = [tokens(t) for t in b.column("text").to_pylist()]
+            lengths = np.array([len(t) for t in texts])
+            toks = np.concatenate(texts)
+            ctx = contexts.value.of(toks, np.cumsum(lengths) - lengths)
+            pair = pair_keys(ctx, toks)
+            here = (pair >> np.uint64(32)) % np.uint64(TURNS) == turn
+            doc = np.repeat(np.arange(len(texts), dtype=np.int32) + sum(map(len, keys)), lengths)
+            training = np.repeat(1 - b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+            held.append([x[here] for x in (pair, ctx, toks, doc, training)])
+            keys.append(b.column("key").to_numpy())
+            n += len(held[-1][0])
+            if n > HELD_TOKENS:
+                yield from flush()
+                keys, n = [], 0
+        if n:
+            yield from flush()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            for i in range(b.num_rows):
+                ctx, word, n, doc, keys = (b.column(k)[i].values.to_numpy() for k in types)
+                held.append((ctx, word, n, keys[doc]))
+        if not held:
+            return
+        ctx, word, n, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        pairs, total, of_record = _distinct_pairs(pair_keys(ctx.view(np.uint64), word.view(np.uint64)), n)
+        asked = np.flatnonzero((n == 0) & (of_record < 2))
+        at, count = np.r_[pairs, asked], np.r_[total, -of_record[asked]]
+        order = np.lexsort((ctx[at], count < 2))
+        at, count = at[order], count[order]
+        for a in range(0, len(at), 100_000):
+            x, m = at[a : a + 100_000], count[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[x]), pa.array(word[x]), pa.array(m), pa.array(np.where(m > 1, 0, key[x]))], names=["ctx", "word", "n", "key"])
+
+    arrays = ", ".join(f"{k} array<{'int' if k == 'doc' else 'long'}>" for k in types)
+    sent = rows.select("held_out", "key", "text").mapInArrow(dealt, f"part int, {arrays}")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(counted, "ctx long, word long, n long, key long")
+
+
+def all_occurrences(rows: DataFrame, contexts) -> list[DataFrame]:
+    """The occurrences of each turn, as tables; the shuffle of one turn is held at a time."""
+    turns = []
+    for turn in range(TURNS):
+        turns.append(cut(occurrences(rows, contexts, turn)))
+        free_shuffles(rows.sparkSession, 1.0)
+    return turns
+
+
 def pair_counts(rows: DataFrame, contexts) -> DataFrame:
     """(ctx, word, n) over the training rows; contexts is a broadcast of Contexts."""
-    return _counted(rows, ["ctx", "word"], lambda toks: (contexts.value.of(toks), toks))
+    return training_pairs(all_occurrences(rows, contexts))
+
+
+def training_pairs(turns: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, turns).where("n > 0").select("ctx", "word", "n")
 
 
 # ---- draws that are functions of a key
@@ -304,22 +413,44 @@ class Sampler:
 
     pairs (ctx, word, n) as counted; shared: dishes of two customers or more, with their tables t and the
     sum `own` of their shares in samples; contexts (ctx, c, singles, tables, ...) and words (word, k,
-    singles, root_c, root_t, ...) with a column lam or p for each sample.
+    singles, root_c, ...) with a column lam or p for each sample.  Sweeps leave alone what they can't
+    change: contexts without a shared dish, and words with one customer in the root, whose table is certain.
     """
 
-    def __init__(self, pairs: DataFrame, vocabulary: int):
-        self.vocabulary = vocabulary
+    def __init__(self, pairs: DataFrame, vocabulary: int | None = None):
         one = F.when(F.col("n") == 1, 1).otherwise(0).cast("long")
         self.shared = cut(pairs.where("n > 1").select("ctx", "word", "n", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own")))
-        self.contexts = cut(pairs.groupBy("ctx").agg(F.sum("n").alias("c"), F.sum(one).alias("singles"), F.count("*").alias("tables")))
-        self.words = cut(pairs.groupBy("word").agg(F.sum("n").alias("k"), F.sum(one).alias("singles"), F.count("*").alias("root_c")).withColumn("root_t", F.lit(1).cast("long")))
+        self.all_contexts = cut(pairs.groupBy("ctx").agg(F.sum("n").alias("c"), F.sum(one).alias("singles"), F.count("*").alias("tables")))
+        self.all_words = cut(pairs.groupBy("word").agg(F.sum("n").alias("k"), F.sum(one).alias("singles"), F.count("*").alias("root_c")))
+        self.still_contexts, self.live_contexts = self.all_contexts.where("tables = singles"), self.all_contexts.where("tables > singles")
+        self.still_words = self.all_words.where("k = 1").select("word", "k", "singles", "root_c")
+        self.live_words = self.all_words.where("k > 1").withColumn("root_t", F.lit(1).cast("long"))
+        self.still_alike = cut(self.still_contexts.groupBy("c", "tables").agg(F.count("*").alias("m")))
+        size = self.all_words.agg(F.count("*").alias("v"), F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("k") == 1, 1)), F.lit(0)).alias("still")).first()
+        self.vocabulary, self.tokens = int(size.v) if vocabulary is None else vocabulary, int(size.n)
+        self.still = int(size.still)
         self.strength, self.root_strength = 1.0, 1.0
         self.strengths: list[float] = []  # of contexts, in each sample
+        self.still_shares: list[float] = []  # of each word with one customer, in each sample
         self._totals()
 
+    @property
+    def contexts(self) -> DataFrame:
+        lams = {f"lam{i + 1}": (s + DISCOUNT * F.col("tables")) / (s + F.col("c")) for i, s in enumerate(self.strengths)}
+        return self.live_contexts.unionByName(self.still_contexts.withColumns(lams))
+
+    @property
+    def words(self) -> DataFrame:
+        shares = {f"p{i + 1}": F.lit(p) for i, p in enumerate(self.still_shares)}
+        return self.live_words.drop("root_t").unionByName(self.still_words.withColumns(shares))
+
+    def drop(self) -> None:
+        for table in {id(t): t for t in (self.shared, self.all_contexts, self.all_words, self.live_contexts, self.live_words, self.still_alike)}.values():
+            drop_table(table)
+
     def _totals(self) -> None:
-        r = self.words.agg(F.coalesce(F.sum("root_c"), F.lit(0)).alias("c"), F.coalesce(F.sum("root_t"), F.lit(0)).alias("t")).first()
-        self.root_customers, self.root_tables = int(r.c), int(r.t)
+        r = self.live_words.agg(F.coalesce(F.sum("root_c"), F.lit(0)).alias("c"), F.coalesce(F.sum("root_t"), F.lit(0)).alias("t")).first()
+        self.root_customers, self.root_tables = int(r.c) + self.still, int(r.t) + self.still
 
     @property
     def base(self) -> float:
@@ -333,7 +464,7 @@ class Sampler:
         """Strengths from their conditional distributions over STRENGTHS; whole numbers are added up, in any order."""
         fine = 1 << 10
         schema = ", ".join(f"s{k} long" for k in range(len(STRENGTHS)))
-        alike = self.contexts.groupBy("c", "tables").agg(F.count("*").alias("m"))  # contexts of few customers are many and alike
+        alike = self.live_contexts.groupBy("c", "tables").agg(F.count("*").alias("m")).unionByName(self.still_alike)  # contexts of few customers are many and alike
         per_context = _mapped(alike, schema, lambda x: {f"s{k}": x["m"] * np.rint(log_evidence(s, x["c"], x["tables"]) * fine).astype(np.int64) for k, s in enumerate(STRENGTHS)})
         sums = per_context.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0)).alias(f"s{k}") for k in range(len(STRENGTHS))]).first()
         self.strength = drawn(np.array(sums, np.float64) / fine, Draws(np.array([number]), np.int64(6)))
@@ -345,50 +476,55 @@ class Sampler:
         base, root_tables, vocabulary = self.base, self.root_tables, self.vocabulary
         strength, root_strength = self.strength, self.root_strength
         # latent weights of the root and masses of the contexts
-        weights = cut(_mapped(self.words.select("word", "root_c", "root_t"), "word long, weight double", lambda x: x | {"weight": Draws(x["word"], np.int64(number), np.int64(1)).gamma(x["root_c"] - DISCOUNT * x["root_t"])}))
-        sum_of = weights.agg(F.coalesce(F.sum((F.col("weight") * PART).cast("long")), F.lit(0)).alias("w")).first().w / PART
+        whole = (F.col("weight") * PART).cast("long")
+        weights = cut(_mapped(self.live_words.select("word", "root_c", "root_t"), "word long, weight double", lambda x: x | {"weight": Draws(x["word"], np.int64(number), np.int64(1)).gamma(x["root_c"] - DISCOUNT * x["root_t"])}))
+        still = _mapped(self.still_words.select("word"), "w long", lambda x: {"w": np.array([(Draws(x["word"], np.int64(number), np.int64(1)).gamma(np.full(len(x["word"]), 1 - DISCOUNT)) * PART).astype(np.int64).sum()])})
+        sum_of = sum(t.agg(F.coalesce(F.sum(w), F.lit(0)).alias("w")).first().w for t, w in ((weights, whole), (still, F.col("w")))) / PART
         rest = float(Draws(np.array([number]), np.int64(2)).gamma(np.array([root_strength + DISCOUNT * root_tables]))[0])
         root = weights.select("word", ((F.col("weight") + rest / (vocabulary + 1)) / (sum_of + rest)).alias("p"))
-        masses = _mapped(self.contexts.select("ctx", "tables"), "ctx long, mass double", lambda x: x | {"mass": Draws(x["ctx"], np.int64(number), np.int64(3)).gamma(strength / DISCOUNT + x["tables"])})
-        masses = cut(masses)
+        masses = cut(_mapped(self.live_contexts.select("ctx", "c", "tables"), "ctx long, c long, mass double", lambda x: x | {"mass": Draws(x["ctx"], np.int64(number), np.int64(3)).gamma(strength / DISCOUNT + x["tables"])}))
 
         def seated(x):
             t = tables_of(x["n"], x["mass"] * x["p"], Draws(x["ctx"], x["word"], np.int64(number)))
             own = x["own"] + (x["n"] - DISCOUNT * t) / (strength + x["c"]) if keep else x["own"]
             return x | {"t": t, "own": own}
 
-        stats = masses.join(self.contexts.select("ctx", "c"), "ctx") if keep else masses.withColumn("c", F.lit(0).cast("long"))
-        dishes = _by_context(self.shared.select("ctx", "word", "n", "own"), stats, ["mass", "c"]).join(root, "word")
+        dishes = _by_context(self.shared.select("ctx", "word", "n", "own"), masses, ["mass", "c"]).join(root.hint("shuffle_hash"), "word")
         seated_ = cut(_mapped(dishes, "ctx long, word long, n long, t long, own double", seated))
         drop_table(self.shared)
         drop_table(weights)
         drop_table(masses)
         self.shared = seated_
         by_ctx = seated_.groupBy("ctx").agg(F.sum("t").alias("_t"))
-        contexts = self.contexts.drop("tables").join(by_ctx, "ctx", "left").withColumn("tables", F.col("singles") + F.coalesce("_t", F.lit(0))).drop("_t")
+        contexts = self.live_contexts.drop("tables").join(by_ctx, "ctx").withColumn("tables", F.col("singles") + F.col("_t")).drop("_t")
         by_word = seated_.groupBy("word").agg(F.sum("t").alias("_t"))
-        words = self.words.drop("root_c").join(by_word, "word", "left").withColumn("root_c", F.col("singles") + F.coalesce("_t", F.lit(0))).drop("_t")
+        words = self.live_words.drop("root_c").join(by_word, "word", "left").withColumn("root_c", F.col("singles") + F.coalesce("_t", F.lit(0))).drop("_t")
         mass = float(Draws(np.array([number]), np.int64(4)).gamma(np.array([root_strength / DISCOUNT + root_tables]))[0])
-        kept = [c for c in self.words.columns if c not in ("root_c", "root_t")]
+        kept = [c for c in self.live_words.columns if c not in ("root_c", "root_t")]
         schema = ", ".join(f"{c} {'double' if c.startswith('p') else 'long'}" for c in [*kept, "root_c", "root_t"])
         words = cut(_mapped(words, schema, lambda x: x | {"root_t": tables_of(x["root_c"], np.full(len(x["word"]), mass * base), Draws(x["word"], np.int64(number), np.int64(5)))}))
-        drop_table(self.words)
-        self.words = words
+        before = self.live_contexts, self.live_words
+        self.live_words = words
         self._totals()
         if keep:
             self.strengths.append(strength)
             contexts = contexts.withColumn(f"lam{len(self.strengths)}", (strength + DISCOUNT * F.col("tables")) / (strength + F.col("c")))
             share = (F.col("root_c") - DISCOUNT * F.col("root_t")) / (root_strength + self.root_customers) + self.unseen()
-            self.words = self.words.withColumn(f"p{len(self.strengths)}", share)
-        contexts = cut(contexts)
-        drop_table(self.contexts)
-        self.contexts = contexts
+            self.live_words = words.withColumn(f"p{len(self.strengths)}", share)
+            self.still_shares.append((1 - DISCOUNT) / (root_strength + self.root_customers) + self.unseen())
+        self.live_contexts = cut(contexts)
+        if number > 1:  # the first were parts of the tables of all
+            for table in before:
+                drop_table(table)
         free_shuffles(contexts.sparkSession)
 
 
-def free_shuffles(spark) -> None:
-    """Let Spark delete the shuffle files of plans that are gone; it does so when the driver's garbage is collected."""
-    spark._jvm.System.gc()
+def free_shuffles(spark, seconds: float = 0.0) -> None:
+    """Let Spark delete the shuffle files of plans that are gone; it does so when the driver's garbage is collected, in a thread of its own that gets these seconds."""
+    gc.collect()  # the driver's Python holds plans of the JVM
+    for _ in range(2 if seconds else 1):
+        spark._jvm.System.gc()
+        time.sleep(seconds / 2)
 
 
 def _by_context(rows: DataFrame, contexts: DataFrame, columns: list[str]) -> DataFrame:
@@ -396,7 +532,7 @@ def _by_context(rows: DataFrame, contexts: DataFrame, columns: list[str]) -> Dat
     wide = [signed(RARE), signed(START)]
     known = {r.ctx: r for r in contexts.where(F.col("ctx").isin(wide)).select("ctx", *columns).collect()}  # two rows
     own = F.when(~F.col("ctx").isin(wide), F.col("ctx"))
-    joined = rows.withColumn("_own", F.coalesce(own, F.col("word"))).join(contexts.where(~F.col("ctx").isin(wide)).select(F.col("ctx").alias("_own"), *[F.col(c).alias(f"_{c}") for c in columns]), "_own", "left")
+    joined = rows.withColumn("_own", F.coalesce(own, F.col("word"))).join(contexts.where(~F.col("ctx").isin(wide)).select(F.col("ctx").alias("_own"), *[F.col(c).alias(f"_{c}") for c in columns]).hint("shuffle_hash"), "_own", "left")
     out = [c for c in rows.columns]
     for c in columns:
         value = F.col(f"_{c}")
@@ -406,7 +542,7 @@ def _by_context(rows: DataFrame, contexts: DataFrame, columns: list[str]) -> Dat
     return joined.select(*out)
 
 
-def sample_model(pairs: DataFrame, vocabulary: int) -> tuple[Sampler, float]:
+def sample_model(pairs: DataFrame, vocabulary: int | None = None) -> tuple[Sampler, float]:
     """The sampler after all sweeps, and the averaged root probability of unknown words for each sample."""
     model, unseen = Sampler(pairs, vocabulary), []
     for number in range(1, BURN_IN + SAMPLES + 1):
@@ -421,12 +557,13 @@ def _parent_share(lams, ps):
     return sum((a * b for a, b in zip(lams, ps, strict=True)), F.lit(0.0)) / len(ps)
 
 
-def pair_scores(pairs: DataFrame, model: Sampler) -> DataFrame:
-    """(pair, n, k, p): for each training pair its count, the word's count and the averaged probability."""
+def pair_scores(pairs: DataFrame | None, model: Sampler) -> DataFrame:
+    """(pair, n, k, p): for each training pair its count, the word's count and the averaged probability; without pairs, for those met twice or more."""
     lams, ps = [f"lam{s + 1}" for s in range(SAMPLES)], [f"p{s + 1}" for s in range(SAMPLES)]
-    singles = pairs.where("n = 1").select("ctx", "word", "n", F.lit(-1.0).alias("own"))
-    rows = model.shared.select("ctx", "word", "n", (F.col("own") / SAMPLES).alias("own")).unionByName(singles)
-    rows = _by_context(rows, model.contexts, ["c", *lams]).join(model.words.select("word", "k", *ps), "word")
+    rows = model.shared.select("ctx", "word", "n", (F.col("own") / SAMPLES).alias("own"))
+    if pairs is not None:
+        rows = rows.unionByName(pairs.where("n = 1").select("ctx", "word", "n", F.lit(-1.0).alias("own")))
+    rows = _by_context(rows, model.contexts, ["c", *lams]).join(model.words.select("word", "k", *ps).hint("shuffle_hash"), "word")
     single = sum(((1 - DISCOUNT) / (s + F.col("c")) for s in model.strengths), F.lit(0.0)) / SAMPLES
     own = F.when(F.col("n") == 1, single).otherwise(F.col("own"))
     return rows.select(pair_key(F.col("ctx"), F.col("word")).alias("pair"), "n", "k", (own + _parent_share([F.col(x) for x in lams], [F.col(x) for x in ps])).alias("p"))
@@ -462,12 +599,11 @@ def _least(df: DataFrame, count: str, rows: int) -> int:
 
 
 class Head:
-    """Counts of the most frequent words and scores of the most frequent pairs of them."""
+    """Word counts and scores of the most frequent pairs."""
 
-    def __init__(self, words, pairs):
-        self.words, (self.n,) = self._sorted(words, "word", ["k"])
-        self.pairs, (p,) = self._sorted(pairs, "pair", ["p"])
-        self.log10 = np.log10(p)
+    def __init__(self, pairs):
+        self.pairs, (k, p) = self._sorted(pairs, "pair", ["k", "p"])
+        self.log10_k, self.log10_p = np.log10(k + 0.5), np.log10(p)
 
     @staticmethod
     def _sorted(table, key: str, values: list[str]):
@@ -483,106 +619,166 @@ class Head:
         return at, keys[at] == wanted
 
 
+def _marks(scored: DataFrame) -> np.ndarray:
+    """A bit for each value of the first CONTEXT_BITS bits of a pair's key: unset ones are no pair of the table."""
+    place = F.shiftrightunsigned("pair", 64 - CONTEXT_BITS)
+    bits = scored.groupBy(F.shiftright(place, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1l, int(shiftrightunsigned(pair, {64 - CONTEXT_BITS}) & 31))")).alias("bits")).toArrow()  # 2^21 rows at most
+    marked = np.zeros(1 << (CONTEXT_BITS - 5), np.uint32)
+    marked[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
+    return marked
+
+
+class Frequent:
+    """Columns of the frequent contexts and words, found by their hash."""
+
+    def __init__(self, contexts, words):
+        self.contexts, self.of_context = Head._sorted(contexts, "ctx", contexts.column_names[1:])
+        self.words, self.of_word = Head._sorted(words, "word", words.column_names[1:])
+
+
+def weak_scores(weak: DataFrame, model: Sampler, unseen: list[float], scale: float) -> DataFrame:
+    """(key, _known, _base, _own): sums over the tokens (ctx, word, n, key) whose pair was never met in training or once (n = 0; 1 or -1).
+
+    What the context and the word tell is found in place for the frequent ones, by joins for all others.
+    """
+    import pyarrow as pa
+
+    lams, ps = [f"lam{s + 1}" for s in range(SAMPLES)], [f"p{s + 1}" for s in range(SAMPLES)]
+    strengths = list(model.strengths)
+    frequent_contexts = model.contexts.where(F.col("c") >= _least(model.contexts, "c", HEAD_WORDS)).select("ctx", "c", *lams)
+    frequent_words = model.words.where(F.col("k") >= _least(model.words, "k", HEAD_WORDS)).select("word", "k", *ps)
+    shared = weak.sparkSession.sparkContext.broadcast(Frequent(frequent_contexts.toArrow(), frequent_words.toArrow()))  # HEAD_WORDS rows at most of each
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, held, n = shared.value, [], 0
+
+        def flush():
+            key, known, base, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, at = np.unique(key, return_inverse=True)
+            sums = [np.bincount(at, x, len(keys)) for x in (known, base, own)]
+            return batch(keys, None, None, None, sums[0].astype(np.int64), *sums[1:])
+
+        def batch(*columns):
+            size = len(columns[0])
+            kinds = [*[pa.int64()] * 5, pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "ctx", "word", "n", "known", "base", "own"])
+
+        for b in batches:
+            ctx, word, m, key = (b.column(k).to_numpy() for k in ("ctx", "word", "n", "key"))
+            u, has_u = Head.find(f.contexts, ctx.view(np.uint64))
+            w, has_w = Head.find(f.words, word.view(np.uint64))
+            here = has_u & has_w
+            rest = np.flatnonzero(~here)
+            if len(rest):
+                yield batch(key[rest], ctx[rest], word[rest], m[rest], None, None, None)
+            here = np.flatnonzero(here)
+            if not len(here):
+                continue
+            u, w = u[here], w[here]
+            c, k = f.of_context[0][u], f.of_word[0][w]
+            own = sum(((1 - DISCOUNT) / (s + c) for s in strengths), np.zeros(len(c))) / SAMPLES
+            p = np.where(m[here] == 0, 0.0, own) + sum((x[u] * y[w] for x, y in zip(f.of_context[1:], f.of_word[1:], strict=True)), np.zeros(len(c))) / SAMPLES
+            held.append((key[here], np.ones(len(c)), np.log10(k + 0.5) - scale, np.log10(p)))
+            n += len(c)
+            if n > HELD_TOKENS:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    found = cut(weak.mapInArrow(scored, "key long, ctx long, word long, n long, known long, base double, own double"))
+    rest = _by_context(found.where("ctx is not null").select("key", "ctx", "word", "n"), model.contexts, ["c", *lams]).join(model.words.select("word", "k", *ps).hint("shuffle_hash"), "word", "left")
+    single = sum(((1 - DISCOUNT) / (s + F.col("c")) for s in strengths), F.lit(0.0)) / SAMPLES
+    parent = _parent_share([F.coalesce(F.col(x), F.lit(1.0)) for x in lams], [F.coalesce(F.col(x), F.lit(u)) for x, u in zip(ps, unseen, strict=True)])
+    rest = rest.select("key", F.when(F.col("k") > 0, 1).otherwise(0).cast("long").alias("known"), (F.log10(F.coalesce("k", F.lit(0)) + 0.5) - F.lit(scale)).alias("base"), F.log10(F.when(F.col("n") == 0, 0.0).otherwise(single) + parent).alias("own"))
+    both = found.where("ctx is null").select("key", "known", "base", "own").unionByName(rest)
+    sums = cut(both.groupBy("key").agg(*[F.sum(c).alias(f"_{c}") for c in ("known", "base", "own")]))
+    drop_table(found)
+    free_shuffles(weak.sparkSession)
+    return sums
+
+
 def score_documents(docs: DataFrame, context_customers: int = CONTEXT_CUSTOMERS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     rows = _folded(docs)
-    counts = cut(word_counts(rows))
-    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    size, train_tokens = int(total.v), int(total.n)
-    least_word = _least(counts, "n", HEAD_WORDS)
-    contexts = spark.sparkContext.broadcast(Contexts.of_counts(counts, context_customers))  # 8 MB
-    pairs = cut(pair_counts(rows, contexts))
-    drop_table(counts)
-    model, unseen = sample_model(pairs, size)
-    lams, ps = [f"lam{s + 1}" for s in range(SAMPLES)], [f"p{s + 1}" for s in range(SAMPLES)]
-    # pairs with their probability; the frequent ones of frequent words go to the texts
-    scored = cut(pair_scores(pairs, model))
-    drop_table(pairs)
-    free_shuffles(spark)
-    head_pairs = scored.where(F.col("k") >= least_word)
-    least_pair = _least(head_pairs, "n", HEAD_PAIRS)
-    frequent = head_pairs.where(F.col("n") >= least_pair).select("pair", "p")
-    words = model.words.where(F.col("k") >= least_word).select("word", "k")
-    shared = spark.sparkContext.broadcast(Head(words.toArrow(), frequent.toArrow()))  # HEAD_WORDS and HEAD_PAIRS rows at most
+    # a word of the training rows that no customer sits at predicts as the root does, so all words may be marked
+    own_contexts = Contexts() if context_customers <= 1 else Contexts.of_counts(word_counts(rows), context_customers)
+    contexts = spark.sparkContext.broadcast(own_contexts)  # 8 MB at most
+    met = all_occurrences(rows, contexts)
+    model, unseen = sample_model(training_pairs(met))
+    size, train_tokens = model.vocabulary, model.tokens
     scale = float(np.log10(train_tokens + 0.5 * (size + 1)))
-    # pairs that the head lacks, in BLOCKS columns each by the key's first bits
-    lists = {f"{name}{q}": kind for q in range(BLOCKS) for name, kind in (("pairs", pa.int64()), ("ns", pa.int32()), ("ctxs", pa.int64()), ("words", pa.int64()))}
-    kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "own": pa.float64()} | {name: pa.list_(kind) for name, kind in lists.items()}
+    # pairs that training rows hold once, or never, are scored where they were counted
+    weak = []
+    for turn in met:
+        weak.append(weak_scores(turn.where("n < 2"), model, unseen, scale))
+        drop_table(turn)
+    # the others with their probability; the frequent ones go to the texts
+    scored = cut(pair_scores(None, model))
+    model.drop()
+    free_shuffles(spark)
+    least_pair = _least(scored, "n", HEAD_PAIRS)
+    frequent = scored.where(F.col("n") >= least_pair).select("pair", "k", "p")
+    shared = spark.sparkContext.broadcast((Head(frequent.toArrow()), _marks(scored)))  # HEAD_PAIRS rows at most, and 8 MB
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
+        head, marked = shared.value
         for b in in_blocks(batches):
-            out: dict[str, list] = {k: [] for k in kinds}
             texts = [tokens(t) for t in b.column("text").to_pylist()]
             ends = np.cumsum([len(t) for t in texts])
             starts = np.r_[0, ends[:-1]]  # each text has a token, its end
             all_toks = np.concatenate(texts)
-            all_ctx = contexts.value.of(all_toks, starts)
-            all_keys = pair_keys(all_ctx, all_toks)
+            all_keys = pair_keys(contexts.value.of(all_toks, starts), all_toks)
             at, hit = head.find(head.pairs, all_keys)
-            word_at, _ = head.find(head.words, all_toks[hit])
             base, own = np.zeros(len(all_toks)), np.zeros(len(all_toks))
-            base[hit] = np.log10(head.n[word_at] + 0.5) - scale
-            own[hit] = head.log10[at[hit]]
-            out["n_tokens"] = ends - starts
-            out["known"] = np.add.reduceat(hit.astype(np.int64), starts)
-            out["base"], out["own"] = np.add.reduceat(base, starts), np.add.reduceat(own, starts)
-            for text, held in zip(map(slice, starts, ends), b.column("held_out").to_pylist(), strict=True):
-                open_ = ~hit[text]
-                keys, ctx, toks = all_keys[text][open_], all_ctx[text][open_], all_toks[text][open_]
-                first, times = distinct(keys)
-                keys, ctx, toks, times = keys[first], ctx[first].view(np.int64), toks[first].view(np.int64), times.astype(np.int32)
-                cuts = np.searchsorted(keys, np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(BLOCK_SHIFT))  # keys are sorted
-                for q, part in enumerate(map(slice, [0, *cuts], [*cuts, len(keys)])):
-                    # training rows hold training pairs only, so they have none to look for among unseen ones
-                    new = part if held else slice(0)
-                    for name, values in (("pairs", keys[part].view(np.int64)), ("ns", times[part]), ("ctxs", ctx[new]), ("words", toks[new])):
-                        out[f"{name}{q}"].append(values)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", "held_out", *kinds])
-
-    typed = {pa.int64(): "long", pa.int32(): "int"}
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, own double, " + ", ".join(f"{name} array<{typed[kind]}>" for name, kind in lists.items())
-    drop_table(model.shared)
-    free_shuffles(spark)
+            base[hit] = head.log10_k[at[hit]] - scale
+            own[hit] = head.log10_p[at[hit]]
+            place = all_keys >> np.uint64(64 - CONTEXT_BITS)
+            open_ = ~hit & (marked[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1) > 0)
+            # distinct pairs of each text, text after text
+            keys, doc = all_keys[open_], np.repeat(np.arange(len(texts)), ends - starts)[open_]
+            order = np.argsort(keys)
+            order = order[np.argsort(doc[order].astype(np.uint16) if len(texts) <= 1 << 16 else doc[order], kind="stable")]
+            keys, doc = keys[order], doc[order]
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])][: len(keys)])
+            offsets = pa.array(np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int32))
+            out = {
+                "n_tokens": pa.array(ends - starts),
+                "known": pa.array(np.add.reduceat(hit.astype(np.int64), starts)),
+                "base": pa.array(np.add.reduceat(base, starts)),
+                "own": pa.array(np.add.reduceat(own, starts)),
+                "pairs": pa.ListArray.from_arrays(offsets, pa.array(keys[first].view(np.int64))),
+                "times": pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[first, len(keys)]).astype(np.int32))),
+            }
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("key"), *out.values()], names=["doc_id", "held_out", "key", *out])
+
+    schema = "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, own double, pairs array<long>, times array<int>"
     parts = cut(rows.mapInArrow(split, schema).withColumn("row", F.monotonically_increasing_id()))
-    known = scored.where((F.col("n") < least_pair) | (F.col("k") < least_word)).select("pair", "k", "p")
-
-    def summed(found: DataFrame) -> DataFrame:
-        sums = cut(
-            found.groupBy("row").agg(
-                F.sum(F.when(F.col("k") > 0, F.col("times")).otherwise(0)).alias("_known"),
-                F.sum(F.col("times") * (F.log10(F.col("k") + 0.5) - F.lit(scale))).alias("_base"),
-                F.sum(F.col("times") * F.log10("p")).alias("_own"),
-            )
+    x = F.explode(F.arrays_zip("pairs", "times")).alias("x")
+    # what isn't met was scored as a weak token
+    found = parts.select("row", x).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")).join(scored.where(F.col("n") < least_pair).select("pair", "k", "p"), "pair")
+    sums = cut(
+        found.groupBy("row").agg(
+            F.sum(F.col("times").cast("long")).alias("_known"),
+            F.sum(F.col("times") * (F.log10(F.col("k") + 0.5) - F.lit(scale))).alias("_base"),
+            F.sum(F.col("times") * F.log10("p")).alias("_own"),
         )
-        free_shuffles(spark)
-        return sums
-
-    def exploded(parts: DataFrame, q: int, **names: str) -> DataFrame:
-        x = F.explode(F.arrays_zip(*[F.col(f"{name}{q}").alias(alias) for name, alias in names.items()])).alias("x")
-        return parts.select("row", x).select("row", *[F.col("x")[alias].alias(alias) for alias in names.values()])
-
-    # block after block, so that the shuffles of one are held at a time
-    sums = []
-    for q in range(BLOCKS):
-        here = known.where(F.shiftrightunsigned("pair", BLOCK_SHIFT) == q)
-        met = exploded(parts, q, pairs="pair", ns="times").join(here, "pair")
-        sums.append(summed(met.select("row", "times", "k", "p")))
-        new = exploded(parts.where("held_out"), q, pairs="pair", ns="times", ctxs="ctx", words="word").join(here.select("pair"), "pair", "left_anti")
-        new = _by_context(new.select("row", "times", "ctx", "word"), model.contexts, lams).join(model.words.select("word", "k", *ps), "word", "left")
-        p = _parent_share([F.coalesce(F.col(x), F.lit(1.0)) for x in lams], [F.coalesce(F.col(x), F.lit(u)) for x, u in zip(ps, unseen, strict=True)])
-        sums.append(summed(new.select("row", "times", F.coalesce("k", F.lit(0).cast("long")).alias("k"), p.alias("p"))))
-    sums = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("_known", "_base", "_own")])
-    zero = F.lit(0)
-    return parts.drop(*lists).join(sums, "row", "left").select(
+    )
+    free_shuffles(spark)
+    # weak tokens of equal held-out texts were added up: each has its share
+    copies = parts.groupBy("key").agg(F.count("*").alias("copies"))
+    weak = reduce(DataFrame.unionByName, weak).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("_known", "_base", "_own")]).join(copies, "key")
+    weak = weak.select("key", (F.col("_known") / F.col("copies")).cast("long").alias("_weak_known"), *[(F.col(f"_{c}") / F.col("copies")).alias(f"_weak_{c}") for c in ("base", "own")])
+    zero = F.lit(0.0)
+    return parts.drop("pairs", "times").join(sums, "row", "left").join(weak, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("_known", zero)).alias("n_known"),
+        (F.col("known") + F.coalesce("_known", F.lit(0)) + F.coalesce("_weak_known", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", zero.cast("double"))).alias("base_score"),
-        (F.col("own") + F.coalesce("_own", zero.cast("double"))).alias("score"),
+        (F.col("base") + F.coalesce("_base", zero) + F.coalesce("_weak_base", zero)).alias("base_score"),
+        (F.col("own") + F.coalesce("_own", zero) + F.coalesce("_weak_own", zero)).alias("score"),
     )

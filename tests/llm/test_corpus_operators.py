@@ -16,7 +16,7 @@ from framelake.llm import op8_line_dedup as L
 from framelake.llm import op10_lm_scoring as H
 from framelake.llm.common import numbered, read
 
-from .conftest import odd_documents, words
+from .conftest import WORDS, odd_documents, words
 
 
 def test_numbered_is_gapless(spark):
@@ -243,6 +243,40 @@ def test_lm_gains_from_the_whole_tree_at_the_registered_setting(spark):
     assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.5
 
 
+def test_lm_joins_only_pairs_met_twice(spark, odd, monkeypatch):
+    joined, pair_scores = [], H.pair_scores
+    monkeypatch.setattr(H, "pair_scores", lambda *a: joined.append(pair_scores(*a)) or joined[-1])
+    monkeypatch.setattr(H, "drop_table", lambda table: None)
+    assert H.score_documents(odd).count() == odd.count()
+    assert joined[0].agg(F.min("n")).first()[0] > 1  # most pairs occur once: they are scored where they were counted
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 5])
+def test_lm_occurrences(spark, monkeypatch, tokens):
+    monkeypatch.setattr(H, "HELD_TOKENS", tokens)
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choices(WORDS, k=r.randrange(12)))) for i in range(60)] + [(500 + i, "alpha1 beta2 alpha1 beta2 new") for i in range(12)]
+    rows = H._folded(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).cache()
+    got = Counter()
+    for turn in H.all_occurrences(rows, spark.sparkContext.broadcast(H.Contexts())):
+        got.update((x.ctx, x.word, x.n, x.key) for x in turn.collect())
+    tokens_of = [(x.held_out, x.key, [int(t) for t in H.tokens(x.text).view(np.int64)]) for x in rows.collect()]
+    pairs = [(h, k, p) for h, k, t in tokens_of for p in zip([H.signed(H.START), *t[:-1]], t, strict=True)]
+    n = Counter(p for h, _, p in pairs if not h)
+    want = Counter({(*p, m, 0 if m > 1 else next(k for h, k, q in pairs if q == p and not h)): 1 for p, m in n.items()})
+    want.update((*p, -n[p], k) for h, k, p in pairs if h and n[p] < 2)
+    assert got == want and {x[2] for x in want} >= {-1, 0, 1, 2}
+
+
+def test_lm_of_copies_on_both_sides(spark):
+    texts = ["a b c d e f g", "only once here", "a b once more", "", None]
+    docs = [(i, texts[i % 5]) for i in range(7)] + [(i, texts[k]) for k in range(5) for i in range(10 + 40 * k, 50 + 40 * k) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = H.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(contract(docs))
+    text_of = {i: t or "" for i, t in docs}
+    assert len({(text_of[r.doc_id], round(r.score, 9)) for r in got}) == len({t or "" for t in texts})
+
+
 def test_pair_keys_are_those_of_spark(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     df = spark.createDataFrame([(a, b) for a in values for b in values], "ctx long, word long")
