@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming search.
 
 Texts are lower-cased words.  For each size that benchmark items have, every window of so many
-words of every document gets a 64-bit SimHash of its weighted shingles: running sums of signed
-bits over a batch of documents give a window's sums as one difference.  Fingerprints are split
+words of every document gets a 64-bit SimHash of its weighted shingles: running counts of set
+bits over a batch of documents give a window's counts as one difference, taken for all 64 bits
+at once on planes that hold a binary digit of every count.  Fingerprints are split
 into 4 blocks of 16 bits: two within RADIUS (15) bits differ by at most 3 bits in some
 block.  Items are filed under all block values within 3 bits of their own, so looking up a
 window's four block values returns every item of its size within the radius, and about 4 % of
@@ -45,7 +46,7 @@ ITEMS_AT_ONCE = 5_000
 CHARS_AT_ONCE = 20_000_000
 #: A size of at most so many items is looked through once a window's block values have hit.
 LOOK_THROUGH = 64
-#: Windows whose fingerprints are made at once; their sums stay in a core's cache.
+#: Windows whose fingerprints are made at once; their counts stay in a core's cache.
 WINDOWS_AT_ONCE = 16_384
 #: Odd factor of the word hash, and its inverse modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C15
@@ -74,11 +75,13 @@ def words_of(text: str | None) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint64)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.r_[False, _in_words()[codes], False]
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = _in_words()[codes]
     change = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = change[::2], change[1::2]
     bits = max(12, int(len(codes)).bit_length())
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum(_mixed_codes()[codes] * _powers(FACTOR, bits)[: len(codes)])]
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_mixed_codes()[codes] * _powers(FACTOR, bits)[: len(codes)], out=total[1:])
     return mix((total[stop] - total[start]) * _powers(UNFACTOR, bits)[start])
 
 
@@ -92,6 +95,48 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+def running_counts(hashes: np.ndarray, out: np.ndarray) -> None:
+    """out[1:] counts how often each bit is set up to each hash, from out[0] on; out wraps around."""
+    n, rows = len(hashes), 128
+    counts = np.zeros((-(-n // rows), rows, BITS), out.dtype)
+    counts.reshape(-1, BITS)[:n] = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    for i in range(1, rows):  # all groups of rows at once, as sums down a column are slow
+        counts[:, i] += counts[:, i - 1]
+    counts[1:] += np.cumsum(counts[:-1, -1], axis=0, dtype=out.dtype)[:, None]
+    np.add(counts.reshape(-1, BITS)[:n], out[0], out=out[1:])
+
+
+def majorities(planes: np.ndarray, span: int, spare: np.ndarray) -> np.ndarray:
+    """SimHashes of all runs of `span` hashes: the bits that are set in more than half of each.
+
+    planes[j] has binary digit j of the running counts.  The difference of a window's ends is made digit
+    after digit with its borrow, and so is that of the result and the least majority, whose last borrow tells.
+    """
+    n = planes.shape[1] - span
+    differs, digit, borrow, enough = spare[:, :n]
+    least, digits = span // 2 + 1, span.bit_length()
+    lowest = (least & -least).bit_length() - 1  # below it no difference falls short
+    for j in range(digits):
+        last, first = planes[j, span:], planes[j, :n]
+        np.bitwise_xor(last, first, out=differs)
+        if j >= lowest:
+            into = enough if j == lowest else digit
+            if j:
+                np.bitwise_xor(differs, borrow, out=into)
+            else:
+                np.copyto(into, differs)
+            if j > lowest:
+                (np.bitwise_and if least >> j & 1 else np.bitwise_or)(enough, digit, out=enough)
+        if j == 0:
+            np.bitwise_and(first, differs, out=borrow)
+        elif j < digits - 1:
+            # where the digits differ the first one's is borrowed, else the borrow stays
+            np.bitwise_xor(borrow, first, out=digit)
+            np.bitwise_and(digit, differs, out=digit)
+            np.bitwise_xor(borrow, digit, out=borrow)
+    return enough
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two lists of shingle hashes; weights are counts."""
     keys, at = np.unique(np.r_[a, b], return_inverse=True)
@@ -129,10 +174,10 @@ class Index:
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) for all fingerprints (four block values each) and items within RADIUS."""
         filed = np.take(self.occupied, prints, mode="clip").view(np.uint32) & _BLOCK_BIT
-        rows = np.flatnonzero(filed)
+        rows = np.flatnonzero(filed != 0)
         mine = prints.view(np.uint64)[rows]
         if len(self.keys) <= LOOK_THROUGH:
-            at, item = np.nonzero(np.bitwise_count(mine[:, None] ^ self.prints) <= RADIUS)
+            at, item = np.divmod(np.flatnonzero(np.bitwise_count(mine[:, None] ^ self.prints) <= RADIUS), len(self.keys))
             return rows[at], item
         found = []
         for b in range(BLOCKS):
@@ -161,8 +206,9 @@ class Benchmark:
                 by_size.setdefault(len(w), []).append(((item_id is None, row if item_id is None else item_id), shingle_hashes(w)))
         self.sizes = [Index(n, [k for k, _ in own], [s for _, s in own]) for n, own in sorted(by_size.items())]
         longest = max((i.span for i in self.sizes), default=1)
-        # sums may wrap around: differences of a window's sums are right as long as they fit
-        self.sums = np.int8 if longest < 128 else np.int16 if longest < 1 << 15 else np.int64
+        self.digits = longest.bit_length()
+        # counts may wrap around: differences of a window's counts are right as long as they fit
+        self.counts = np.uint8 if self.digits <= 8 else np.uint16 if self.digits <= 16 else np.uint64
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int | None, float, int, int]]]:
         """For each text, (item_id, similarity, first word, words) of the best window for each item that it holds."""
@@ -176,28 +222,28 @@ class Benchmark:
             if len(every) < width:
                 continue
             shingles = shingle_hashes(every, width)
-            sums = np.zeros((len(shingles) + 1, BITS), self.sums)
+            counts = np.zeros((len(shingles) + 1, BITS), self.counts)
+            planes = np.zeros((self.digits, len(shingles) + 1), np.uint64)
             for a in range(0, len(shingles), WINDOWS_AT_ONCE):
-                part = sums[a : a + WINDOWS_AT_ONCE + 1]
-                np.cumsum(signed_bits(shingles[a : a + WINDOWS_AT_ONCE]), axis=0, dtype=self.sums, out=part[1:])
-                part[1:] += sums[a]
+                part = counts[a : a + WINDOWS_AT_ONCE + 1]
+                running_counts(shingles[a : a + WINDOWS_AT_ONCE], part)
+                for j in range(self.digits):
+                    planes[j, a : a + len(part)] = np.packbits(part & self.counts(1 << j), axis=1).view(np.uint64).ravel()
             sizes = [i for i in self.sizes if i.width == width]
-            self._windows(sizes, sums, shingles, room, end, found)
+            self._windows(sizes, planes, shingles, room, end, found)
             for own in sizes:
-                self._short_texts(own, sums, shingles, length, end, found)
+                self._short_texts(own, counts, shingles, length, end, found)
         return [[(None if nameless else i, *best[nameless, i]) for nameless, i in sorted(best)] for best in found]
 
-    def _windows(self, sizes: list[Index], sums, shingles, room, end, found) -> None:
-        difference, positive = np.empty((WINDOWS_AT_ONCE, BITS), self.sums), np.empty((WINDOWS_AT_ONCE, BITS), bool)
-        # all sizes for a stretch of starts, as its sums are in the core's cache then
+    def _windows(self, sizes: list[Index], planes, shingles, room, end, found) -> None:
+        spare = np.empty((4, WINDOWS_AT_ONCE), np.uint64)
+        # all sizes for a stretch of starts, as its planes are in the core's cache then
         for a in range(0, len(shingles), WINDOWS_AT_ONCE):
             for own in sizes:
                 n = min(WINDOWS_AT_ONCE, len(shingles) - own.span + 1 - a)
                 if n <= 0:
                     continue
-                np.subtract(sums[a + own.span : a + own.span + n], sums[a : a + n], out=difference[:n])
-                np.greater(difference[:n], 0, out=positive[:n])
-                row, item = own.within(np.packbits(positive[:n]).view(np.uint16))
+                row, item = own.within(majorities(planes[:, a : a + own.span + n], own.span, spare).view(np.uint16))
                 if not len(row):
                     continue
                 inside = room[a + row] >= own.size  # a window over the end of a text is none
@@ -205,14 +251,14 @@ class Benchmark:
                     text = int(np.searchsorted(end, start, "right"))
                     self._verify(own, i, shingles[start : start + own.span], found[text], start - (int(end[text - 1]) if text else 0), own.size)
 
-    def _short_texts(self, own: Index, sums, shingles, length, end, found) -> None:
+    def _short_texts(self, own: Index, counts, shingles, length, end, found) -> None:
         # shared weight is at most the text's, and the larger weights sum to the item's at least
         n = length - own.width + 1
         texts = np.flatnonzero((length < own.size) & (n > 0) & (n >= self.near * own.span - 1e-9))
         if not len(texts):
             return
         start = end[texts] - length[texts]
-        row, item = own.within(np.packbits(sums[start + n[texts]] - sums[start] > 0).view(np.uint16))
+        row, item = own.within(np.packbits(counts[start + n[texts]] - counts[start] > (n[texts] // 2)[:, None]).view(np.uint16))
         for r, i in zip(row.tolist(), item.tolist(), strict=True):
             t = texts[r]
             self._verify(own, i, shingles[start[r] : start[r] + n[t]], found[t], 0, int(length[t]))
