@@ -635,19 +635,23 @@ class Frequent:
         self.contexts, self.of_context = Head._sorted(contexts, "ctx", contexts.column_names[1:])
         self.words, self.of_word = Head._sorted(words, "word", words.column_names[1:])
 
+    @classmethod
+    def of(cls, model: Sampler) -> Frequent:
+        lams, ps = [f"lam{s + 1}" for s in range(SAMPLES)], [f"p{s + 1}" for s in range(SAMPLES)]
+        contexts = model.contexts.where(F.col("c") >= _least(model.contexts, "c", HEAD_WORDS)).select("ctx", "c", *lams)
+        words = model.words.where(F.col("k") >= _least(model.words, "k", HEAD_WORDS)).select("word", "k", *ps)
+        return cls(contexts.toArrow(), words.toArrow())  # HEAD_WORDS rows at most of each
+
 
-def weak_scores(weak: DataFrame, model: Sampler, unseen: list[float], scale: float) -> DataFrame:
+def weak_scores(weak: DataFrame, model: Sampler, shared, unseen: list[float], scale: float) -> DataFrame:
     """(key, _known, _base, _own): sums over the tokens (ctx, word, n, key) whose pair was never met in training or once (n = 0; 1 or -1).
 
-    What the context and the word tell is found in place for the frequent ones, by joins for all others.
+    What the context and the word tell is found in place for the frequent ones, in a broadcast of Frequent, and by joins for all others.
     """
     import pyarrow as pa
 
     lams, ps = [f"lam{s + 1}" for s in range(SAMPLES)], [f"p{s + 1}" for s in range(SAMPLES)]
     strengths = list(model.strengths)
-    frequent_contexts = model.contexts.where(F.col("c") >= _least(model.contexts, "c", HEAD_WORDS)).select("ctx", "c", *lams)
-    frequent_words = model.words.where(F.col("k") >= _least(model.words, "k", HEAD_WORDS)).select("word", "k", *ps)
-    shared = weak.sparkSession.sparkContext.broadcast(Frequent(frequent_contexts.toArrow(), frequent_words.toArrow()))  # HEAD_WORDS rows at most of each
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, held, n = shared.value, [], 0
@@ -712,10 +716,12 @@ def score_documents(docs: DataFrame, context_customers: int = CONTEXT_CUSTOMERS)
     size, train_tokens = model.vocabulary, model.tokens
     scale = float(np.log10(train_tokens + 0.5 * (size + 1)))
     # pairs that training rows hold once, or never, are scored where they were counted
+    known = spark.sparkContext.broadcast(Frequent.of(model))
     weak = []
     for turn in met:
-        weak.append(weak_scores(turn.where("n < 2"), model, unseen, scale))
+        weak.append(weak_scores(turn.where("n < 2"), model, known, unseen, scale))
         drop_table(turn)
+    known.destroy()  # each executor holds a file of it
     # the others with their probability; the frequent ones go to the texts
     scored = cut(pair_scores(None, model))
     model.drop()
