@@ -23,7 +23,7 @@ Every draw is a function of (context, word, sweep), so the model doesn't depend
 dealt out.  The strengths (one for all contexts, one for the root) are drawn in each sweep from their
 conditional distribution over a grid.
 
-Pairs (context, word, n) are dealt by hash in arrays, added up before, in TURNS scans of the texts; only dishes
+Pairs (context, word, n) are dealt by context and hash in arrays, added up before, in TURNS scans of the texts; only dishes
 of two customers or more are in the sweeps, as one customer always has one table.  A pair that occurs once
 keeps the key of its row, and so do held-out tokens of pairs met once or never: they are scored from
 these rows, by what contexts and words tell.  Of pairs met twice or more, the HEAD_PAIRS most frequent ones (a
@@ -183,11 +183,21 @@ def _distinct_pairs(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nda
     return of_group[of_group >= 0], total[of_group >= 0], of_record
 
 
+def part_of(ctx: np.ndarray, pair: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each pair: a context's pairs go to an eighth of the partitions at most.
+
+    So rows of a context lie together and compress; the most frequent one, with a share f of all
+    pairs, makes a partition larger by 8 f of the usual size at most, however many there are.
+    """
+    spread = np.uint64(max(1, parts // 8))
+    return mix(ctx + (pair >> np.uint64(40)) % spread) % np.uint64(parts)
+
+
 def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
     """(ctx, word, n, key) of the pairs of this turn; contexts is a broadcast of Contexts.
 
     n > 1: a training pair, n times; 1: one that occurs once, in the row `key`; 0 and -1: a token of the
-    held-out row `key` whose pair the training rows hold never or once.  Pairs are dealt by hash, in arrays, as
+    held-out row `key` whose pair the training rows hold never or once.  Pairs are dealt by context and hash, in arrays, as
     counted in up to HELD_TOKENS tokens; held-out tokens whose pair is met twice there in training stay behind.
     """
     import pyarrow as pa
@@ -204,7 +214,7 @@ def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
             pairs, total, of_record = _distinct_pairs(pair, training)
             asked = np.flatnonzero((training == 0) & (of_record < 2))
             at, count = np.r_[pairs, asked], np.r_[total, np.zeros(len(asked), np.int64)]
-            part = pair[at] % np.uint64(parts)
+            part = part_of(ctx[at], pair[at], parts)
             order = np.argsort(part << np.uint64(48) | ctx[at] >> np.uint64(16))  # neighbours share contexts, so they compress
             at, count, part = at[order], count[order], part[order]
             bounds = np.searchsorted(part, np.arange(parts + 1))
@@ -421,7 +431,9 @@ class Sampler:
         one = F.when(F.col("n") == 1, 1).otherwise(0).cast("long")
         self.shared = cut(pairs.where("n > 1").select("ctx", "word", "n", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own")))
         self.all_contexts = cut(pairs.groupBy("ctx").agg(F.sum("n").alias("c"), F.sum(one).alias("singles"), F.count("*").alias("tables")))
+        free_shuffles(pairs.sparkSession, 1.0)
         self.all_words = cut(pairs.groupBy("word").agg(F.sum("n").alias("k"), F.sum(one).alias("singles"), F.count("*").alias("root_c")))
+        free_shuffles(pairs.sparkSession, 1.0)
         self.still_contexts, self.live_contexts = self.all_contexts.where("tables = singles"), self.all_contexts.where("tables > singles")
         self.still_words = self.all_words.where("k = 1").select("word", "k", "singles", "root_c")
         self.live_words = self.all_words.where("k > 1").withColumn("root_t", F.lit(1).cast("long"))
