@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -45,6 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, column: str, values: Iterable[int]) -> dict[int, DataFrame]:
+    """The rows of df with each of these values of a column, without it, each as a table of its own like cut()'s."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = {}
+    for v in values:
+        own = f"{path}/{column}={v}"
+        out[v] = spark.read.schema(schema).parquet(own) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(own)) else spark.createDataFrame([], schema)
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote and that no later plan reads."""
     spark = df.sparkSession
@@ -54,6 +68,18 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of each query are deleted as soon as the query has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

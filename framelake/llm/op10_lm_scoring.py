@@ -27,8 +27,8 @@ Pairs (context, word, n) are dealt by context and hash in arrays, added up befor
 of two customers or more are in the sweeps, as one customer always has one table.  A pair that occurs once
 keeps the key of its row, and so do held-out tokens of pairs met once or never: they are scored from
 these rows, by what contexts and words tell.  Of pairs met twice or more, the HEAD_PAIRS most frequent ones (a
-bounded table) are scored where the text is, and the others by a join on the pair; a table of bits
-(of fixed size, which only saves work) keeps most other tokens out of that join.
+bounded table) are scored where the text is, and the others where both texts and scores are dealt by the pair, in
+arrays; a table of bits (of fixed size, which only saves work) keeps most other tokens out of that.
 
 Tokens: A-Z lower-cased, words are runs of other characters than blanks (space, tab to
 carriage return), then one end token.  Words are held as 64-bit hashes.  Training rows are
@@ -41,8 +41,6 @@ scored each; without training rows nothing is known and every token has probabil
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -51,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, in_blocks, mix, word_hashes
+from .common import cut, cut_by, drop_table, in_blocks, mix, shuffles_freed
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 #: Training tokens behind a word from which it has a restaurant of its own: every word of the training rows has.
@@ -75,10 +73,74 @@ def signed(x: np.uint64) -> int:
     return int(x.astype(np.int64))
 
 
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 64
+_OF_LENGTH = mix(np.arange(1, LONG_WORD + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _tokens_of_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, one after another, each with its end, and how many each text has.
+
+    Text i is data[offsets[i] : offsets[i + 1]], in UTF-8.  Words are hashed eight bytes at a time, all words at once.
+    """
+    solid = (data - np.uint8(9) > 4) & (data != 32)  # neither tab to carriage return nor a space
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    filled = offsets[1:] > offsets[:-1]
+    at = offsets[:-1][filled]
+    first[at] = solid[at]
+    at = offsets[1:][filled] - 1
+    last[at] = solid[at]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data | (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)  # A-Z lower-cased
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    h = _OF_LENGTH[np.minimum(length, LONG_WORD + 1)]
+    some, left = np.flatnonzero(length <= LONG_WORD), None
+    place, left = start[some], length[some]
+    own = h[some]
+    h_of = some
+    while len(place):
+        own = mix(own ^ (eight[place] & _FIRST_BYTES[np.minimum(left, 8)]))
+        h[h_of] = own
+        more = np.flatnonzero(left > 8)
+        place, left, own, h_of = place[more] + 8, left[more] - 8, own[more], h_of[more]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(padded[start[i] : end[i]].tobytes())
+    upto = np.searchsorted(start, offsets[1:])
+    words = np.diff(np.r_[0, upto])
+    out = np.empty(len(h) + len(words), np.uint64)
+    ends = upto + np.arange(len(words))
+    is_word = np.ones(len(out), bool)
+    is_word[ends] = False
+    out[is_word], out[ends] = h, END
+    return out, words + 1
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's tokens, the end included."""
-    # bytes.lower changes A-Z only, and bytes.split knows the six ASCII blanks only
-    return word_hashes([*(text or "").encode("utf-8", "surrogatepass").lower().split(), b"\n"])
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return _tokens_of_bytes(data, np.array([0, len(data)]))[0]
+
+
+def block_tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of an Arrow array of texts, one after another, and how many each text has."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return _tokens_of_bytes(data, offsets - offsets[0])
+
+
+#: Bytes of text whose tokens are made at a time, so that they stay in the processor's cache.
+BLOCK_BYTES = 500_000
 
 
 def _folded(docs: DataFrame) -> DataFrame:
@@ -193,17 +255,60 @@ def part_of(ctx: np.ndarray, pair: np.ndarray, parts: int) -> np.ndarray:
     return mix(ctx + (pair >> np.uint64(40)) % spread) % np.uint64(parts)
 
 
-def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
-    """(ctx, word, n, key) of the pairs of this turn; contexts is a broadcast of Contexts.
+#: What a row of packed_occurrences holds arrays of, with the types of its columns.
+MET_TWICE, MET_ONCE, BY_CONTEXT, BY_WORD = range(4)
+PACKED = {
+    MET_TWICE: {"ctx": np.int64, "word": np.int64, "n": np.int64},
+    MET_ONCE: {"ctx": np.int64, "word": np.int64, "n": np.int8, "key": np.int64},
+    BY_CONTEXT: {"ctx": np.int64, "c": np.int64, "singles": np.int64, "tables": np.int64},
+    BY_WORD: {"word": np.int64, "k": np.int64, "singles": np.int64, "root_c": np.int64},
+}
+PACKED_SCHEMA = "kind int, a binary, b binary, c binary, d binary"
+#: Entries of a packed row.
+PACKED_ROWS = 25_000
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
+
+
+def _array(batch, column: str, i: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
+
+
+def _slices(part: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(p, a, b): where the rows of each partition are in a sorted array of partitions."""
+    bounds = np.searchsorted(part, np.arange(parts + 1, dtype=part.dtype))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        yield p, int(bounds[p]), int(bounds[p + 1])
+
+
+def _small(places: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
+    """Of values, those that places point to, and places among these, in 16 bits if they fit."""
+    used = np.zeros(len(values), bool)
+    used[places] = True
+    own = (np.cumsum(used) - 1)[places]
+    few = values[used]
+    return _bytes(own.astype(np.uint16 if len(few) <= 1 << 16 else np.int32)), _bytes(few)
+
+
+def _large(places, values, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    values = np.frombuffer(values, kind)
+    return np.frombuffer(places, np.uint16 if len(values) <= 1 << 16 else np.int32), values
+
+
+def packed_occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
+    """The pairs of this turn in arrays, as PACKED tells; contexts is a broadcast of Contexts.
 
-    n > 1: a training pair, n times; 1: one that occurs once, in the row `key`; 0 and -1: a token of the
-    held-out row `key` whose pair the training rows hold never or once.  Pairs are dealt by context and hash, in arrays, as
+    MET_TWICE: training pairs, n times.  MET_ONCE: n = 1 for one that occurs once, in the row `key`; 0 and -1 for a token of the
+    held-out row `key` whose pair the training rows hold never or once.  BY_CONTEXT and BY_WORD: sums over training
+    pairs of the partition.  Pairs are dealt by context and hash, in arrays, as
     counted in up to HELD_TOKENS tokens; held-out tokens whose pair is met twice there in training stay behind.
     """
     import pyarrow as pa
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    types = {"ctx": pa.int64(), "word": pa.int64(), "n": pa.int64(), "doc": pa.int32(), "keys": pa.int64()}
+    sent_names = ["part", "ctx", "word", "n", "doc", "keys"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, n = [], [], 0
@@ -216,26 +321,23 @@ def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
             at, count = np.r_[pairs, asked], np.r_[total, np.zeros(len(asked), np.int64)]
             part = part_of(ctx[at], pair[at], parts)
             order = np.argsort(part << np.uint64(48) | ctx[at] >> np.uint64(16))  # neighbours share contexts, so they compress
-            at, count, part = at[order], count[order], part[order]
-            bounds = np.searchsorted(part, np.arange(parts + 1))
-            own = np.concatenate(keys)
-            columns = {"ctx": ctx[at].view(np.int64), "word": word[at].view(np.int64), "n": count, "doc": np.where(count > 1, 0, doc[at]).astype(np.int32)}
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                mine = {k: v[bounds[p] : bounds[p + 1]] for k, v in columns.items()} | {"keys": own}
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([mine[k]], pa.list_(t)) for k, t in types.items())], names=["part", *types])
-
-        for b in in_blocks(batches):
-            texts = [tokens(t) for t in b.column("text").to_pylist()]
-            lengths = np.array([len(t) for t in texts])
-            toks = np.concatenate(texts)
+            at, count, part = at[order], count[order].astype(np.int32), part[order]
+            ctx, word, doc, own = ctx[at], word[at], doc[at], np.concatenate(keys)
+            for p, a, b in _slices(part, parts):
+                once = count[a:b] < 2
+                at_keys, few = _small(doc[a:b][once], own)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in (_bytes(ctx[a:b]), _bytes(word[a:b]), _bytes(count[a:b]), at_keys, few))], names=sent_names)
+
+        for b in in_blocks(batches, BLOCK_BYTES):
+            toks, lengths = block_tokens(b.column("text"))
             ctx = contexts.value.of(toks, np.cumsum(lengths) - lengths)
             pair = pair_keys(ctx, toks)
-            here = (pair >> np.uint64(32)) % np.uint64(TURNS) == turn
-            doc = np.repeat(np.arange(len(texts), dtype=np.int32) + sum(map(len, keys)), lengths)
+            here = np.flatnonzero((pair >> np.uint64(32)) % np.uint64(TURNS) == turn)
+            doc = np.repeat(np.arange(len(lengths), dtype=np.int32) + sum(map(len, keys)), lengths)
             training = np.repeat(1 - b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
             held.append([x[here] for x in (pair, ctx, toks, doc, training)])
             keys.append(b.column("key").to_numpy())
-            n += len(held[-1][0])
+            n += len(here)
             if n > HELD_TOKENS:
                 yield from flush()
                 keys, n = [], 0
@@ -246,42 +348,88 @@ def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
         held = []
         for b in batches:
             for i in range(b.num_rows):
-                ctx, word, n, doc, keys = (b.column(k)[i].values.to_numpy() for k in types)
-                held.append((ctx, word, n, keys[doc]))
+                n = _array(b, "n", i, np.int32)
+                doc, keys = _large(b.column("doc")[i].as_buffer(), b.column("keys")[i].as_buffer())
+                key = np.zeros(len(n), np.int64)
+                key[n < 2] = keys[doc]
+                held.append((_array(b, "ctx", i, np.uint64), _array(b, "word", i, np.uint64), n, key))
         if not held:
             return
         ctx, word, n, key = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        pairs, total, of_record = _distinct_pairs(pair_keys(ctx.view(np.uint64), word.view(np.uint64)), n)
+        n = n.astype(np.int64)
+        pairs, total, of_record = _distinct_pairs(pair_keys(ctx, word), n)
+
+        def packed(kind: int, **columns):
+            size = len(columns[next(iter(columns))])
+            for a in range(0, size, PACKED_ROWS):
+                blobs = [_bytes(columns[c][a : a + PACKED_ROWS].astype(t, copy=False)) for c, t in PACKED[kind].items()]
+                blobs += [None] * (4 - len(blobs))
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["kind", "a", "b", "c", "d"])
+
+        def sums(of: np.ndarray):
+            order = np.argsort(of)
+            own = of[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+            return own[first], np.add.reduceat(total[order], first), np.add.reduceat((total == 1).astype(np.int64)[order], first), np.diff(np.r_[first, len(own)])
+
+        if len(pairs):
+            for kind, of in ((BY_CONTEXT, ctx[pairs]), (BY_WORD, word[pairs])):
+                yield from packed(kind, **dict(zip(PACKED[kind], sums(of), strict=True)))
         asked = np.flatnonzero((n == 0) & (of_record < 2))
         at, count = np.r_[pairs, asked], np.r_[total, -of_record[asked]]
-        order = np.lexsort((ctx[at], count < 2))
+        order = np.argsort(ctx[at])
         at, count = at[order], count[order]
-        for a in range(0, len(at), 100_000):
-            x, m = at[a : a + 100_000], count[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ctx[x]), pa.array(word[x]), pa.array(m), pa.array(np.where(m > 1, 0, key[x]))], names=["ctx", "word", "n", "key"])
+        twice, once = np.flatnonzero(count > 1), np.flatnonzero(count < 2)
+        yield from packed(MET_TWICE, ctx=ctx[at[twice]], word=word[at[twice]], n=count[twice])
+        yield from packed(MET_ONCE, ctx=ctx[at[once]], word=word[at[once]], n=count[once], key=key[at[once]])
+
+    sent = rows.select("held_out", "key", "text").mapInArrow(dealt, "part int, ctx binary, word binary, n binary, doc binary, keys binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(counted, PACKED_SCHEMA)
+
+
+def unpacked(packed: DataFrame, kind: int) -> DataFrame:
+    """The entries of packed rows, all of this kind, a row each."""
+    import pyarrow as pa
+
+    columns = PACKED[kind]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(_array(b, x, i, t).astype(np.int64, copy=False)) for x, t in zip("abcd", columns.values(), strict=False)], names=[*columns])
+
+    return packed.select(*"abcd"[: len(columns)]).mapInArrow(opened, ", ".join(f"{c} long" for c in columns))
+
+
+def occurrences(rows: DataFrame, contexts, turn: int = 0) -> DataFrame:
+    """(ctx, word, n, key) of the pairs of this turn: MET_TWICE (key: 0) and MET_ONCE of packed_occurrences."""
+    import pyarrow as pa
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, kind in enumerate(b.column("kind").to_pylist()):
+                if kind in (MET_TWICE, MET_ONCE):
+                    x = {c: _array(b, p, i, t).astype(np.int64) for p, (c, t) in zip("abcd", PACKED[kind].items(), strict=False)}
+                    yield pa.RecordBatch.from_pydict({"ctx": x["ctx"], "word": x["word"], "n": x["n"], "key": x.get("key", np.zeros_like(x["n"]))})
+
+    return packed_occurrences(rows, contexts, turn).mapInArrow(opened, "ctx long, word long, n long, key long")
 
-    arrays = ", ".join(f"{k} array<{'int' if k == 'doc' else 'long'}>" for k in types)
-    sent = rows.select("held_out", "key", "text").mapInArrow(dealt, f"part int, {arrays}")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(counted, "ctx long, word long, n long, key long")
+
+def packed_turns(rows: DataFrame, contexts) -> list[dict[int, DataFrame]]:
+    """The packed occurrences of each turn, a table for each kind; the shuffle of one turn is held at a time."""
+    with shuffles_freed(rows.sparkSession):
+        return [cut_by(packed_occurrences(rows, contexts, turn), "kind", PACKED) for turn in range(TURNS)]
 
 
 def all_occurrences(rows: DataFrame, contexts) -> list[DataFrame]:
-    """The occurrences of each turn, as tables; the shuffle of one turn is held at a time."""
-    turns = []
-    for turn in range(TURNS):
-        turns.append(cut(occurrences(rows, contexts, turn)))
-        free_shuffles(rows.sparkSession, 1.0)
-    return turns
+    """The occurrences of each turn."""
+    return [unpacked(turn[MET_TWICE], MET_TWICE).withColumn("key", F.lit(0).cast("long")).unionByName(unpacked(turn[MET_ONCE], MET_ONCE)) for turn in packed_turns(rows, contexts)]
 
 
 def pair_counts(rows: DataFrame, contexts) -> DataFrame:
     """(ctx, word, n) over the training rows; contexts is a broadcast of Contexts."""
-    return training_pairs(all_occurrences(rows, contexts))
-
-
-def training_pairs(turns: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, turns).where("n > 0").select("ctx", "word", "n")
+    return reduce(DataFrame.unionByName, all_occurrences(rows, contexts)).where("n > 0").select("ctx", "word", "n")
 
 
 # ---- draws that are functions of a key
@@ -328,6 +476,10 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(product)
 
 
+#: Up to so many customers tables are drawn from their summed weights.
+FEW_CUSTOMERS = 8
+
+
 def tables_of(customers: np.ndarray, mass: np.ndarray, draws: Draws) -> np.ndarray:
     """Tables t of 1..c for dishes with c customers, where weight(t+1) / weight(t) = 2 mass (c-t) / (t (2c-t-1)).
 
@@ -336,7 +488,17 @@ def tables_of(customers: np.ndarray, mass: np.ndarray, draws: Draws) -> np.ndarr
     """
     c = customers.astype(np.float64)
     out = np.ones(len(c), np.int64)
-    live = np.flatnonzero(customers > 1)
+    # few customers: the weights are summed up one by one
+    few = np.flatnonzero((customers > 1) & (customers <= FEW_CUSTOMERS))
+    u = draws.uniform(few)
+    if len(few):
+        own, m = c[few], mass[few]
+        weights = [np.ones(len(few))]
+        for t in range(1, int(own.max())):
+            weights.append(weights[-1] * (2 * m * np.maximum(own - t, 0) / (t * np.maximum(2 * own - t - 1, 1))))
+        upto = np.cumsum(weights, axis=0)
+        out[few] = 1 + (upto[:-1] <= u * upto[-1]).sum(axis=0)
+    live = np.flatnonzero(customers > FEW_CUSTOMERS)
     if not len(live):
         return out
     c, m = c[live], np.maximum(mass[live], 1e-300)
@@ -427,13 +589,16 @@ class Sampler:
     change: contexts without a shared dish, and words with one customer in the root, whose table is certain.
     """
 
-    def __init__(self, pairs: DataFrame, vocabulary: int | None = None):
+    def __init__(self, pairs: DataFrame, vocabulary: int | None = None, by_context: DataFrame | None = None, by_word: DataFrame | None = None):
+        """by_context and by_word: sums over pairs in any parts, as BY_CONTEXT and BY_WORD; with them only pairs of two customers or more are needed."""
         one = F.when(F.col("n") == 1, 1).otherwise(0).cast("long")
+        if by_context is None:
+            by_context = pairs.select("ctx", F.col("n").alias("c"), one.alias("singles"), F.lit(1).cast("long").alias("tables"))
+        if by_word is None:
+            by_word = pairs.select("word", F.col("n").alias("k"), one.alias("singles"), F.lit(1).cast("long").alias("root_c"))
         self.shared = cut(pairs.where("n > 1").select("ctx", "word", "n", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own")))
-        self.all_contexts = cut(pairs.groupBy("ctx").agg(F.sum("n").alias("c"), F.sum(one).alias("singles"), F.count("*").alias("tables")))
-        free_shuffles(pairs.sparkSession, 1.0)
-        self.all_words = cut(pairs.groupBy("word").agg(F.sum("n").alias("k"), F.sum(one).alias("singles"), F.count("*").alias("root_c")))
-        free_shuffles(pairs.sparkSession, 1.0)
+        self.all_contexts = cut(by_context.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("c", "singles", "tables")]))
+        self.all_words = cut(by_word.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("k", "singles", "root_c")]))
         self.still_contexts, self.live_contexts = self.all_contexts.where("tables = singles"), self.all_contexts.where("tables > singles")
         self.still_words = self.all_words.where("k = 1").select("word", "k", "singles", "root_c")
         self.live_words = self.all_words.where("k > 1").withColumn("root_t", F.lit(1).cast("long"))
@@ -528,15 +693,6 @@ class Sampler:
         if number > 1:  # the first were parts of the tables of all
             for table in before:
                 drop_table(table)
-        free_shuffles(contexts.sparkSession)
-
-
-def free_shuffles(spark, seconds: float = 0.0) -> None:
-    """Let Spark delete the shuffle files of plans that are gone; it does so when the driver's garbage is collected, in a thread of its own that gets these seconds."""
-    gc.collect()  # the driver's Python holds plans of the JVM
-    for _ in range(2 if seconds else 1):
-        spark._jvm.System.gc()
-        time.sleep(seconds / 2)
 
 
 def _by_context(rows: DataFrame, contexts: DataFrame, columns: list[str]) -> DataFrame:
@@ -554,14 +710,20 @@ def _by_context(rows: DataFrame, contexts: DataFrame, columns: list[str]) -> Dat
     return joined.select(*out)
 
 
-def sample_model(pairs: DataFrame, vocabulary: int | None = None) -> tuple[Sampler, float]:
+def sample_model(pairs: DataFrame, vocabulary: int | None = None) -> tuple[Sampler, list[float]]:
     """The sampler after all sweeps, and the averaged root probability of unknown words for each sample."""
-    model, unseen = Sampler(pairs, vocabulary), []
+    model = Sampler(pairs, vocabulary)
+    return model, swept(model)
+
+
+def swept(model: Sampler) -> list[float]:
+    """All sweeps; the root probability of unknown words in each sample."""
+    unseen = []
     for number in range(1, BURN_IN + SAMPLES + 1):
         model.sweep(number, number > BURN_IN)
         if number > BURN_IN:
             unseen.append(model.unseen())
-    return model, unseen
+    return unseen
 
 
 def _parent_share(lams, ps):
@@ -593,14 +755,17 @@ def pair_keys(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     def rotated(x, n):
         return x << np.uint64(n) | x >> np.uint64(64 - n)
 
-    h = np.full(len(word), 42, np.uint64)
-    for x in (ctx, word):
-        h = h + p5 + np.uint64(8)
-        h = rotated(h ^ rotated(x * p2, 31) * p1, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        h ^= h >> np.uint64(32)
-    return h
+    out = np.empty(len(word), np.uint64)
+    for a in range(0, len(word), 16_384):  # a slice stays in the processor's cache
+        h = np.uint64(42)
+        for x in (ctx[a : a + 16_384], word[a : a + 16_384]):
+            h = h + p5 + np.uint64(8)
+            h = rotated(h ^ rotated(x * p2, 31) * p1, 27) * p1 + p4
+            h = (h ^ h >> np.uint64(33)) * p2
+            h = (h ^ h >> np.uint64(29)) * p3
+            h ^= h >> np.uint64(32)
+        out[a : a + 16_384] = h
+    return out
 
 
 def _least(df: DataFrame, count: str, rows: int) -> int:
@@ -655,8 +820,8 @@ class Frequent:
         return cls(contexts.toArrow(), words.toArrow())  # HEAD_WORDS rows at most of each
 
 
-def weak_scores(weak: DataFrame, model: Sampler, shared, unseen: list[float], scale: float) -> DataFrame:
-    """(key, _known, _base, _own): sums over the tokens (ctx, word, n, key) whose pair was never met in training or once (n = 0; 1 or -1).
+def weak_scores(packed: DataFrame, model: Sampler, shared, unseen: list[float], scale: float) -> DataFrame:
+    """(key, _known, _base, _own): sums over the tokens (ctx, word, n, key) whose pair was never met in training or once (n = 0; 1 or -1), the MET_ONCE of packed occurrences, whose table is dropped as soon as it was read.
 
     What the context and the word tell is found in place for the frequent ones, in a broadcast of Frequent, and by joins for all others.
     """
@@ -679,8 +844,7 @@ def weak_scores(weak: DataFrame, model: Sampler, shared, unseen: list[float], sc
             kinds = [*[pa.int64()] * 5, pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "ctx", "word", "n", "known", "base", "own"])
 
-        for b in batches:
-            ctx, word, m, key = (b.column(k).to_numpy() for k in ("ctx", "word", "n", "key"))
+        for ctx, word, m, key in ((_array(b, x, i, t) for x, t in zip("abcd", PACKED[MET_ONCE].values(), strict=True)) for b in batches for i in range(b.num_rows)):
             u, has_u = Head.find(f.contexts, ctx.view(np.uint64))
             w, has_w = Head.find(f.words, word.view(np.uint64))
             here = has_u & has_w
@@ -702,7 +866,8 @@ def weak_scores(weak: DataFrame, model: Sampler, shared, unseen: list[float], sc
         if held:
             yield flush()
 
-    found = cut(weak.mapInArrow(scored, "key long, ctx long, word long, n long, known long, base double, own double"))
+    found = cut(packed.mapInArrow(scored, "key long, ctx long, word long, n long, known long, base double, own double"))
+    drop_table(packed)
     rest = _by_context(found.where("ctx is not null").select("key", "ctx", "word", "n"), model.contexts, ["c", *lams]).join(model.words.select("word", "k", *ps).hint("shuffle_hash"), "word", "left")
     single = sum(((1 - DISCOUNT) / (s + F.col("c")) for s in strengths), F.lit(0.0)) / SAMPLES
     parent = _parent_share([F.coalesce(F.col(x), F.lit(1.0)) for x in lams], [F.coalesce(F.col(x), F.lit(u)) for x, u in zip(ps, unseen, strict=True)])
@@ -710,88 +875,179 @@ def weak_scores(weak: DataFrame, model: Sampler, shared, unseen: list[float], sc
     both = found.where("ctx is null").select("key", "known", "base", "own").unionByName(rest)
     sums = cut(both.groupBy("key").agg(*[F.sum(c).alias(f"_{c}") for c in ("known", "base", "own")]))
     drop_table(found)
-    free_shuffles(weak.sparkSession)
     return sums
 
 
+def _dealt_scores(scored: DataFrame, scale: float, parts: int) -> DataFrame:
+    """(part, pair, base, own) of pairs in arrays: what a token of the pair adds to both scores, dealt by the pair."""
+    import pyarrow as pa
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            pair, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            pair = pair.view(np.uint64)
+            part = pair % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            pair, base, own = pair[order], np.log10(k[order] + 0.5) - scale, np.log10(p[order])
+            for i, a, b in _slices(part[order], parts):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([_bytes(x[a:b])], pa.binary()) for x in (pair, base, own))], names=["part", "pair", "base", "own"])
+
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("pair", "k", "p")])
+            n += b.num_rows
+            if n > HELD_TOKENS:
+                yield from flush()
+                n = 0
+        if n:
+            yield from flush()
+
+    return scored.select("pair", "k", "p").mapInArrow(dealt, "part int, pair binary, base binary, own binary")
+
+
+def _sums_of_pairs(asked: DataFrame, scored: DataFrame, scale: float) -> DataFrame:
+    """(row, _known, _base, _own): sums over the pairs that rows ask for, (part, pair, at, times, rows) in arrays, of those in scored.
+
+    Both are dealt by the pair; what is found goes back to the rows, also in arrays.
+    """
+    import pyarrow as pa
+
+    parts = max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["part", "rows", "known", "base", "own"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, wanted = [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column("rows")[i].is_valid:
+                    wanted.append([b.column(c)[i].as_buffer() for c in ("pair", "at", "times", "rows")])
+                else:
+                    table.append([_array(b, "pair", i, np.uint64), _array(b, "base", i, np.float64), _array(b, "own", i, np.float64)])
+        if not table:
+            return
+        keys, base, own = (np.concatenate(x) for x in zip(*table, strict=True))
+        order = np.argsort(keys)
+        keys, base, own = keys[order], base[order], own[order]
+        for pair, at, times, rows in wanted:
+            place, hit = Head.find(keys, np.frombuffer(pair, np.uint64))
+            doc, row = _large(at, rows)
+            place, doc, times = place[hit], doc[hit], np.frombuffer(times, np.int32)[hit].astype(np.float64)
+            if len(place):
+                sums = [np.bincount(doc, x, len(row)) for x in (times, times * base[place], times * own[place])]
+                # a row is in one block of texts, and so are all rows that were sent with it
+                yield pa.RecordBatch.from_arrays([pa.array([int(mix(row[:1].view(np.uint64) >> np.uint64(33))[0] % np.uint64(parts))], pa.int32()), *(pa.array([_bytes(x)], pa.binary()) for x in (row, sums[0].astype(np.int64), *sums[1:]))], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[_array(b, c, i, t) for c, t in zip(names[1:], (np.int64, np.int64, np.float64, np.float64), strict=True)] for b in batches for i in range(b.num_rows)]
+        if held:
+            row, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            row, at = np.unique(row, return_inverse=True)
+            known, base, own = (np.bincount(at, x, len(row)) for x in values)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)], names=["row", "_known", "_base", "_own"])
+
+    both = asked.unionByName(_dealt_scores(scored, scale, parts), allowMissingColumns=True)
+    sent = both.repartitionById(parts, F.col("part")).mapInArrow(found, "part int, rows binary, known binary, base binary, own binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(summed, "row long, _known long, _base double, _own double")
+
+
 def score_documents(docs: DataFrame, context_customers: int = CONTEXT_CUSTOMERS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+    with shuffles_freed(docs.sparkSession):
+        return _score_documents(docs, context_customers)
+
+
+def _score_documents(docs: DataFrame, context_customers: int) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _folded(docs)
     # a word of the training rows that no customer sits at predicts as the root does, so all words may be marked
     own_contexts = Contexts() if context_customers <= 1 else Contexts.of_counts(word_counts(rows), context_customers)
     contexts = spark.sparkContext.broadcast(own_contexts)  # 8 MB at most
-    met = all_occurrences(rows, contexts)
-    model, unseen = sample_model(training_pairs(met))
+    met = packed_turns(rows, contexts)
+    twice, by_context, by_word = (reduce(DataFrame.unionByName, [unpacked(turn[kind], kind) for turn in met]) for kind in (MET_TWICE, BY_CONTEXT, BY_WORD))
+    model = Sampler(twice, by_context=by_context, by_word=by_word)
+    for turn in met:
+        for kind in (MET_TWICE, BY_CONTEXT, BY_WORD):
+            drop_table(turn[kind])
+    unseen = swept(model)
     size, train_tokens = model.vocabulary, model.tokens
     scale = float(np.log10(train_tokens + 0.5 * (size + 1)))
     # pairs that training rows hold once, or never, are scored where they were counted
     known = spark.sparkContext.broadcast(Frequent.of(model))
     weak = []
     for turn in met:
-        weak.append(weak_scores(turn.where("n < 2"), model, known, unseen, scale))
-        drop_table(turn)
+        weak.append(weak_scores(turn[MET_ONCE], model, known, unseen, scale))
     known.destroy()  # each executor holds a file of it
     # the others with their probability; the frequent ones go to the texts
     scored = cut(pair_scores(None, model))
     model.drop()
-    free_shuffles(spark)
     least_pair = _least(scored, "n", HEAD_PAIRS)
     frequent = scored.where(F.col("n") >= least_pair).select("pair", "k", "p")
     shared = spark.sparkContext.broadcast((Head(frequent.toArrow()), _marks(scored)))  # HEAD_PAIRS rows at most, and 8 MB
 
+    doc_names = ["doc_id", "held_out", "key", "row", "n_tokens", "known", "base", "own"]
+    pair_names = ["part", "pair", "at", "times", "rows"]
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, marked = shared.value
-        for b in in_blocks(batches):
-            texts = [tokens(t) for t in b.column("text").to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            starts = np.r_[0, ends[:-1]]  # each text has a token, its end
-            all_toks = np.concatenate(texts)
+        held, rows_of, n = [], [], 0
+
+        def flush():
+            keys, doc, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            own = np.concatenate(rows_of)
+            part = keys % np.uint64(n_parts)
+            order = np.argsort(part, kind="stable")
+            keys, doc, times = keys[order], doc[order], times[order]
+            for p, a, b in _slices(part[order], n_parts):
+                at, few = _small(doc[a:b], own)
+                blobs = [pa.array([x], pa.binary()) for x in (_bytes(keys[a:b]), at, _bytes(times[a:b]), few)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in doc_types), pa.array([p], pa.int32()), *blobs], names=[*doc_names, *pair_names])
+
+        doc_types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for b in in_blocks(batches, BLOCK_BYTES):
+            all_toks, lengths = block_tokens(b.column("text"))
+            ends = np.cumsum(lengths)
+            starts = ends - lengths  # each text has a token, its end
             all_keys = pair_keys(contexts.value.of(all_toks, starts), all_toks)
             at, hit = head.find(head.pairs, all_keys)
             base, own = np.zeros(len(all_toks)), np.zeros(len(all_toks))
             base[hit] = head.log10_k[at[hit]] - scale
             own[hit] = head.log10_p[at[hit]]
             place = all_keys >> np.uint64(64 - CONTEXT_BITS)
-            open_ = ~hit & (marked[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1) > 0)
+            open_ = np.flatnonzero(~hit & (marked[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1) > 0))
             # distinct pairs of each text, text after text
-            keys, doc = all_keys[open_], np.repeat(np.arange(len(texts)), ends - starts)[open_]
+            keys, doc = all_keys[open_], np.repeat(np.arange(len(lengths)), lengths)[open_]
             order = np.argsort(keys)
-            order = order[np.argsort(doc[order].astype(np.uint16) if len(texts) <= 1 << 16 else doc[order], kind="stable")]
+            order = order[np.argsort(doc[order].astype(np.uint16) if len(lengths) <= 1 << 16 else doc[order], kind="stable")]
             keys, doc = keys[order], doc[order]
             first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])][: len(keys)])
-            offsets = pa.array(np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int32))
-            out = {
-                "n_tokens": pa.array(ends - starts),
-                "known": pa.array(np.add.reduceat(hit.astype(np.int64), starts)),
-                "base": pa.array(np.add.reduceat(base, starts)),
-                "own": pa.array(np.add.reduceat(own, starts)),
-                "pairs": pa.ListArray.from_arrays(offsets, pa.array(keys[first].view(np.int64))),
-                "times": pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[first, len(keys)]).astype(np.int32))),
-            }
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("key"), *out.values()], names=["doc_id", "held_out", "key", *out])
-
-    schema = "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, own double, pairs array<long>, times array<int>"
-    parts = cut(rows.mapInArrow(split, schema).withColumn("row", F.monotonically_increasing_id()))
-    x = F.explode(F.arrays_zip("pairs", "times")).alias("x")
+            held.append((keys[first], doc[first].astype(np.int64) + sum(map(len, rows_of)), np.diff(np.r_[first, len(keys)]).astype(np.int32)))
+            rows_of.append(b.column("row").to_numpy())
+            n += len(first)
+            sums = [pa.array(lengths), pa.array(np.add.reduceat(hit.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "key", "row")), *sums, pa.nulls(b.num_rows, pa.int32()), *[pa.nulls(b.num_rows, pa.binary())] * 4], names=[*doc_names, *pair_names])
+            if n > HELD_TOKENS:
+                yield from flush()
+                rows_of, n = [], 0
+        if n:
+            yield from flush()
+
+    schema = "doc_id long, held_out boolean, key long, row long, n_tokens long, known long, base double, own double, part int, pair binary, at binary, times binary, rows binary"
+    both = cut(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(split, schema))
+    parts = both.where("part is null").select(*doc_names)
     # what isn't met was scored as a weak token
-    found = parts.select("row", x).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")).join(scored.where(F.col("n") < least_pair).select("pair", "k", "p"), "pair")
-    sums = cut(
-        found.groupBy("row").agg(
-            F.sum(F.col("times").cast("long")).alias("_known"),
-            F.sum(F.col("times") * (F.log10(F.col("k") + 0.5) - F.lit(scale))).alias("_base"),
-            F.sum(F.col("times") * F.log10("p")).alias("_own"),
-        )
-    )
-    free_shuffles(spark)
+    sums = cut(_sums_of_pairs(both.where("part is not null").select(*pair_names), scored.where(F.col("n") < least_pair), scale))
     # weak tokens of equal held-out texts were added up: each has its share
     copies = parts.groupBy("key").agg(F.count("*").alias("copies"))
     weak = reduce(DataFrame.unionByName, weak).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("_known", "_base", "_own")]).join(copies, "key")
     weak = weak.select("key", (F.col("_known") / F.col("copies")).cast("long").alias("_weak_known"), *[(F.col(f"_{c}") / F.col("copies")).alias(f"_weak_{c}") for c in ("base", "own")])
     zero = F.lit(0.0)
-    return parts.drop("pairs", "times").join(sums, "row", "left").join(weak, "key", "left").select(
+    return parts.join(sums, "row", "left").join(weak, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

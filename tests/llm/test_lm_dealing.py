@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,24 @@ def test_a_frequent_context_fills_no_partition(parts):
     word = r.integers(0, 1 << 63, n).astype(np.uint64)
     sizes = np.bincount(H.part_of(ctx, H.pair_keys(ctx, word), parts).astype(np.int64), minlength=parts)
     assert len(sizes) == parts and sizes.max() < 2 * n / parts
+
+
+def test_tokens_of_a_block_are_those_of_its_texts():
+    r = random.Random(4)
+    texts = ["", None, " ", "A\x00b a\x00 a", "a\vb\fc\rd", "\x1f\x85\xa0 é É", *("X" * n for n in range(1, 70))] + ["".join(r.choice("aB \n\t\x00é€") for _ in range(r.randrange(40))) for _ in range(500)]
+    toks, lengths = H.block_tokens(pa.array(["not this one", *texts]).slice(1))
+    of_word, at = {}, 0
+    for t, n in zip(texts, lengths.tolist(), strict=True):
+        own, at = toks[at : at + n], at + n
+        words = [*(t or "").encode().lower().split(), b"\n"]
+        assert len(words) == n and own.tolist() == H.tokens(t).tolist()
+        assert all(of_word.setdefault(w, h) == h for w, h in zip(words, own.tolist(), strict=True))
+    assert len(set(of_word.values())) == len(of_word)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with H.shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
