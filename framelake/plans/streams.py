@@ -91,6 +91,9 @@ def gop_plan(spark, sf):
 
 # ---- records that are repeated, settled later, or must agree
 
+#: Behind every place: where a version ends that no other follows.
+NO_END = (1 << 63) - 1
+
 _EVENTS = ", e as (select stream, n, n // 4 as tu, case event_type when 'signup' then 'point' when 'purchase' then 'send' when 'error' then 'other' else 'refer' end as kind, event_id % 3 as key, max((event_type = 'error')::int) over (partition by stream, n // 4) = 1 as leading from pkt)"
 
 
@@ -132,10 +135,9 @@ select l.id, greatest(l."from", r."from") as since, l.profile as l_profile, r.pr
 def record_agreement(spark, sf):
     """Versions of two kinds of record of one id that are valid together and disagree."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderstatus") == "F").alias("own"), F.col("o_orderkey").alias("from"), F.col("o_orderpriority").alias("profile"))
-    end = o.agg(F.max("from") + 1).first()[0]
-    valid = P.versions(o, ["id", "own"], "from", F.lit(end))
-    sides = [valid.where(F.col("own") if own else ~F.col("own")).select("id", "from", "until", "profile") for own in (True, False)]
-    met = P.overlaps(*sides, keys=["id"], bucket=4096)
+    # the last version of a kind goes on behind all others; one shuffle by id serves both windows
+    valid = P.versions(o.dropna(subset=["id", "own", "from"]).repartition("id"), ["id", "own"], "from", F.lit(NO_END))
+    met = P.in_force(valid, ["id"], "own")
     return met.where("l_profile <> r_profile").select("id", "since", "l_profile", "r_profile")
 
 

@@ -67,6 +67,19 @@ def test_versions_that_overlap(spark, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_versions_in_force_with_ties_and_nulls(spark, seed):
+    r = random.Random(seed)
+    rows = [(k, own, p, f"{own}{p}") for k in (0, 1, 2, None) for own in (True, False, None) for p in [*(r.randrange(12) for _ in range(7)), None]]
+    df = spark.createDataFrame(rows, "id int, own boolean, from long, what string").repartition(5)
+    got = P.in_force(P.versions(df.dropna(), ["id", "own"], "from", F.lit(10**15)), ["id"], "own")
+    sides = {(k, own): sorted(p for i, o, p, _ in rows if (i, o) == (k, own) and p is not None) for k in range(3) for own in (True, False)}
+    valid = {side: list(zip(at, [*at[1:], 10**15])) for side, at in sides.items()}
+    want = sorted((k, a, b, f"True{a}", f"False{b}", max(a, b)) for k in range(3) for a, u in valid[k, True] for b, v in valid[k, False] if a < v and b < u)
+    assert sorted((x.id, x.l_from, x.r_from, x.l_what, x.r_what, x.since) for x in got.collect()) == want
+    assert any(a == u for at in valid.values() for a, u in at)
+
+
 def plain_levels(nodes, edges):
     level, left = {}, set(nodes)
     needs = {n: {s for s, d in edges if d == n and s in left} for n in nodes}
