@@ -176,13 +176,15 @@ def log2_q8(x: Column) -> Column:
     return F.floor(F.log2(x.cast("double")) * 256 + 0.5).cast("int")
 
 
-def lowered_precision(v: Column, precision: int) -> Column:
-    """A vector component (eighths of a sample) rounded to a precision of 0 to 6, halves towards zero."""
+def lowered_precision(v: Column, precision: int, limited: bool = True) -> Column:
+    """A vector component (eighths of a sample) rounded to a precision of 0 to 6, halves towards zero; if limited, what was rounded is kept within 16 bits and a sign."""
     if precision >= 6:
         return v
     n = 6 - precision
     size = F.abs(v)
     whole = F.shiftleft(F.shiftright(size - 1 + (1 << n >> 1), n), n)
     out = F.when(v >= 0, whole).otherwise(-whole)
+    if not limited:
+        return out
     limit = (1 << 16) - (1 << n)
     return F.when(whole != size, clip3(-limit, limit, out)).otherwise(out)

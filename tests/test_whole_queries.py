@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 from oracle import connect, duck_rows, spark_rows
+from pyspark.sql import functions as F
 
+from framelake.functions import bits as B
 from framelake.plans import records, streams  # noqa: F401  (these add their queries)
 from framelake.plans.catalogue import ORACLES, QUERIES
 
@@ -75,3 +77,14 @@ def test_records_agree_however_long_they_are_valid(spark, tmp_path, step):
     # a version isn't copied, nor sent to the driver
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any(step in plan for step in ("Generate", "Join", "Broadcast"))
+
+
+def test_vectors_beyond_16_bits(spark, tmp_path):
+    values = [0.0, 49.84, 705.04, 705.05, 705.2, 705.36, 705.37, 709.52, 1_000_000.13, -605.04, -605.21, -98_765.43, None]
+    df = spark.createDataFrame([(k, k % 2, k, "view", v) for k, v in enumerate(values)], "event_id long, user_id long, ts long, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert spark_rows(QUERIES["vector_precision"](spark, str(tmp_path))) == duck_rows(c, ORACLES["vector_precision"])
+    limits = spark.range(1).select(*[B.lowered_precision(F.lit(v), p).alias(f"v{v}p{p}") for v in (70_001, -70_001) for p in (1, 5)])
+    assert tuple(limits.first()) == (65_504, 65_534, -65_504, -65_534)
